@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import quality, sharding, warc
+from tesserae.llm import pii, quality, sharding, warc
 from tesserae.llm.shared import Workspace
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.contract(pii.find_pii(_table(spark, sf_dir, "documents")))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages to archives, then read every record back."""
     ws = Workspace(spark, "warc")
@@ -39,6 +43,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_pii": op5_pii,
         "op7_warc": op7_warc,
         "op9_quality_rules": op9_quality_rules,
         "op10_sharding": op10_sharding,
