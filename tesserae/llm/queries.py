@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import pii, quality, sharding, warc
+from tesserae.llm import decontaminate, pii, quality, sharding, toxicity, warc
 from tesserae.llm.shared import Workspace
 
 
@@ -15,10 +15,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(parts: int, part: int):
+    """Whether the CRC-32 of doc_id as text leaves this remainder; false for null ids."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return F.coalesce(crc % parts == part, F.lit(False))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = toxicity.score_toxicity(docs, labels.where(~_held_out(3, 1)))
+    return scored.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.contract(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each contaminated document and the item it holds; clean documents have none."""
+    return decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages to archives, then read every record back."""
     ws = Workspace(spark, "warc")
@@ -43,7 +60,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_toxicity": op3_toxicity,
         "op5_pii": op5_pii,
+        "op6_decontaminate": op6_decontaminate,
         "op7_warc": op7_warc,
         "op9_quality_rules": op9_quality_rules,
         "op10_sharding": op10_sharding,
