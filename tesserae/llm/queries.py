@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import decontaminate, pii, quality, sharding, toxicity, warc
+from tesserae.llm import decontaminate, langid, pii, quality, sharding, toxicity, warc
 from tesserae.llm.shared import Workspace
 
 
@@ -21,6 +21,12 @@ def _held_out(parts: int, part: int):
     return F.coalesce(crc % parts == part, F.lit(False))
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~_held_out(4, 2)))
+    return langid.identify(docs, model).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     scored = toxicity.score_toxicity(docs, labels.where(~_held_out(3, 1)))
@@ -60,6 +66,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_langid": op1_langid,
         "op3_toxicity": op3_toxicity,
         "op5_pii": op5_pii,
         "op6_decontaminate": op6_decontaminate,
