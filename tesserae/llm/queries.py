@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import decontaminate, langid, pii, quality, sharding, toxicity, warc
+from tesserae.llm import decontaminate, jaccard_join, langid, pii, quality, sharding, toxicity, warc
 from tesserae.llm.shared import Workspace
 
 
@@ -33,6 +33,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.classes(_table(spark, sf_dir, "documents"), jaccard_join.Near(3, 90, 100))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.contract(pii.find_pii(_table(spark, sf_dir, "documents")))
 
@@ -68,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": op1_langid,
         "op3_toxicity": op3_toxicity,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_pii": op5_pii,
         "op6_decontaminate": op6_decontaminate,
         "op7_warc": op7_warc,
