@@ -316,5 +316,7 @@ def keep_first(docs: DataFrame, near: Near = Near()) -> DataFrame:
     is empty stay, as do rows with a null doc_id that are in no class with a
     doc_id.
     """
-    out = classes(docs, near).select("doc_id", "component_id").where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(out, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = classes(docs, near).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = Workspace(docs.sparkSession, "near").save(gone, "gone")
+    few = gone.count() <= MOST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import decontaminate, jaccard_join, langid, pii, quality, sharding, toxicity, warc
+from tesserae.llm import decontaminate, jaccard_join, langid, mixing, pii, quality, sharding, substring_dedup, toxicity, warc
 from tesserae.llm.shared import Workspace
 
 
@@ -27,6 +27,11 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose sentences to a first occurrence elsewhere (or earlier in themselves); others have no row."""
+    return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     scored = toxicity.score_toxicity(docs, labels.where(~_held_out(3, 1)))
@@ -57,6 +62,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.withColumns({"weight": F.round("weight", 9), "probability": F.round("probability", 9)})
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -72,15 +82,53 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": op1_langid,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_toxicity": op3_toxicity,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_pii": op5_pii,
         "op6_decontaminate": op6_decontaminate,
         "op7_warc": op7_warc,
+        "op8_mixing": op8_mixing,
         "op9_quality_rules": op9_quality_rules,
         "op10_sharding": op10_sharding,
     }
 
 
+def _mixing_sql() -> str:
+    spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    digits = " + ".join(f"(strpos('0123456789abcdef', substr(h, {k + 1}, 1)) - 1) * {16.0 ** (11 - k):.0f}.0" for k in range(12))
+    dims = mixing.DIMS
+    own = ", ".join(f"sum(tokens) OVER (PARTITION BY {d}) AS own_{d}" for d in dims)
+    once = ", ".join(f"sum(pow(own_{d}, {mixing.POWERS[d]}) * tokens / own_{d}) AS all_{d}" for d in dims)
+    targets = ", ".join(f"pow(own_{d}, {mixing.POWERS[d]}) / all_{d} AS to_{d}" for d in dims)
+    steps, last = [], "start"
+    for turn in range(mixing.ROUNDS):
+        for d in dims:
+            steps.append(f"r{turn}_{d} AS (SELECT * REPLACE (weight * to_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight) FROM {last})")
+            last = f"r{turn}_{d}"
+    return f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '{mixing.NONE}') AS source, coalesce(lang, '{mixing.NONE}') AS lang, coalesce(text, '') AS t,
+         length(coalesce(text, '')) AS n, trim(coalesce(text, ''), {spaces}) AS bare
+  FROM documents),
+features AS (
+  SELECT doc_id, source, lang,
+         CASE WHEN n < 400 THEN 'snippet' WHEN contains(t, ' | ') THEN 'table'
+              WHEN (n - length(translate(t, '#*$%&<>', ''))) * 50 > n THEN 'markup'
+              WHEN lower(t) = t THEN 'lower' WHEN n > 8000 THEN 'long' ELSE 'prose' END AS topic,
+         CASE WHEN bare = '' THEN 0 ELSE len(regexp_split_to_array(bare, '[ \\t\\n\\x0b\\x0c\\r]+')) END::BIGINT AS tokens
+  FROM texts),
+cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM features GROUP BY ALL HAVING sum(tokens) > 0),
+owned AS (SELECT *, {own} FROM cells),
+sums AS (SELECT sum(tokens) AS all_tokens, {once} FROM owned),
+start AS (SELECT source, lang, topic, tokens, tokens / all_tokens AS weight, all_tokens, {targets} FROM owned, sums),
+{", ".join(steps)},
+shares AS (SELECT source, lang, topic, weight, least(1.0, {mixing.BUDGET} * all_tokens * weight / tokens) AS probability FROM {last}),
+hashed AS (SELECT *, md5(doc_id::VARCHAR) AS h FROM features)
+SELECT doc_id, f.source, f.lang, f.topic, f.tokens, round(coalesce(weight, 0), 9) AS weight, round(coalesce(probability, 0), 9) AS probability,
+       f.tokens > 0 AND coalesce(({digits}) / {float(1 << 48):.0f}.0, 0) < coalesce(probability, 0) AS sampled
+FROM hashed f LEFT JOIN shares s USING (source, lang, topic)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_mixing": _mixing_sql()}
