@@ -1,15 +1,62 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written and read again by the next.
+
+Every stage takes all documents that its predecessor kept, and all but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tesserae.llm import decontaminate, jaccard_join, mixing, sharding, toxicity
+from tesserae.llm.shared import Workspace
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class linked by 80 % of five-word shingles or more: the one with the smallest doc_id."""
+    return jaccard_join.keep_first(docs, jaccard_join.Near(5, 80, 100))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled so that their tokens lie as the target weights say."""
+    return mixing.sample(docs)
+
+
+def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, virtual_slot, shard and slot of every document that is left."""
+    return sharding.shard_documents(docs)[0]
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("mixing", sample_mix),
+    ("sharding", deal_shards),
+]
+
+#: No SQL: the first stage learns a model by online passes.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; the rows of the last one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    ws = Workspace(spark, "pipeline")
+    before = None
+    for name, stage in STAGES:
+        docs = ws.save(stage(spark, docs, sf_dir), name)
+        if before:
+            ws.drop(before)
+        before = name
     return docs
