@@ -151,15 +151,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return spark.createDataFrame([], PAIRS) if out is None else out
 
 
+def _contaminated(index):
+    @F.pandas_udf("boolean")
+    def contaminated(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hasher = WordHasher()
+        for text in texts:
+            yield pd.Series([bool(t) and bool(index.value.overlaps(hasher.of(tokens(t)))) for t in text], dtype=bool)
+
+    return contaminated
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that overlap an item; columns as they were, no join or shuffle."""
     for index in _blocks(docs.sparkSession, benchmark):
-
-        @F.pandas_udf("boolean")
-        def contaminated(texts: Iterator[pd.Series], index=index) -> Iterator[pd.Series]:
-            hasher = WordHasher()
-            for text in texts:
-                yield pd.Series([bool(t) and bool(index.value.overlaps(hasher.of(tokens(t)))) for t in text], dtype=bool)
-
-        docs = docs.where(~contaminated(F.col("text")))
+        docs = docs.where(~_contaminated(index)(F.col("text")))
     return docs
