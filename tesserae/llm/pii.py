@@ -135,6 +135,10 @@ def digest(spans: Column) -> Column:
 
 def contract(found: DataFrame) -> DataFrame:
     """The digest columns of ``find_pii``'s rows; counts and base_sha256 are of base spans."""
+
+    def of(rank: int) -> Column:  # a lambda with a default would be taken for one with an index
+        return F.filter("spans", lambda s: s["rank"] == rank)
+
     base = F.filter("spans", lambda s: s["rank"] < BASE)
-    counts = [F.size(F.filter("spans", lambda s, r=r: s["rank"] == r)).cast("long").alias(f"n_{KINDS[r].name}") for r in range(BASE)]
+    counts = [F.size(of(r)).cast("long").alias(f"n_{KINDS[r].name}") for r in range(BASE)]
     return found.select("doc_id", *counts, F.sha2(digest(base).cast("binary"), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
