@@ -11,9 +11,10 @@ would lie in every pivot's window.  The pivots here are therefore local:
   pair of their parts; and two parts of that size are that near only when they
   are equal.  Each leaf is a pivot of its part's space: its Voronoi region is
   the sets with this very projection, and the next pivot is farther than the
-  window.  So a link's two sets meet in a region, without any replication.
-* Regions join recursively.  Sets that meet another one anywhere are joined
-  anew by single shingles, rarest first.  In a region a set's rank of the
+  window.  So a link's two sets meet in regions, without any replication, and
+  the regions where they meet hold a known share of their shingles.
+* Regions join recursively.  Sets that meet others with that share of their
+  shingles are joined anew by single shingles, rarest first.  In a region a set's rank of the
   shingle bounds its overlap with any other; the shingles that no other set
   has are a distance that every partner has to cross.
 * Pivots.  In each region the most central set (with the smallest share of
@@ -60,9 +61,19 @@ class Near:
     def leaf_size(self) -> int:
         """The largest set that is linked to no other than itself, given that both are parts of equal standing."""
         if self.num >= self.den:
-            return 1 << 30
+            return 63
         union = -(-self.den // (self.den - self.num))
-        return -(-self.num * union // self.den) - 1
+        return min(63, -(-self.num * union // self.den) - 1)
+
+    @property
+    def least_met(self) -> int:
+        """Of ``den`` shingles, those that lie in leaves which a linked set has, too.
+
+        Two parts of which one is a leaf and which differ are at least
+        1 / (leaf_size + 1) apart, so such parts hold at most
+        (leaf_size + 1) * (1 - t) of the union.
+        """
+        return self.den - (self.leaf_size + 1) * (self.den - self.num)
 
     def shared(self, n_a: Column, n_b: Column) -> Column:
         """The least overlap of two linked sets of these sizes."""
@@ -73,7 +84,7 @@ class Near:
 
 
 def leaves(h: np.ndarray, owner: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the leaves of sorted sets that lie one behind the other, and each leaf's set.
+    """Keys of the leaves of sorted sets that lie one behind the other (the last 6 bits are the size), and each leaf's set.
 
     A shingle's leaf is at the first depth at which no run of ``most + 1``
     neighbours that holds it shares its leading bits.
@@ -90,7 +101,9 @@ def leaves(h: np.ndarray, owner: np.ndarray, most: int) -> tuple[np.ndarray, np.
     first[1:] = (owner[1:] != owner[:-1]) | (depth[1:] != depth[:-1]) | (prefix[1:] != prefix[:-1])
     at = np.flatnonzero(first)
     node = mix(prefix[at] * np.uint64(64) + depth[at].astype(np.uint64))
-    return mix(np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at) + node), owner[at]
+    key = mix(np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at) + node)
+    size = np.minimum(np.diff(np.append(at, n)), 63).astype(np.uint64)
+    return (key & ~np.uint64(63)) | size, owner[at]
 
 
 def _sets(near: Near):
@@ -176,25 +189,29 @@ def _free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _meeting(sets: DataFrame) -> DataFrame:
-    """sids of sets that share a leaf with another set.
+def _meeting(sets: DataFrame, near: Near) -> DataFrame:
+    """sids of sets that share enough of their shingles in leaves with other sets to be linked to one.
 
     Leaves that a sample shows to be hot are known to be shared: their sets
     are taken without a shuffle, so no task gets a hot leaf's rows.
     """
-    rows = sets.where("keys is not null").select("sid", F.explode("keys").alias("key"))
-    distinct = sets.where("keys is not null").select("sid").agg(F.approx_count_distinct("sid")).first()[0]
-    part = sets.where("keys is not null") if distinct <= SAMPLE else sets.where("keys is not null").where(F.xxhash64("sid", F.lit(3)) < F.lit(int(-(2**63) + 2**64 * (SAMPLE / distinct))))
+    keyed = sets.where("keys is not null")
+    rows = keyed.select("sid", F.explode("keys").alias("key"))
+    distinct = keyed.select("sid").agg(F.approx_count_distinct("sid")).first()[0]
+    part = keyed if distinct <= SAMPLE else keyed.where(F.xxhash64("sid", F.lit(3)) < F.lit(int(-(2**63) + 2**64 * (SAMPLE / distinct))))
     hot = part.select("sid", "keys").dropDuplicates(["sid"]).select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") >= HOT)
     hot = [r["key"] for r in hot.orderBy(F.desc("count"), "key").limit(100_000).collect()]
     found = None
     if hot:
         table = F.broadcast(sets.sparkSession.createDataFrame([(k,) for k in hot], "key long"))
-        found = rows.join(table, "key", "left_semi").select("sid")
+        found = rows.join(table, "key", "left_semi")
         rows = rows.join(table, "key", "left_anti")
     same = Window.partitionBy("key")
-    met = rows.select("sid", (F.min("sid").over(same) != F.max("sid").over(same)).alias("met")).where("met").select("sid")
-    return (met if found is None else met.union(found)).distinct()
+    met = rows.select("sid", "key", (F.min("sid").over(same) != F.max("sid").over(same)).alias("met")).where("met").select("sid", "key")
+    met = met if found is None else met.unionByName(found)
+    held = met.groupBy("sid").agg(F.sum(F.col("key").bitwiseAND(F.lit(63))).alias("held"))
+    sizes = keyed.select("sid", "n").dropDuplicates(["sid"])
+    return held.join(sizes, "sid").where(F.col("held") * near.den >= F.col("n") * near.least_met).select("sid")
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -254,7 +271,7 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
     of = ws.save(of, "of")
     if not of.where("c0 != c1").isEmpty():
         raise ValueError("two shingle sets have one 64-bit hash")
-    meeting = ws.save(_meeting(sets), "meeting")
+    meeting = ws.save(_meeting(sets, near), "meeting")
     ws.drop("sets")
     _free(spark)
     linked = _link(docs, of, meeting, near, ws)
