@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tesserae.functions.config import LabelConfig
 
 
+#: The histogram labels in the order that label strings have.
+LABELS = ("low_key", "high_key", "high_contrast", "flat_light", "muted", "vivid", "warm", "cool", "mixed_color", "lineart_like_candidate")
+
+
 def masks(cfg: LabelConfig = LabelConfig(), has_hue: bool = True) -> dict[str, Column]:
     """A boolean column for each histogram label, in the order that label strings have.
 
@@ -32,7 +36,7 @@ def masks(cfg: LabelConfig = LabelConfig(), has_hue: bool = True) -> dict[str, C
         & (c("saturation_low_ratio") > cfg.lineart_low_sat_ratio)
         & (c("brightness_dark_ratio") > cfg.lineart_dark_ratio),
     }
-    return {k: F.coalesce(v, F.lit(False)) for k, v in rules.items()}
+    return {k: F.coalesce(rules[k], F.lit(False)) for k in LABELS}
 
 
 def joined(rules: dict[str, Column], empty: str = "unclassified") -> Column:

@@ -77,7 +77,7 @@ masks AS MATERIALIZED (SELECT *, {_masks_sql(config)} FROM measures),
 summary AS MATERIALIZED (SELECT * EXCLUDE ({', '.join('m_' + k for k in RULES)}), {_join_sql()} AS labels FROM masks)"""
 
 
-RULES = list(labels.masks())
+RULES = list(labels.LABELS)
 
 
 def _masks_sql(c: LabelConfig, prefix: str = "m_") -> str:

@@ -36,10 +36,10 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.avg("l_extendedprice").alias("p"), F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"), F.max("l_quantity").alias("q"))
     return items.select(
         F.concat(F.lit("part/"), F.col("l_partkey")).alias("image_path"),
-        (F.col("p") / 50).alias("blur_laplacian_var"),
+        (F.col("p") / 50.031739).alias("blur_laplacian_var"),
         F.log1p(F.col("p") / 500).alias("sharpness_score"),
-        (F.col("d") * 3).alias("edge_density"),
-        F.col("t").alias("local_contrast_p95"),
+        (F.col("d") * 2.917331).alias("edge_density"),
+        (F.col("t") * 1.031739).alias("local_contrast_p95"),
         F.col("q").alias("peak"),
     )
 
@@ -80,8 +80,8 @@ BANK_SQL = (
     + ", ".join(f"{_hist_sql(*spec)} AS {n}" for n, spec in BANK.items())
     + " FROM (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS vals FROM embeddings)"
 )
-QUALITY_SQL = """SELECT 'part/' || l_partkey AS image_path, p / 50 AS blur_laplacian_var, ln(1 + p / 500) AS sharpness_score,
-d * 3 AS edge_density, t AS local_contrast_p95, q AS peak
+QUALITY_SQL = """SELECT 'part/' || l_partkey AS image_path, p / 50.031739::DOUBLE AS blur_laplacian_var, ln(1 + p / 500) AS sharpness_score,
+d * 2.917331::DOUBLE AS edge_density, t * 1.031739::DOUBLE AS local_contrast_p95, q AS peak
 FROM (SELECT l_partkey, avg(l_extendedprice) AS p, avg(l_discount) AS d, avg(l_tax) AS t, max(l_quantity) AS q FROM lineitem GROUP BY l_partkey)"""
 PART_HISTOGRAM_SQL = "SELECT 'part/' || p_partkey AS image_path, p_size / 50.0::DOUBLE AS brightness_bright_ratio, 1 - p_size / 50.0::DOUBLE AS brightness_dark_ratio, (p_size % 10) / 10.0::DOUBLE AS saturation_low_ratio FROM part WHERE p_partkey % 3 <> 0"
 METADATA_SQL = """SELECT 'part/' || p_partkey AS image_path, w::INTEGER AS width, h::INTEGER AS height, round(w * h / 1e6::DOUBLE, 4) AS megapixels,
