@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.llm.shared import small_batches
 from tesserae.llm.text import WordHasher, mix, tokens
 
 #: Masks of 11 tokens, 7 of them compared.
@@ -111,6 +112,7 @@ def _verified(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple | None:
 
 def _blocks(spark: SparkSession, benchmark: DataFrame):
     """Broadcast indexes, one for each block of items; a block's size is bounded by BLOCK_CHARS, on average."""
+    small_batches(benchmark.sparkSession)
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = 1 + chars // BLOCK_CHARS

@@ -45,6 +45,8 @@ from tesserae.llm.text import WordHasher, mix, shingles
 SAMPLE, HOT = 4_000, 8
 #: Ids that may be broadcast to pick texts; beyond, the texts are joined by a shuffle.
 MOST_IDS = 4_000_000
+#: Shingles whose leaves are worked out at once.
+PORTION = 300_000
 #: Each round of pivots is so many times the one before.
 WIDEN = 8
 
@@ -119,15 +121,15 @@ def _sets(near: Near):
             new = []
             for k, s in enumerate(sid):
                 if size[k] and s not in met:
-                    if len(met) > 500_000:
+                    if len(met) > 200_000:
                         met.clear()
                     met.add(s)
                     new.append(k)
             keys: list[np.ndarray | None] = [None] * len(own)
-            if new and near.num < near.den:
-                key, of = leaves(np.concatenate([own[k] for k in new]), np.repeat(np.arange(len(new)), size[new]), near.leaf_size)
-                cuts = np.searchsorted(of, np.arange(len(new) + 1))
-                for j, k in enumerate(new):
+            for some in _portions(new, size) if near.num < near.den else ():
+                key, of = leaves(np.concatenate([own[k] for k in some]), np.repeat(np.arange(len(some)), size[some]), near.leaf_size)
+                cuts = np.searchsorted(of, np.arange(len(some) + 1))
+                for j, k in enumerate(some):
                     keys[k] = key[cuts[j] : cuts[j + 1]].view(np.int64)
             columns = [batch.column(0).cast(pa.int64()), pa.array(sid, pa.int64()), pa.array(chk, pa.int64()), pa.array(size), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sid", "chk", "n", "keys"])
@@ -135,6 +137,19 @@ def _sets(near: Near):
     return run
 
 
+def _portions(rows: list[int], size: np.ndarray) -> Iterator[list[int]]:
+    """Rows in portions of about PORTION shingles."""
+    part, held = [], 0
+    for k in rows:
+        part.append(k)
+        held += size[k]
+        if held >= PORTION:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def _shingled(near: Near):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.shared import small_batches
 from tesserae.llm.text import mix
 
 DIM = 512
@@ -143,6 +144,7 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.nd
     expectation.  Sums combine by language and dimension before they reach
     the driver: languages times DIM numbers, however many documents.
     """
+    small_batches(docs.sparkSession)
     known = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text")
     count = docs.where("lang is not null").count()
     if count > max_train:

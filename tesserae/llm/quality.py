@@ -10,6 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.shared import small_batches
 from tesserae.llm.text import WordHasher, rolling
 
 SPACES = b" \t\n\x0b\x0c\r"
@@ -85,4 +86,5 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     and null ids give a row each, an empty table none.  Only doc_id and text
     are read.  No shuffle; memory is one Arrow batch and the longest text.
     """
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("raw")).mapInArrow(_score, SCHEMA)

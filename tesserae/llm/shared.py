@@ -23,6 +23,14 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Have Arrow hand Python at most ``size`` of rows at a time, so that long texts don't pile up in workers.
+
+    A setting of the session; it changes no result.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder by Hadoop's file system, whichever scheme it has."""
     jvm = spark.sparkContext._jvm
@@ -35,6 +43,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:

@@ -30,7 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHasher(dict):
     """64-bit hash of each word; the memory of past words is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 

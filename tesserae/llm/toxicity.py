@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.shared import small_batches
 from tesserae.llm.text import WordHasher, mix, tokens
 
 BITS = 20
@@ -104,6 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, how: F
     the one task that fits, in hash order, are bounded by ``max_train``.
     Without labelled rows the model is the bias alone and scores 0.047.
     """
+    small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("_d"), F.col("toxic").cast("int").alias("_y"), F.xxhash64("doc_id").alias("_o"))
     count = known.count()
     if count > max_train:
