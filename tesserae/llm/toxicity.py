@@ -23,6 +23,8 @@ BITS = 20
 #: Labelled rows that the model is fitted on, at most (a hash of doc_id picks them; in expectation).
 MAX_TRAIN = 16_000
 THRESHOLD = 0.7
+#: The bias of a model without labelled rows.
+UNTAUGHT = -3.0
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SKIP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -90,7 +92,8 @@ def _fitter(how: Ftrl):
                 trainer.learn(x, y)
         w = trainer.weights(slice(0, -1))
         at = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, 1 << BITS), pa.int64()), pa.array(np.append(w[at], trainer.bias() if rows else -3.0))], names=["i", "w"])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, 1 << BITS), pa.int64()), pa.array(np.append(w[at], trainer.bias()))], names=["i", "w"])
 
     return fit
 
@@ -112,6 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, how: F
         known = known.where(F.col("_o") < F.lit(int(-(2**63) + 2**64 * (max_train / count))))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_d")).select("_o", "_y", "text").mapInArrow(_featurize, "o long, y int, x binary")
     fitted = rows.repartition(1).sortWithinPartitions("o", "y", "x").mapInArrow(_fitter(how), "i long, w double").collect()
+    fitted = [tuple(r) for r in fitted] or [(1 << BITS, UNTAUGHT)]
     return np.array([r[0] for r in fitted], np.int64), np.array([r[1] for r in fitted])
 
 
