@@ -19,14 +19,16 @@ from pyspark.sql import functions as F
 from tesserae.llm.shared import small_batches
 from tesserae.llm.text import WordHasher, mix, tokens
 
-#: Masks of 11 tokens, 7 of them compared.
-MASKS = ("11101100101", "11010011011", "10111010011", "11001101101")
+#: Masks of 8 tokens, 5 of them compared.
+MASKS = ("11010011", "11100101", "10110011", "11011001")
 SPAN = len(MASKS[0])
 #: An overlap counts from so many tokens and this share of equal ones; a shorter item must be matched as a whole.
 MIN_TOKENS, MIN_IDENTITY = 13, 0.75
 #: A benchmark is searched for in blocks of about so many characters, each broadcast by itself.
 BLOCK_CHARS = 32_000_000
 BITS = 22
+#: Items of fewer tokens say too little to be searched for.
+MIN_ITEM = 5
 
 PAIRS = "doc_id long, item_id long, doc_start long, doc_end long, item_start long, n_equal long, n_item_tokens long, identity double, coverage double"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -56,7 +58,7 @@ class Index:
     def of(cls, items: list[tuple[int, str]]) -> Index:
         hasher = WordHasher()
         items = [(i, hasher.of(tokens(t))) for i, t in items if t]
-        items = [(i, w) for i, w in items if len(w)]
+        items = [(i, w) for i, w in items if len(w) >= MIN_ITEM]
         # items shorter than the masks are compared densely, as wholes
         masks = [*MASKS, *("1" * n for n in sorted({len(w) for _, w in items if len(w) < SPAN}))]
         tables = []
@@ -136,7 +138,7 @@ def _pairs(index) -> object:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each document and benchmark item that share an overlap; columns as in PAIRS.
+    """A row for each document and benchmark item (of MIN_ITEM tokens or more) that share an overlap; columns as in PAIRS.
 
     Tokens are lower-cased runs of letters and digits; positions count
     tokens.  Null and empty texts, and items without an id, match nothing;
