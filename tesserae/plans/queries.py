@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import labels, scalars
 from tesserae.functions.config import FEATURE_GROUPS, FEATURES, LabelConfig
-from tesserae.operators import calibrate, dedup, export, histogram, metrics, naming, overlay, quality, sampling, slices, stats
+from tesserae.operators import calibrate, cluster, dedup, experiments, export, histogram, metrics, naming, overlay, quality, sampling, slices, stats
 from tesserae.plans import views
 from tesserae.plans.views import BANK_SQL, FEATURES_SQL, HASHES_CTE, METADATA_SQL, PART_HISTOGRAM_SQL, QUALITY_SQL, table
 
@@ -492,6 +492,61 @@ def experiment_scores(spark, sf_dir):
     return metrics.experiment_scores(runs).select("run", "eliminated", "score")
 
 
+_TRIALS = "runs AS (SELECT 'r' || s_suppkey % 6 AS recipe, 'd' || s_nationkey % 5 AS dataset, (s_suppkey % 37) / 40.0::DOUBLE AS silhouette, (s_suppkey % 31)::DOUBLE AS noise_rate, s_suppkey % 13 AS n_clusters, (s_suppkey % 19) / 20.0::DOUBLE AS largest_cluster_ratio FROM supplier)"
+
+
+def _trials(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("r"), k % 6).alias("recipe"), F.concat(F.lit("d"), F.col("s_nationkey") % 5).alias("dataset"), (k % 37 / 40).alias("silhouette"), (k % 31).cast("double").alias("noise_rate"), (k % 13).alias("n_clusters"), (k % 19 / 20).alias("largest_cluster_ratio"))
+
+
+@_query(f"""WITH {_TRIALS}, b(dataset, b_sil, b_noise, b_clusters) AS (VALUES ('d0', 0.469::DOUBLE, 21.7::DOUBLE, 4), ('d1', 0.458::DOUBLE, 20.1::DOUBLE, 10)),
+s AS (SELECT recipe, greatest(0, CASE WHEN b_sil IS NOT NULL THEN greatest(0, 100 - greatest(0, b_sil - silhouette) * 200) - least(30, greatest(0, (noise_rate - b_noise) * 2)) - least(20, abs(n_clusters - b_clusters) * 5) ELSE least(100, silhouette * 150) - least(30, noise_rate * 1.5) - CASE WHEN largest_cluster_ratio > 0.5 THEN 20 ELSE 0 END END) AS s,
+silhouette - b_sil AS sil, abs(noise_rate - b_noise) AS noise, abs(n_clusters - b_clusters) AS c FROM runs LEFT JOIN b USING (dataset))
+SELECT recipe, round(avg(s), 1) AS avg_composite_score, round(avg(sil), 4) AS avg_silhouette_delta, round(avg(noise), 2) AS avg_noise_rate_abs_delta, round(avg(c), 1) AS avg_cluster_count_abs_delta, count(sil) AS datasets_with_baseline FROM s GROUP BY recipe""", "avg_composite_score", "avg_silhouette_delta", "avg_noise_rate_abs_delta", "avg_cluster_count_abs_delta")
+def recipe_scores(spark, sf_dir):
+    base = spark.createDataFrame([("d0", 0.469, 21.7, 4), ("d1", 0.458, 20.1, 10)], "dataset string, silhouette double, noise_rate double, clusters int")
+    return experiments.recipe_scores(_trials(spark, sf_dir), base)
+
+
+@_query(f"WITH {_TRIALS} SELECT recipe AS trial, 0.7 * coalesce(avg(silhouette) FILTER (dataset IN ('d0', 'd1')), 0) + 0.3 * coalesce(avg(silhouette) FILTER (dataset NOT IN ('d0', 'd1')), 0) AS objective FROM runs GROUP BY recipe", "objective")
+def tuning_objective(spark, sf_dir):
+    return experiments.objective(_trials(spark, sf_dir).select(F.col("recipe").alias("trial"), F.col("silhouette").alias("score"), F.col("dataset").isin("d0", "d1").alias("is_baseline")))
+
+
+@_query(f"WITH {_TRIALS}, g AS (SELECT dataset, avg(silhouette) AS m, stddev_pop(silhouette) AS s, min(silhouette) AS lo, max(silhouette) AS hi, max(n_clusters) - min(n_clusters) AS cluster_range, max(largest_cluster_ratio) - min(largest_cluster_ratio) AS largest_range FROM runs GROUP BY dataset) SELECT dataset, m AS mean_silhouette, s AS std_silhouette, hi - lo AS silhouette_range, cluster_range, largest_range, greatest(hi - m, m - lo) AS max_deviation, greatest(hi - m, m - lo) < 0.02 AS stable FROM g", "mean_silhouette", "std_silhouette", "silhouette_range", "largest_range", "max_deviation")
+def repeat_stability(spark, sf_dir):
+    return experiments.repeat_stats(_trials(spark, sf_dir))
+
+
+@_query()
+def density_clusters(spark, sf_dir):
+    scaled = stats.robust_scale(views.features(spark, sf_dir), NAMES)
+    return cluster.density_clusters(scaled, NAMES, "vec_id").select("vec_id", "cluster_id")
+
+
+@_query()
+def principal_components(spark, sf_dir):
+    return cluster.embedding(stats.robust_scale(views.features(spark, sf_dir), NAMES), NAMES, "vec_id", 3)
+
+
+@_query()
+def refined_clusters(spark, sf_dir):
+    return cluster.refine(views.features(spark, sf_dir), NAMES, "vec_id").select("vec_id", "cluster_id", "sub", "accepted")
+
+
+@_query()
+def feature_information(spark, sf_dir):
+    return cluster.information(views.features(spark, sf_dir), NAMES)
+
+
+@_query()
+def localized_names(spark, sf_dir):
+    ranks = stats.percentile_ranks(views.features(spark, sf_dir), NAMES)
+    named = naming.name_clusters(ranks)
+    return named.select("cluster_id", "suggested_name", experiments.localized(F.col("suggested_name")).alias("display_name"))
+
+
 @_query()
 def cluster_health(spark, sf_dir):
     return metrics.health(views.features(spark, sf_dir), NAMES, "vec_id")

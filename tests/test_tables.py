@@ -109,3 +109,10 @@ def test_stream_takes_each_content_once(spark, tmp_path):
     stream = ingest.distinct_contents(ingest.arrivals(spark, str(src)))
     ingest.to_parquet(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_localized_names(spark):
+    from tesserae.operators.experiments import localized
+
+    df = spark.createDataFrame([("high_key_warm_side_light",), ("noise",), ("my_name",)], "n string")
+    assert [r[0] for r in df.select(localized(F.col("n"))).collect()] == ["侧光 · 高调 · 暖色", "未归类", "my name"]
