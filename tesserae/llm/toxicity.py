@@ -33,11 +33,11 @@ _SKIP = np.uint64(0xD6E8FEB86659FD93)
 class Ftrl:
     """Settings: rate alpha and beta of the per-coordinate rates, l1, l2, passes over the rows."""
 
-    alpha: float = 0.5
+    alpha: float = 2.0
     beta: float = 1.0
     l1: float = 5.0
-    l2: float = 1.0
-    passes: int = 2
+    l2: float = 0.0
+    passes: int = 5
 
 
 def features(text: str | None, hasher: WordHasher) -> np.ndarray:
