@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import basename, extension, rename, sanitize_filename, stem
-from tesserae.operators.slices import first_occurrences
+from tesserae.operators.slices import first_occurrences, ranked
 
 
 def plan(items: DataFrame, folder: str, template: str | None = None, top: int | None = None) -> DataFrame:
@@ -18,7 +18,7 @@ def plan(items: DataFrame, folder: str, template: str | None = None, top: int |
     rows = first_occurrences(items, "image_id", "position")
     if top is not None:
         rows = rows.orderBy("position", "image_id").limit(top)
-    rows = rows.withColumn("rank", F.row_number().over(Window.orderBy("position", "image_id")))
+    rows = ranked(rows, "position", "image_id")
     name = basename(F.col("path")) if template is None else rename(template, F.lit(folder), F.col("rank"), F.col("path"))
     return _unique(rows.withColumn("_name", sanitize_filename(name)).withColumn("_folder", F.lit(folder)))
 

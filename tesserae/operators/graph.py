@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """``df`` without its lineage: a reliable checkpoint where the session has a folder for it, else a local read-through cache."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
 
@@ -17,13 +17,13 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds of the neighbours' smallest root, then that root's root; their
     number grows with the logarithm of the longest chain.
     """
-    both = _cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    now = _cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")))
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    now = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")))
     while True:
         near = both.join(now.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("m"))
         step = now.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         jump = now.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        new = _cut(step.join(jump, "root").select("id", "old", F.least("root", "far").alias("root")))
+        new = cut(step.join(jump, "root").select("id", "old", F.least("root", "far").alias("root")))
         now = new.select("id", "root")
         if new.where("old != root").isEmpty():
             return now

@@ -116,3 +116,10 @@ def test_localized_names(spark):
 
     df = spark.createDataFrame([("high_key_warm_side_light",), ("noise",), ("my_name",)], "n string")
     assert [r[0] for r in df.select(localized(F.col("n"))).collect()] == ["侧光 · 高调 · 暖色", "未归类", "my name"]
+
+
+def test_ranks_without_one_task(spark):
+    rows = spark.range(0, 5000, 1, 7).selectExpr("id", "id * 7919 % 5003 AS k")
+    got = [(r["k"], r["rank"]) for r in slices.ranked(rows, "k").collect()]
+    assert [n for _, n in sorted(got)] == list(range(1, 5001))
+    assert slices.ranked(rows.where("false"), "k").count() == 0
