@@ -9,6 +9,10 @@ from tesserae.functions.config import TAG_RULES
 from tesserae.functions.scalars import tag_score
 
 
+#: Lifts means of rounded numbers off exact ties, so that these round up whatever the sum's order.
+TIE = 1e-9
+
+
 def rule_table(spark, rules: dict = TAG_RULES) -> DataFrame:
     rows = [(gi, g, ti, t, f, d, w) for gi, (g, tags) in enumerate(rules.items()) for ti, (t, parts) in enumerate(tags.items()) for f, d, w in parts]
     return spark.createDataFrame(rows, "g int, grp string, t int, tag string, feature string, direction string, rule_weight double")
@@ -34,7 +38,7 @@ def name_clusters(percentiles: DataFrame, rules: dict = TAG_RULES, cluster: str
     place = F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("score"), "g"))
     tags = tags.withColumn("place", place).where(F.col("place") <= top)
     confidence = F.round(F.least("score", F.lit(1.0)), 4)
-    lists = tags.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("place", F.col("grp").alias("group"), "tag", confidence.alias("confidence"), "score"))).alias("tags"), F.round(F.avg(confidence), 4).alias("name_confidence"))
+    lists = tags.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("place", F.col("grp").alias("group"), "tag", confidence.alias("confidence"), "score"))).alias("tags"), F.round(F.avg(confidence) + TIE, 4).alias("name_confidence"))
     name = F.array_join(F.transform(F.filter("tags", lambda x: x["score"] > 0.15), lambda x: x["tag"]), "_")
     every = percentiles.select(cluster).distinct().join(lists, cluster, "left")
     return every.select(

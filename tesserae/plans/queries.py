@@ -374,7 +374,7 @@ def _naming_sql() -> str:
 s AS (SELECT cluster_id, g, grp, t, tag, round(sum(greatest(0, CASE direction WHEN 'high' THEN (percentile - 50) / 50 WHEN 'low' THEN (50 - percentile) / 50 ELSE 1 - abs(percentile - 50) / 30 END) * w) / sum(w), 12) AS score FROM ranks JOIN rules USING (feature) GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, g ORDER BY score DESC, t) AS n FROM s QUALIFY n = 1),
 top AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, g) AS place FROM best WHERE score > 0.1 QUALIFY place <= 5),
-named AS (SELECT cluster_id, array_to_string(list(tag ORDER BY place) FILTER (score > 0.15), '_') AS name, round(avg(round(least(score, 1), 4)), 4) AS conf FROM top GROUP BY cluster_id)
+named AS (SELECT cluster_id, array_to_string(list(tag ORDER BY place) FILTER (score > 0.15), '_') AS name, round(avg(round(least(score, 1), 4)) + {naming.TIE}, 4) AS conf FROM top GROUP BY cluster_id)
 SELECT cluster_id, coalesce(nullif(name, ''), 'balanced') AS suggested_name, coalesce(conf, 0) AS name_confidence FROM (SELECT DISTINCT cluster_id FROM ranks) LEFT JOIN named USING (cluster_id)"""
 
 
