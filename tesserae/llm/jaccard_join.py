@@ -351,4 +351,4 @@ def keep_first(docs: DataFrame, near: Near = Near()) -> DataFrame:
     gone = classes(docs, near).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = Workspace(docs.sparkSession, "near").save(gone, "gone")
     few = gone.count() <= MOST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["_gone"], "left_anti")

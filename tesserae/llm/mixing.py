@@ -113,9 +113,12 @@ def sample(docs: DataFrame, powers: dict[str, float] | None = None, budget: floa
     ws = Workspace(docs.sparkSession, "mixing")
     cells = rake(features(docs), ws, powers)
     share = F.least(F.lit(1.0), F.lit(budget) * F.col("all_tokens") * F.col("weight") / F.col("tokens"))
-    cells = cells.select(*(F.col(d).alias(f"_{d}") for d in DIMS), share.alias("_share"))
+    # names that no column of docs has
+    mark = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in docs.columns), default=0))
+    cells = cells.select(*(F.col(d).alias(f"{mark}{d}") for d in DIMS), share.alias(f"{mark}share"))
     # cells may number too many to broadcast; a skewed join can split a hot cell
-    keyed = docs.select("*", F.coalesce("source", F.lit(NONE)).alias("_source"), F.coalesce("lang", F.lit(NONE)).alias("_lang"), topic(F.col("text")).alias("_topic"))
+    own = {"source": F.coalesce("source", F.lit(NONE)), "lang": F.coalesce("lang", F.lit(NONE)), "topic": topic(F.col("text"))}
+    keyed = docs.select("*", *(c.alias(f"{mark}{d}") for d, c in own.items()))
     small = cells.count() <= MOST_CELLS
-    kept = keyed.join(F.broadcast(cells) if small else cells, ["_source", "_lang", "_topic"])
-    return kept.where((n_tokens(F.col("text")) > 0) & (uniform(F.col("doc_id")) < F.col("_share"))).select(*(docs[c] for c in docs.columns))
+    kept = keyed.join(F.broadcast(cells) if small else cells, [f"{mark}{d}" for d in DIMS])
+    return kept.where((n_tokens(F.col("text")) > 0) & (uniform(F.col("doc_id")) < F.col(f"{mark}share"))).select(*docs.columns)

@@ -49,4 +49,4 @@ def documents(n=120, seed=7):
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Column names that operators use inside.
-CLASHES = ("n", "sid", "key", "keys", "score", "tokens", "g", "weight", "topic", "raw", "shard", "h", "spans", "_text", "_d")
+CLASHES = ("n", "sid", "key", "keys", "score", "tokens", "g", "weight", "topic", "raw", "shard", "h", "spans", "_text", "_d", "_gone", "_source", "_share", "__topic")

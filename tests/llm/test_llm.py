@@ -152,6 +152,15 @@ def test_substring_text_keeps_the_rest(docs):
         assert len(left) == len(raw.split()) - sum(c[3] for c in cut) == len(raw.split()) - r["n_words_removed"]
 
 
+def test_substring_without_broadcast(docs):
+    before = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(docs).collect()}
+    old, substring_dedup.MOST_RUNS = substring_dedup.MOST_RUNS, 0
+    try:
+        assert {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(docs).collect()} == before
+    finally:
+        substring_dedup.MOST_RUNS = old
+
+
 def test_substring_odd(odd, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
     assert substring_dedup.dedup_substrings(odd).count() == 0
