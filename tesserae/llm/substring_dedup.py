@@ -15,11 +15,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.jaccard_join import MOST_IDS
 from tesserae.llm.shared import Workspace
 
 #: A run is extended until it has so many sentences and so many words; a sentence of LONG words is a run by itself.
 SENTENCES, WORDS, LONG = 2, 20, 40
+#: Documents and runs to remove that may be broadcast to the texts; beyond, these are joined by a shuffle.
+MOST_RUNS = 2_000_000
 #: After ., ! or ? that ends a word, closing marks included, or at a line break.
 BREAK = re.compile(rb"(?<=[.!?])[\x22\x27)\]]*[\x20\t\r]+|[\r\n]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -144,7 +145,8 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     of one doc_id give a row each, an empty table none.
     """
     gone = repeated_spans(docs)
-    few = gone.count() <= MOST_IDS // 4
+    size = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("runs")).first()
+    few = size["rows"] + size["runs"] <= MOST_RUNS
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text").cast("binary").alias("raw"))
     texts = keyed.join(F.broadcast(gone.select("doc_id", "gone")) if few else gone.select("doc_id", "gone"), "doc_id")
     out = texts.select("doc_id", "raw", "gone").mapInArrow(_removed, RESULT).where("n_removed > 0")
