@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import hamming
-from tesserae.operators.graph import components
+from tesserae.operators.graph import components, cut
 
 # The largest distance that counts as a hit, by hash, and the hits a pair needs.
 THRESHOLDS = {"phash": 6, "dhash": 8, "whash": 8, "colorhash": 4}
@@ -63,6 +63,7 @@ def near_pairs(classes: DataFrame, rule: PairRule = PairRule()) -> DataFrame:
     that exact); a pair is kept where it meets first, then verified.
     """
     names = [n for n, _ in rule.thresholds]
+    classes = cut(classes)  # read by both sides of the join and each seed
     keyed = [
         classes.where(F.col(n).isNotNull()).select("id", *names, F.posexplode(bands(F.col(n), t + 1)).alias("k", "v")).select("id", *names, F.lit(n).alias("h"), "k", "v")
         for n, t in rule.seeds()
@@ -81,6 +82,7 @@ def perceptual_groups(hashes: DataFrame, rule: PairRule = PairRule()) -> DataFra
     Rows with equal hashes form one class first, so copies make no pairs.
     """
     names = [n for n, _ in rule.thresholds]
+    hashes = cut(hashes)
     classes = hash_classes(hashes, rule)
     roots = components(near_pairs(classes, rule))
     named = classes.join(roots, "id", "left").select(*(F.col(n).alias(f"_{n}") for n in names), F.coalesce("root", "id").alias("group_id"), "copies")
