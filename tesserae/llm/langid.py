@@ -10,6 +10,7 @@ prototype with the largest cosine.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,14 +34,21 @@ UNIT = 1 << 20
 UNKNOWN = "und"
 
 
+@lru_cache(maxsize=1)
+def _letter_table() -> np.ndarray:
+    """A letter's code point at its place, 0 for anything else; worked out once a process."""
+    table = np.arange(0x110000, dtype=np.uint32)
+    # lower case is applied before; str.isalpha holds for the letter categories
+    table[[not chr(c).isalpha() for c in range(0x110000)]] = 0
+    return table
+
+
 class Letters:
     """Ids of letters: 0 is anything that parts words, a letter is its code point; vectors follow from the id alone."""
 
     def __init__(self, dim: int = DIM):
         self.dim = dim
-        # lower case is applied before; str.isalpha holds for the letter categories
-        self.id_of = np.arange(0x110000, dtype=np.uint32)
-        self.id_of[[not chr(c).isalpha() for c in range(0x110000)]] = 0
+        self.id_of = _letter_table()
         self.known: dict[int, np.ndarray] = {}
 
     def vector(self, letter: int) -> np.ndarray:
