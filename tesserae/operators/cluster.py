@@ -1,9 +1,10 @@
 """Clustering of feature tables: reduction, density clusters, refinement, information.
 
 The reductions and HDBSCAN see one table of bounded size per task (a
-dataset's images, or one cluster of them): MAX_POINTS is checked, and beyond
-it a seeded sample is clustered and every other row takes the label of its
-nearest core point, row by row, without a shuffle.
+dataset's images, or one cluster of them): MAX_POINTS is checked.  Beyond it
+a cluster is refined by many tasks (``Wide``) over all of its rows, and of a
+dataset a seeded sample is clustered and every other row takes the label of
+its nearest core point, row by row, without a shuffle.
 """
 
 from __future__ import annotations
@@ -13,13 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.config import Recipe
 from tesserae.operators import metrics, stats
 
 MAX_POINTS = 20_000
+#: Beyond MAX_POINTS: spans of rows whose pairs are a task each, and distances that a task holds at once.
+SPANS, CELLS = 12, 4_000_000
 
 
 # ---- NumPy kernels ----------------------------------------------------------------------------------------------
@@ -51,12 +55,12 @@ def pca(x: np.ndarray, k: int) -> np.ndarray:
     return c @ v
 
 
-def umap(x: np.ndarray, k: int, n_neighbors: int = 15, min_dist: float = 0.05, epochs: int = 200, seed: int = 42) -> np.ndarray:
+def umap(x: np.ndarray, k: int, n_neighbors: int = 15, min_dist: float = 0.05, epochs: int = 200, seed: int = 42, nearest: Callable = neighbors) -> np.ndarray:
     """A layout of the fuzzy neighbour graph, from principal scores, by attraction along edges and sampled repulsion."""
     n = len(x)
     if n <= k + 2:
         return np.pad(pca(x, k), ((0, 0), (0, max(0, k - x.shape[1]))))
-    ids, far = neighbors(x, min(n_neighbors + 1, n))
+    ids, far = nearest(x, min(n_neighbors + 1, n))
     ids, far = ids[:, 1:], far[:, 1:]
     rho = far[:, 0]
     target = np.log2(far.shape[1])
@@ -124,7 +128,7 @@ def _tree(x: np.ndarray, min_samples: int) -> np.ndarray:
     return np.array(sorted(edges, key=lambda e: e[2])).reshape(-1, 3)
 
 
-def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None = None, method: str = "eom") -> np.ndarray:
+def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None = None, method: str = "eom", tree: Callable = _tree) -> np.ndarray:
     """Density clusters, -1 for noise, numbered by their first row.
 
     The spanning tree is merged bottom up, condensed to splits of at least
@@ -134,7 +138,7 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None =
     n = len(x)
     if n < max(2 * min_cluster_size, 3):
         return np.full(n, -1)
-    edges = _tree(x, min_samples or min_cluster_size)
+    edges = tree(x, min_samples or min_cluster_size)
     parent = np.arange(2 * n - 1)
     size = np.ones(2 * n - 1, np.int64)
     kids = np.full((2 * n - 1, 2), -1)
@@ -146,8 +150,12 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None =
             v = parent[v]
         return v
 
-    for k, (u, v, d) in enumerate(edges):
-        a, b, new = root(int(u)), root(int(v)), n + k
+    new = n - 1
+    for u, v, d in edges:
+        a, b = root(int(u)), root(int(v))
+        if a == b:  # only ``Wide`` has edges besides those of the tree
+            continue
+        new += 1
         parent[a] = parent[b] = new
         kids[new], size[new], height[new] = (a, b), size[a] + size[b], d
     lam = lambda d: 1.0 / max(d, 1e-12)
@@ -219,13 +227,18 @@ def spread(x: np.ndarray, labels: np.ndarray) -> float:
     return round(float(np.mean(each)), 4) if each else 0.0
 
 
-def silhouette_of(x: np.ndarray, labels: np.ndarray) -> float:
+def distance_totals(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each row's total distance to the rows of each cluster (0, 1, ..)."""
+    one = np.eye(at.max() + 1)[at]
+    return np.concatenate([distances(x[a : a + 1024], x) @ one for a in range(0, len(x), 1024)])
+
+
+def silhouette_of(x: np.ndarray, labels: np.ndarray, totals: Callable = distance_totals) -> float:
     ids, at = np.unique(labels, return_inverse=True)
     if len(ids) < 2:
         return 0.0
-    one = np.eye(len(ids))[at]
-    n = one.sum(0)
-    total = np.concatenate([distances(x[a : a + 1024], x) @ one for a in range(0, len(x), 1024)])
+    n = np.bincount(at).astype(float)
+    total = totals(x, at)
     own = total[np.arange(len(x)), at]
     a = own / np.maximum(n[at] - 1, 1)
     mean = total / n
@@ -234,6 +247,114 @@ def silhouette_of(x: np.ndarray, labels: np.ndarray) -> float:
     return float(np.where(n[at] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0.0).mean())
 
 
+def _prim(x: np.ndarray, core: np.ndarray, cut: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A minimum spanning tree by mutual reachability; with ``cut``, of the edges between rows before and from it only."""
+    n, t = len(x), np.ascontiguousarray(x.T)
+    best, of = np.full(n, np.inf), np.zeros(n, np.int64)
+    inside = np.zeros(n, bool)
+    at, to, far = 0, np.zeros(n - 1, np.int64), np.zeros(n - 1)
+    for k in range(n - 1):
+        inside[at] = True
+        part = slice(0, n) if not cut else slice(cut, n) if at < cut else slice(0, cut)
+        d = np.sqrt(((t[:, part] - t[:, at, None]) ** 2).sum(0))
+        np.maximum(d, core[part], out=d)
+        np.maximum(d, core[at], out=d)
+        better = (d < best[part]) & ~inside[part]
+        best[part][better], of[part][better] = d[better], at
+        at = int(np.where(inside, np.inf, best).argmin())
+        to[k], far[k] = at, best[at]
+    return of[to], to, far
+
+
+class Wide:
+    """The quadratic kernels for more than MAX_POINTS rows: all points are broadcast, spans of rows are dealt over tasks.
+
+    Work grows with the square of the rows; a task holds the points and CELLS
+    distances, the driver some SPANS edges a row.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.trees: dict[int, np.ndarray] = {}
+
+    def over(self, tasks: int, each: Callable[[int], pd.DataFrame], schema: str) -> pd.DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for k in b["id"].tolist():
+                    yield each(k)
+
+        return self.spark.range(0, tasks, 1, tasks).mapInPandas(run, schema).toArrow().to_pandas()
+
+    def over_rows(self, x: np.ndarray, each: Callable[[np.ndarray, np.ndarray], dict], schema: str) -> pd.DataFrame:
+        """What ``each`` makes of some rows' distances (-1 to the row itself) and the rows' numbers, in row order."""
+        n, tasks = len(x), 8 * SPANS
+        shared, cells = self.spark.sparkContext.broadcast(x), CELLS
+
+        def span(k: int) -> pd.DataFrame:
+            points, parts, step = shared.value, [], max(1, cells // n)
+            for a in range(k * n // tasks, (k + 1) * n // tasks, step):
+                rows = np.arange(a, min(a + step, (k + 1) * n // tasks))
+                d = distances(points[rows], points)
+                d[np.arange(len(rows)), rows] = -1.0
+                parts.append(pd.DataFrame(each(d, rows)))
+            return pd.concat(parts)
+
+        out = self.over(tasks, span, schema).sort_values("row", kind="stable")
+        shared.unpersist()
+        return out
+
+    def neighbors(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """As the function of this name."""
+
+        def each(d: np.ndarray, rows: np.ndarray) -> dict:
+            near = np.argpartition(d, k - 1, axis=1)[:, :k]
+            near = np.take_along_axis(near, np.lexsort((near, np.take_along_axis(d, near, 1)), axis=1), 1)
+            return {"row": np.repeat(rows, k), "id": near.ravel(), "far": np.maximum(np.take_along_axis(d, near, 1), 0.0).ravel()}
+
+        out = self.over_rows(x, each, "row long, id long, far double")
+        return out["id"].to_numpy().reshape(-1, k), out["far"].to_numpy().reshape(-1, k)
+
+    def totals(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """As ``distance_totals``."""
+        order = np.argsort(at, kind="stable")
+        starts = np.searchsorted(at[order], np.arange(at.max() + 1))
+
+        def each(d: np.ndarray, rows: np.ndarray) -> dict:
+            d = np.maximum(d, 0.0)
+            return {"row": rows, "total": list(np.add.reduceat(d, starts, axis=1))}
+
+        out = np.empty((len(x), len(starts)))
+        out[order] = np.stack(self.over_rows(x[order], each, "row long, total array<double>")["total"])
+        return out
+
+    def tree(self, x: np.ndarray, min_samples: int) -> np.ndarray:
+        """Edges, shortest first, that hold the minimum spanning tree by mutual reachability of the one ``x`` of this object.
+
+        An edge of the tree is the lightest across some cut, so it is in the
+        tree of any part of the graph that has it: the trees within each span
+        and between each two of them hold all edges of the whole tree.
+        """
+        if min_samples in self.trees:
+            return self.trees[min_samples]
+        n, k = len(x), min(min_samples + 1, len(x))
+        core = self.over_rows(x, lambda d, rows: {"row": rows, "core": np.maximum(np.partition(d, k - 1, axis=1)[:, k - 1], 0.0)}, "row long, core double")["core"].to_numpy()
+        pairs = [(i, j) for i in range(SPANS) for j in range(i, SPANS)]
+        cuts = [i * n // SPANS for i in range(SPANS + 1)]
+        shared = self.spark.sparkContext.broadcast((x, core))
+
+        def between(p: int) -> pd.DataFrame:
+            (i, j), (points, reach) = pairs[p], shared.value
+            first, second = np.arange(cuts[i], cuts[i + 1]), np.arange(cuts[j], cuts[j + 1])
+            rows = first if i == j else np.concatenate([first, second])
+            u, v, d = _prim(points[rows], reach[rows], 0 if i == j else len(first))
+            return pd.DataFrame({"u": rows[u], "v": rows[v], "d": d})
+
+        edges = self.over(len(pairs), between, "u int, v int, d double")
+        shared.unpersist()
+        self.trees[min_samples] = edges.sort_values(["d", "u", "v"]).to_numpy(float)
+        return self.trees[min_samples]
+
+
 def mutual_information(values: np.ndarray, labels: np.ndarray, k: int = 3, seed: int = 42) -> float:
     """Mutual information (nats) of a continuous value and a class, by nearest neighbours within the class."""
     rng = np.random.default_rng(seed)
@@ -427,12 +548,12 @@ def gates(size: int, adaptive: bool = True, min_size: int = 30) -> Gates | None:
 def refine(df: DataFrame, names: Sequence[str], key: str, cluster: str = "cluster_id", adaptive: bool = True, min_size: int = 30) -> DataFrame:
     """key, cluster, sub (the part of an accepted split, else -1), accepted, and the reason.
 
-    Clusters refine in parallel, a task each; one over MAX_POINTS is left as
-    it is, with the reason.
+    Clusters refine in parallel, a task each; those over MAX_POINTS one after
+    another, each dealt over many tasks, by the same rules over all rows.
     """
     kinds = dict(df.dtypes)
 
-    def split(part: pd.DataFrame) -> pd.DataFrame:
+    def split(part: pd.DataFrame, tree: Callable = _tree) -> pd.DataFrame:
         part = part.sort_values(key)
         n = len(part)
         out = pd.DataFrame({key: part[key], cluster: part[cluster], "sub": np.full(n, -1, np.int32), "accepted": False, "reason": ""})
@@ -442,7 +563,7 @@ def refine(df: DataFrame, names: Sequence[str], key: str, cluster: str = "cluste
             return out
         x = part[list(names)].to_numpy(float)
         smallest = max(g.smallest, int(n * g.ratio))
-        labels = hdbscan(pca(x, min(5, n - 1)), smallest, max(g.fewest_samples, int(smallest * g.samples_ratio)))
+        labels = hdbscan(pca(x, min(5, n - 1)), smallest, max(g.fewest_samples, int(smallest * g.samples_ratio)), tree=tree)
         sizes = np.bincount(labels[labels >= 0]) if (labels >= 0).any() else np.zeros(0)
         before, after = spread(x, np.zeros(n, int)), spread(x, labels)
         bad = []
@@ -458,12 +579,14 @@ def refine(df: DataFrame, names: Sequence[str], key: str, cluster: str = "cluste
         out["sub"] = labels.astype(np.int32) if not bad else np.int32(-1)
         return out
 
-    size = df.where(F.col(cluster) >= 0).groupBy(cluster).agg(F.count("*").alias("_n"))
-    sized = df.where(F.col(cluster) >= 0).join(F.broadcast(size), cluster)
-    fits = sized.where(F.col("_n") <= MAX_POINTS).select(key, cluster, *names)
-    big = sized.where(F.col("_n") > MAX_POINTS).select(key, cluster, F.lit(-1).alias("sub"), F.lit(False).alias("accepted"), F.lit("too many rows").alias("reason"))
+    rows = df.where(F.col(cluster) >= 0).select(key, cluster, *names)
+    big = [r[0] for r in rows.groupBy(cluster).count().where(F.col("count") > MAX_POINTS).orderBy(cluster).collect()]
     schema = f"{key} {kinds[key]}, {cluster} {kinds[cluster]}, sub int, accepted boolean, reason string"
-    return fits.groupBy(cluster).applyInPandas(split, schema).unionAll(big)
+    out = rows.where(~F.col(cluster).isin(big)).groupBy(cluster).applyInPandas(lambda part: split(part), schema)
+    for c in big:
+        done = split(rows.where(F.col(cluster) == c).toArrow().to_pandas(), Wide(df.sparkSession).tree)
+        out = out.unionAll(df.sparkSession.createDataFrame(pa.Table.from_pandas(done, preserve_index=False)).select(F.col(key).cast(kinds[key]), F.col(cluster).cast(kinds[cluster]), "sub", "accepted", "reason"))
+    return out
 
 
 def relabel(refined: DataFrame, df: DataFrame, key: str, cluster: str = "cluster_id") -> DataFrame:

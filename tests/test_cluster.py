@@ -96,3 +96,13 @@ def test_residual_matrix(spark):
     q = spark.createDataFrame([("a", 0.25), ("a", 0.25)], "image_path string, q1 double")
     rows = {r[0]: r[1:] for r in cluster.residual_matrix(bank, h, q, {"histogram": ["h1"], "quality": ["q1"]}).collect()}
     assert len(rows["a"]) == 58 and max(rows["a"]) == 5 and min(rows["a"]) == -5 and rows["a"][-2:] == (0.5, 0.25) and rows["b"][-2:] == (0, 0)
+
+
+def test_large_clusters_are_refined_by_all_rows(spark, monkeypatch):
+    x, y = blobs(120, 3)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=NAMES).assign(id=range(len(x)), cluster_id=np.where(y == 2, 1, 0)))
+    whole = sorted(cluster.refine(df, NAMES, "id").collect())
+    monkeypatch.setattr(cluster, "MAX_POINTS", 200)
+    done = cluster.refine(df, NAMES, "id")
+    assert sorted(done.collect()) == whole
+    assert {r[0] for r in done.where("accepted").select("cluster_id").distinct().collect()} == {0}
