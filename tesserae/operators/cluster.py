@@ -1,10 +1,9 @@
 """Clustering of feature tables: reduction, density clusters, refinement, information.
 
-The reductions and HDBSCAN see one table of bounded size per task (a
-dataset's images, or one cluster of them): MAX_POINTS is checked.  Beyond it
-a cluster is refined by many tasks (``Wide``) over all of its rows, and of a
-dataset a seeded sample is clustered and every other row takes the label of
-its nearest core point, row by row, without a shuffle.
+HDBSCAN and what it needs see all rows of their table (a dataset's images, or
+one cluster of them).  Up to MAX_POINTS rows that is one task; beyond, the same
+values come from many tasks (``Wide``), each with a span of the rows against
+all of them, and only the tree's n - 1 merges are made on the driver.
 """
 
 from __future__ import annotations
@@ -402,35 +401,13 @@ def neighbor_count(n: int, wanted: int) -> int:
     return max(2, min(wanted, max(15, int(n**0.5)), 100, n - 1))
 
 
-def on_points(df: DataFrame, names: Sequence[str], key: str, compute: Callable[[np.ndarray], np.ndarray], seed: int = 42, label: str = "cluster_id") -> DataFrame:
-    """``df`` with the labels that ``compute`` gives its points, in key order.
-
-    Up to MAX_POINTS rows are computed on at once; of more, a hash-picked
-    sample is, and the rest take the label of the nearest sampled row.
-    """
-    spark = df.sparkSession
-    n = df.count()
-    rows = df.select(key, *names)
-    sample = rows if n <= MAX_POINTS else rows.where(F.xxhash64(key, F.lit(seed)) < F.lit(int(-(2**63) + 2**64 * (0.95 * MAX_POINTS / n))))
-    points = sample.orderBy(key).toPandas()
+def on_points(df: DataFrame, names: Sequence[str], key: str, compute: Callable[[np.ndarray], np.ndarray], label: str = "cluster_id") -> DataFrame:
+    """``df`` with the labels that ``compute`` gives its points, in key order."""
+    points = df.select(key, *names).orderBy(key).toArrow().to_pandas()
     labels = compute(points[list(names)].to_numpy(float)) if len(points) else np.zeros(0, int)
-    shared = spark.sparkContext.broadcast((points[key].to_numpy(), points[list(names)].to_numpy(float), labels))
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, known, of = shared.value
-        own = dict(zip(keys.tolist(), of.tolist(), strict=True))
-        for b in batches:
-            out = b[key].map(own)
-            for start in range(0, len(b), 512):
-                part = slice(start, start + 512)
-                rest = out.iloc[part].isna().to_numpy()
-                if rest.any():
-                    near = distances(b.iloc[part][list(names)].to_numpy(float)[rest], known).argmin(1)
-                    out.iloc[np.flatnonzero(rest) + start] = of[near]
-            yield pd.DataFrame({key: b[key], label: out.astype(np.int32)})
-
-    kind = dict(rows.dtypes)[key]
-    return df.drop(label).join(rows.mapInPandas(assign, f"{key} {kind}, {label} int"), key)
+    kind = dict(df.dtypes)[key]
+    table = pa.Table.from_pandas(pd.DataFrame({key: points[key], label: labels.astype(np.int32)}), preserve_index=False)
+    return df.drop(label).join(df.sparkSession.createDataFrame(table).select(F.col(key).cast(kind), label), key)
 
 
 def density_clusters(df: DataFrame, names: Sequence[str], key: str, recipe: Recipe = Recipe("default"), embed: str = "pca", method: str = "eom") -> DataFrame:
@@ -445,14 +422,16 @@ def density_clusters(df: DataFrame, names: Sequence[str], key: str, recipe: Reci
         n = len(x)
         if n < 10:
             return np.full(n, -1)
-        y = x if embed == "raw" else pca(x, recipe.components) if embed == "pca" else umap(x, recipe.components, neighbor_count(n, recipe.neighbors), recipe.min_dist, seed=recipe.seed)
+        wide = Wide(df.sparkSession) if n > MAX_POINTS else None
+        tree, totals, nearest = (wide.tree, wide.totals, wide.neighbors) if wide else (_tree, distance_totals, neighbors)
+        y = x if embed == "raw" else pca(x, recipe.components) if embed == "pca" else umap(x, recipe.components, neighbor_count(n, recipe.neighbors), recipe.min_dist, seed=recipe.seed, nearest=nearest)
         granularity, smaller = 1.0, 0
         best, best_score = np.full(n, -1), -2.0
         for _ in range(3):
             s = Sizes.of(n, recipe.cluster_size_ratio, recipe.min_samples_ratio, granularity)
-            labels = hdbscan(y, max(s.min_cluster_size - smaller, 5), s.min_samples, method)
+            labels = hdbscan(y, max(s.min_cluster_size - smaller, 5), s.min_samples, method, tree)
             real = labels >= 0
-            score = silhouette_of(y[real], labels[real]) if real.sum() > 1 else 0.0
+            score = silhouette_of(y[real], labels[real], totals) if real.sum() > 1 else 0.0
             if score > best_score:
                 best, best_score = labels, score
             sizes = np.bincount(labels[real]) if real.any() else np.zeros(0)
@@ -465,7 +444,7 @@ def density_clusters(df: DataFrame, names: Sequence[str], key: str, recipe: Reci
             smaller += 3 if weak or smooth else 0
         return best
 
-    return on_points(df, names, key, compute, recipe.seed)
+    return on_points(df, names, key, compute)
 
 
 def embedding(df: DataFrame, names: Sequence[str], key: str, k: int = 3, method: str = "pca", recipe: Recipe = Recipe("default")) -> DataFrame:

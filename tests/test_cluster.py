@@ -106,3 +106,16 @@ def test_large_clusters_are_refined_by_all_rows(spark, monkeypatch):
     done = cluster.refine(df, NAMES, "id")
     assert sorted(done.collect()) == whole
     assert {r[0] for r in done.where("accepted").select("cluster_id").distinct().collect()} == {0}
+
+
+@pytest.mark.parametrize("embed", ["pca", "raw", "umap"])
+def test_density_clusters_see_all_rows(spark, monkeypatch, embed):
+    x, _ = blobs(120, 4)
+    x = np.concatenate([x, [[60, 60, 60], [-50, 10, 0], [0, -70, 20]]])  # nearest to a cluster, but in none
+    df = spark.createDataFrame(pd.DataFrame(x, columns=NAMES).assign(id=range(len(x))))
+    recipe = Recipe("t", components=3, cluster_size_ratio=0.1)
+    whole = sorted(cluster.density_clusters(df, NAMES, "id", recipe, embed).select("id", "cluster_id").collect())
+    monkeypatch.setattr(cluster, "MAX_POINTS", 200)
+    done = sorted(cluster.density_clusters(df, NAMES, "id", recipe, embed).select("id", "cluster_id").collect())
+    assert done == whole
+    assert embed != "raw" or [r[1] for r in done[-3:]] == [-1] * 3
