@@ -14,11 +14,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.config import Recipe
 from tesserae.operators import metrics, stats
+from tesserae.operators.graph import cut
 
 MAX_POINTS = 20_000
 #: Beyond MAX_POINTS: spans of rows whose pairs are a task each, and distances that a task holds at once.
@@ -470,11 +472,10 @@ def _pca_wide(df: DataFrame, names: Sequence[str], key: str, k: int) -> DataFram
 
 
 def information(df: DataFrame, names: Sequence[str], cluster: str = "cluster_id", seed: int = 42, most: int = MAX_POINTS) -> DataFrame:
-    """feature and mi with the cluster, noise left out; a task for each feature, on a sample of ``most`` rows at most."""
+    """feature and mi with the cluster, noise left out; up to ``most`` rows a task for each feature, beyond it by sorts."""
     rows = df.where(F.col(cluster) >= 0)
-    n = rows.count()
-    if n > most:
-        rows = rows.where(F.xxhash64(*names, F.lit(seed)) < F.lit(int(-(2**63) + 2**64 * (most / n))))
+    if rows.count() > most:
+        return _information_wide(rows, names, cluster, seed)
 
     def each(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["value", "c"])
@@ -483,6 +484,59 @@ def information(df: DataFrame, names: Sequence[str], cluster: str = "cluster_id"
     return stats.melt(rows, names, [cluster]).withColumnRenamed(cluster, "c").groupBy("feature").applyInPandas(each, "feature string, mi double")
 
 
+def _digamma(m: Column) -> Column:
+    """psi of whole numbers from 1."""
+    x = m + 8.0
+    tail = F.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6) + 1 / (240 * x**8)
+    return tail - sum((1 / (m + float(i)) for i in range(1, 8)), 1 / m.cast("double"))
+
+
+def _information_wide(rows: DataFrame, names: Sequence[str], cluster: str, seed: int, k: int = 3) -> DataFrame:
+    """``mutual_information`` of any number of rows, all of them counted.
+
+    The neighbours within a class are lags of its sorted values.  The ends of
+    each row's radius are sorted among all values by range, and running counts
+    of values (each part's own, and its offset) say how many lie between.
+    """
+    size = {r[0]: r[1] for r in rows.groupBy(cluster).count().collect() if r[1] > 1}
+    n = sum(size.values())
+    if n == 0:
+        return rows.sparkSession.createDataFrame([(f, 0.0) for f in names], "feature string, mi double")
+    scale = rows.agg(*(F.avg(F.abs(f)).alias(f) for f in names)).first()
+    pick = lambda table, of: F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[of]
+    # equal values are told apart by noise, as those of mutual_information are
+    same = stats.melt(rows.where(F.col(cluster).isin(list(size))), names, [cluster]).withColumnRenamed(cluster, "c").groupBy("feature", "c", "value").count()
+    each = same.select("feature", "c", "value", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("nth"))
+    even = lambda i: (F.shiftrightunsigned(F.xxhash64("feature", "c", "value", "nth", F.lit(seed), F.lit(i)), 11) + 0.5) / float(2**53)
+    normal = F.sqrt(-2 * F.log(even(0))) * F.cos(2 * np.pi * even(1))
+    width = pick({f: 1e-10 * max(1.0, scale[f] or 0.0) for f in names}, F.col("feature"))
+    values = each.select("feature", "c", (F.col("value") + width * normal).alias("x"))
+    own = Window.partitionBy("feature", "c").orderBy("x")
+    gaps = F.sort_array(F.filter(F.array(*(F.abs(f("x", j).over(own) - F.col("x")) for f in (F.lag, F.lead) for j in range(1, k + 1))), lambda v: v.isNotNull()))
+    near = values.select("feature", "c", "x", F.row_number().over(own).alias("place"), gaps.alias("gaps"))
+    near = near.withColumn("r", F.element_at("gaps", pick({c: min(k, m - 1) for c, m in size.items()}, F.col("c"))))
+    r = F.greatest(F.col("r") - F.greatest(F.col("r") * 1e-9, 4 * np.finfo(float).eps * F.abs("x")), F.lit(0.0))
+    ends = F.array(*(F.struct(at.alias("at"), F.lit(kind).alias("kind")) for at, kind in ((F.col("x") - r, 0), (F.col("x"), 1), (F.col("x") + r, 2))))
+    events = near.select("feature", "c", "place", F.explode(ends).alias("e")).select("feature", "c", "place", "e.at", "e.kind")
+
+    def running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, seen = TaskContext.get().partitionId(), 0
+        for b in batches:
+            count = seen + np.cumsum(b["kind"].to_numpy() == 1)
+            seen = int(count[-1]) if len(count) else seen
+            yield b[["feature", "c", "place", "kind"]].assign(part=np.int32(part), seen=count)
+
+    counted = cut(events.orderBy("feature", "at", "kind").mapInPandas(running, f"feature string, c {dict(events.dtypes)['c']}, place int, kind int, part int, seen long"))
+    start, before = 0, {}
+    for p in counted.groupBy("part").agg(F.max("seen").alias("n")).orderBy("part").collect():
+        before[p["part"]], start = start, start + p["n"]
+    upto = F.col("seen") + pick(before, F.col("part"))
+    within = counted.where("kind != 1").groupBy("feature", "c", "place").agg(F.sum(F.when(F.col("kind") == 2, upto).otherwise(-upto)).alias("m"))
+    psi = lambda v: float(-0.5772156649015329 + (1 / np.arange(1, v)).sum())
+    fixed = psi(n) + sum(m * (psi(min(k, m - 1)) - psi(m)) for m in size.values()) / n
+    return within.groupBy("feature").agg(F.greatest(F.lit(0.0), F.lit(fixed) - F.avg(_digamma(F.col("m")))).alias("mi"))
+
+
 def compare_pipelines(df: DataFrame, names: Sequence[str], key: str, recipe: Recipe = Recipe("default")) -> dict:
     """Clusters of the scaled features themselves (a) and of their reduction (b), their scores, and the better; a on ties."""
     out = {}

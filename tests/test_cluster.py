@@ -119,3 +119,15 @@ def test_density_clusters_see_all_rows(spark, monkeypatch, embed):
     done = sorted(cluster.density_clusters(df, NAMES, "id", recipe, embed).select("id", "cluster_id").collect())
     assert done == whole
     assert embed != "raw" or [r[1] for r in done[-3:]] == [-1] * 3
+
+
+def test_information_counts_all_rows(spark):
+    x, y = blobs(150, 6)
+    x = np.concatenate([x, np.tile(x[:1], (200, 1)), [[3, 3, 3], [3.1, 3, 3.2], [9, 9, 9]]])  # a group of copies, a class of two, one of one
+    y = np.concatenate([y, np.zeros(200, int), [3, 3, 4]])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=NAMES).assign(cluster_id=y))
+    whole, wide = ({r["feature"]: r["mi"] for r in cluster.information(df, NAMES, most=most).collect()} for most in (10_000, 100))
+    assert whole.keys() == wide.keys() and all(abs(whole[f] - wide[f]) < 0.02 for f in NAMES)
+    plain = df.dropDuplicates(NAMES)
+    whole, wide = ({r["feature"]: r["mi"] for r in cluster.information(plain, NAMES, most=most).collect()} for most in (10_000, 100))
+    assert all(abs(whole[f] - wide[f]) < 1e-6 for f in NAMES)
