@@ -99,19 +99,49 @@ class Index:
 
 
 def _verified(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple | None:
-    """The overlap along a diagonal with the largest sum of +1 for an equal and -2 for another token, if it counts."""
+    """The overlap along a diagonal, if it counts.
+
+    That is the segment with the largest sum of +1 for an equal and -2 for
+    another token; where it is too short, the one with the most equal tokens
+    (then the shortest, then the first) of all that are long enough and
+    reach the identity.
+    """
     a, b = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     same = doc[a + diagonal : b + diagonal] == item[a:b]
+    least = min(MIN_TOKENS, len(item))
     total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
     low = np.minimum.accumulate(total)
     end = int(np.argmax(total - low))
     start = int(np.argmax(total[: end + 1] == low[end]))
     equal, size = int(same[start:end].sum()), end - start
-    if size < min(MIN_TOKENS, len(item)) or equal < MIN_IDENTITY * size:
-        return None
+    if size < least or equal < MIN_IDENTITY * size:
+        if (best := _long_enough(same, least)) is None:
+            return None
+        start, end, equal = best
+        size = end - start
     return (a + diagonal + start, a + diagonal + end, a + start, equal, len(item), equal / size, equal / len(item))
 
 
+def _long_enough(same: np.ndarray, least: int) -> tuple[int, int, int] | None:
+    """Start, end and equal tokens of the best segment of at least ``least`` tokens with MIN_IDENTITY, if there is one."""
+    n = len(same)
+    if n < least or same.sum() < MIN_IDENTITY * least:
+        return None
+    sums = np.concatenate([[0], np.cumsum(same)])
+    # a segment reaches the identity where this does not fall from its start to its end
+    over = sums - MIN_IDENTITY * np.arange(n + 1)
+    if not (over[least:] >= np.minimum.accumulate(over)[: n + 1 - least]).any():
+        return None
+    best = None
+    for start in range(n + 1 - least):
+        ends = start + least + np.flatnonzero(over[start + least :] >= over[start])
+        if len(ends):
+            end = int(ends[np.argmax(sums[ends])])
+            row = (int(sums[end] - sums[start]), start - end, -start, end)
+            best = row if best is None or row > best else best
+    return None if best is None else (-best[2], best[3], best[0])
+
+
 def _blocks(spark: SparkSession, benchmark: DataFrame):
     """Broadcast indexes, one for each block of items; a block's size is bounded by BLOCK_CHARS, on average."""
     small_batches(benchmark.sparkSession)

@@ -356,6 +356,19 @@ def test_decontamination_spans_match_tokens():
     assert row[0] == 9 and row[-1] == 1.0 and w[row[1] : row[2]] == text.tokens(item)
 
 
+@pytest.mark.parametrize("n", [9, 13, 14, 15])
+def test_decontamination_of_short_items_with_a_substitution(n):
+    """Wherever the substitution is, the whole item is long enough and equal enough."""
+    h = text.WordHasher()
+    item = h.of([f"w{i}".encode() for i in range(n)])
+    index = decontaminate.Index.of([(9, " ".join(f"w{i}" for i in range(n)))])
+    for at in range(n):
+        doc = h.of([f"x{i}".encode() for i in range(20)] + [b"other" if i == at else f"w{i}".encode() for i in range(n)] + [f"y{i}".encode() for i in range(20)])
+        (row,) = index.overlaps(doc)
+        assert row[4] >= min(n - 1, 13) and row[2] - row[1] >= min(n, 13) and row[1] >= 20 and row[2] <= 20 + n, (n, at)
+    assert not index.overlaps(h.of([b"other"] * 5)) and len(item) == n
+
+
 def test_decontamination_odd(spark, odd, empty):
     bench = spark.createDataFrame([(1, None), (None, "a b c"), (2, ""), (3, "same words twice over and over again")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(odd, bench).collect()} == {(1, 3)}
