@@ -18,7 +18,7 @@ SYMBOLS = b"#*$%&|<>"
 
 #: Fixed limits: (up to so many bytes, least, most compressed bytes per byte of the whole text).
 WHOLE_BANDS = ((256, 0.35, 1.20), (1_024, 0.30, 0.95), (4_096, 0.25, 0.85), (16_384, 0.20, 0.80), (None, 0.15, 0.80))
-#: The same for each full chunk of CHUNK bytes, and the share of chunks that may fall out of it.
+#: The same for each chunk of CHUNK bytes (the last one ends with the text), and the share of chunks that may fall out of it.
 CHUNK = 4_096
 CHUNK_BAND = (0.20, 0.85)
 MOST_CHUNKS_OUT = 0.34
@@ -53,10 +53,11 @@ def bands(raw: bytes, press: zstandard.ZstdCompressor) -> tuple[bool, float, int
         return False, 1.0, 0, 0
     ratio = len(press.compress(raw)) / len(raw)
     low, high = next((lo, hi) for most, lo, hi in WHOLE_BANDS if most is None or len(raw) <= most)
-    n = len(raw) // CHUNK
-    out = 0
-    for k in range(n):
-        share = len(press.compress(raw[k * CHUNK : (k + 1) * CHUNK])) / CHUNK
+    # the last chunk ends with the text, so that no bytes are left over; a text below CHUNK is judged as a whole only
+    starts = [*range(0, len(raw) - CHUNK, CHUNK), len(raw) - CHUNK] if len(raw) >= CHUNK else []
+    n, out = len(starts), 0
+    for at in starts:
+        share = len(press.compress(raw[at : at + CHUNK])) / CHUNK
         out += not CHUNK_BAND[0] <= share <= CHUNK_BAND[1]
     return low <= ratio <= high and out <= MOST_CHUNKS_OUT * n, ratio, n, out
 
@@ -81,7 +82,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     ``kept`` needs the base rules (50 words or more, at most half of them in
     repeated 3-word windows), a whole-text ratio inside its length's band and
-    at most MOST_CHUNKS_OUT of the full chunks outside theirs.  A null or
+    at most MOST_CHUNKS_OUT of the chunks outside theirs.  A null or
     empty text has no words and fails.  Rows stay as they come: repeated rows
     and null ids give a row each, an empty table none.  Only doc_id and text
     are read.  No shuffle; memory is one Arrow batch and the longest text.

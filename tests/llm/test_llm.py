@@ -486,6 +486,18 @@ def test_quality_verdicts(spark):
     assert not quality.bands(os.urandom(9_000), press)[0] and not quality.bands(b"abc " * 3_000, press)[0]
 
 
+def test_quality_checks_the_last_bytes():
+    press = zstandard.ZstdCompressor(level=3)
+    rng = random.Random(8)
+    prose = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(2_000)).encode()[:4_096]
+    junk = b"ab " * 1_300
+    fits, _, chunks, out = quality.bands(prose, press)
+    assert fits and (chunks, out) == (1, 0)
+    _, _, chunks, out = quality.bands(prose + junk, press)
+    assert (chunks, out) == (2, 1)
+    assert quality.bands(prose + prose, press)[2:] == (2, 0) and quality.bands(prose[:4_095], press)[2:] == (0, 0)
+
+
 def test_quality_odd(odd, empty):
     assert quality.quality_rules(empty).count() == 0 and quality.quality_rules(odd).count() == 5
 
