@@ -3,28 +3,33 @@
 ``d = 1 - J`` is a metric, and documents link when ``d <= 1 - t``.  Fixed
 pivot documents don't part such a space: two unrelated documents are at a
 distance of almost 1 from each other and from every pivot, so each document
-would lie in every pivot's window.  The pivots here are therefore local:
+would lie in every pivot's window.  So candidates are found without pivots,
+and pivots with windows of distances are used where distances differ, inside
+the regions of candidates:
 
-* Projections.  A document's set is cut by the leading bits of its shingle
+* Leaves.  A document's set is cut by the leading bits of its shingle
   hashes, again and again, until a part has at most ``leaf_size`` shingles.  If
   two sets are within 1 - t, so is, by averaging over the cut, at least one
   pair of their parts; and two parts of that size are that near only when they
-  are equal.  Each leaf is a pivot of its part's space: its Voronoi region is
-  the sets with this very projection, and the next pivot is farther than the
-  window.  So a link's two sets meet in regions, without any replication, and
-  the regions where they meet hold a known share of their shingles.
-* Regions join recursively.  Sets that meet others with that share of their
-  shingles are joined anew by single shingles, rarest first.  In a region a set's rank of the
+  are equal.  So linked sets have equal leaves, which hold a known share of
+  their shingles; a join on equal leaves finds the sets that may have a link.
+* Regions.  Sets that meet others with that share of their shingles are joined
+  anew by single shingles, rarest first.  In a region a set's rank of the
   shingle bounds its overlap with any other; the shingles that no other set
   has are a distance that every partner has to cross.
 * Pivots.  In each region the most central set (with the smallest share of
-  shingles of its own) is the pivot, and every set whose window reaches it is
-  compared with it exactly.  Sets that are linked to a pivot share its class,
-  so only pairs across classes are left; further sets of a region take their
-  turn as pivots until no window holds a pair of two classes.
+  shingles of its own) is the first pivot; it is compared exactly with every
+  set that can be linked to it, which gives their distances from it.  Sets that are
+  linked to a pivot share its class, so only pairs across classes are left.
+  Further sets take their turn as pivots, with more of them in each round,
+  until all pairs across classes are compared but those that the triangle
+  inequality parts: two sets whose distances from the first pivot differ by
+  more than 1 - t are not linked.
 
 Every comparison is exact, and no pair within 1 - t whose classes differ is
-left out.  Equal sets are one set throughout, so copies cost nothing.
+left out.  Equal sets are one set throughout, so copies cost nothing.  A
+region whose sets share their rarest shingles without being linked goes
+through its pairs; they are joined on the region, which a skewed join splits.
 """
 
 from __future__ import annotations
@@ -42,13 +47,13 @@ from tesserae.llm.shared import Workspace
 from tesserae.llm.text import WordHasher, mix, shingles
 
 #: Sets in the sample that finds hot leaves, and how many of them make a leaf hot; it only saves shuffling.
-SAMPLE, HOT = 4_000, 8
+SAMPLE, HOT = 20_000, 8
 #: Ids that may be broadcast to pick texts; beyond, the texts are joined by a shuffle.
 MOST_IDS = 4_000_000
 #: Shingles whose leaves are worked out at once.
 PORTION = 300_000
-#: Each round of pivots is so many times the one before.
-WIDEN = 8
+#: Each round takes so many times the pivots of the one before, up to so many in a region (Spark limits groups of up to 1,000 before they are shuffled).
+WIDEN, MOST_TAKEN = 8, 1_000
 
 
 @dataclass(frozen=True)
@@ -109,12 +114,12 @@ def leaves(h: np.ndarray, owner: np.ndarray, most: int) -> tuple[np.ndarray, np.
 
 
 def _sets(near: Near):
-    """doc_id, the set's id and a second hash of it, its size, and its leaves where this task meets it first."""
+    """doc_id, the text's hash, the set's id and a second hash of it, its size, and its leaves where this task meets it first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, met = WordHasher(), set()
         for batch in batches:
-            own = [shingles(hasher.of((raw.as_py() or b"").lower().split()), near.words) for raw in batch.column(1)]
+            own = [shingles(hasher.of((raw.as_py() or b"").lower().split()), near.words) for raw in batch.column(2)]
             size = np.array([len(x) for x in own], np.int64)
             sid = [int(mix(x).sum(dtype=np.uint64).view(np.int64)) if len(x) else 0 for x in own]
             chk = [int(mix(x ^ np.uint64(0xDA942042E4DD58B5)).sum(dtype=np.uint64).view(np.int64)) if len(x) else 0 for x in own]
@@ -131,8 +136,8 @@ def _sets(near: Near):
                 cuts = np.searchsorted(of, np.arange(len(some) + 1))
                 for j, k in enumerate(some):
                     keys[k] = key[cuts[j] : cuts[j + 1]].view(np.int64)
-            columns = [batch.column(0).cast(pa.int64()), pa.array(sid, pa.int64()), pa.array(chk, pa.int64()), pa.array(size), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sid", "chk", "n", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.array(sid, pa.int64()), pa.array(chk, pa.int64()), pa.array(size), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "sid", "chk", "n", "keys"])
 
     return run
 
@@ -161,17 +166,14 @@ def _shingled(near: Near):
     return run
 
 
-def _compare(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = ta.values.to_numpy(), tb.values.to_numpy()
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                linked.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    return run
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b and the shingles that both sets have."""
+    for batch in batches:
+        both = []
+        for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = ta.values.to_numpy(), tb.values.to_numpy()
+            both.append(len(x) + len(y) - len(np.union1d(x, y)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64())], names=["a", "b", "shared"])
 
 
 def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
@@ -229,14 +231,24 @@ def _meeting(sets: DataFrame, near: Near) -> DataFrame:
     return held.join(sizes, "sid").where(F.col("held") * near.den >= F.col("n") * near.least_met).select("sid")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, a hash of the text and the text: the first two are a row's key, so that a repeated or null id parts its texts."""
+    raw = F.col("text").cast("binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(raw).alias("k"), raw.alias("raw"))
+
+
+def _same_row(left: DataFrame, right: DataFrame) -> Column:
+    return (left["k"] == right["_k"]) & left["doc_id"].eqNullSafe(right["_id"])
+
+
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of documents with these ids; a broadcast only while the ids are few."""
+    """The texts of documents with these keys (_id, _k); a broadcast only while they are few."""
     few = ids.count() <= MOST_IDS
-    keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("raw"))
-    return keyed.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("raw")
+    keyed = _keyed(docs)
+    return keyed.join(F.broadcast(ids) if few else ids, _same_row(keyed, ids), "left_semi").select("raw")
 
 
-def _regions(shingled: DataFrame, near: Near) -> DataFrame:
+def _regions(shingled: DataFrame, near: Near, ws: Workspace) -> DataFrame:
     """g, sid, n, rank and turn: the rarest shingles of each set, of those that other sets have too.
 
     A set of n that is linked to another one misses at most n - ceil(t * n) of
@@ -245,7 +257,8 @@ def _regions(shingled: DataFrame, near: Near) -> DataFrame:
     sets from central to outlying.
     """
     rows = shingled.select("sid", F.size("tokens").alias("n"), F.explode("tokens").alias("g"))
-    shared = rows.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    # a table of its own: a join with an aggregate's rows could not split a shingle that many sets have
+    shared = ws.save(rows.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     own = Window.partitionBy("sid")
     ranked = rows.join(shared, "g").select("g", "sid", "n", F.row_number().over(own.orderBy("df", "g")).alias("nth"), F.count("*").over(own).alias("known"))
     alone = F.col("n") - F.col("known")
@@ -263,6 +276,27 @@ def _windowed(left: DataFrame, right: DataFrame, near: Near, across: Column | No
     return x.join(y, on).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
 
 
+def _classes(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, k, sid, n of every row), and sid, comp and the smallest doc_id of comp for every set that isn't empty."""
+    spark = docs.sparkSession
+    ws = Workspace(spark, "jaccard")
+    sets = ws.save(_keyed(docs).mapInArrow(_sets(near), "doc_id long, k long, sid long, chk long, n long, keys array<long>"), "sets")
+    members = ws.save(sets.select("doc_id", "k", "sid", "n", "chk"), "members")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")
+    of = members.where("n > 0").groupBy("sid").agg(F.min(place).alias("rep"), F.min("chk").alias("c0"), F.max("chk").alias("c1"))
+    of = ws.save(of, "of")
+    if not of.where("c0 != c1").isEmpty():
+        raise ValueError("two shingle sets have one 64-bit hash")
+    meeting = ws.save(_meeting(sets, near), "meeting")
+    ws.drop("sets")
+    _free(spark)
+    linked = _link(docs, of, meeting, near, ws)
+    named = of.select("sid", F.col("rep.doc_id").alias("rep")).join(linked, "sid", "left").select("sid", "rep", F.coalesce("comp", "sid").alias("comp"))
+    named = ws.save(named, "named")
+    first = ws.save(named.groupBy("comp").agg(F.min("rep").alias("first")), "first_of")
+    return members, named.join(first, "comp").select("sid", "comp", "first")
+
+
 def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """doc_id, n_shingles, sid and component_id of every row.
 
@@ -271,84 +305,102 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
     run where they are fewer.  Without words the set is empty, linked with
     nothing, and the component is the row's own doc_id.  A component_id is
     the smallest non-null doc_id of a class; rows with a null doc_id carry
-    their class's.  Repeated rows are copies of one text.  A text found under
-    null ids alone links with equal texts only.  An empty table gives no rows.
+    their class's, which is null where no row of it has an id.  Repeated rows
+    are copies of one text.  An empty table gives no rows.
 
     Sets are known by a 64-bit hash; a second one is compared, and a
     collision raises instead of merging two texts.
     """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "jaccard")
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("raw"))
-    sets = ws.save(narrow.mapInArrow(_sets(near), "doc_id long, sid long, chk long, n long, keys array<long>"), "sets")
-    members = ws.save(sets.select("doc_id", "sid", "n", "chk"), "members")
-    of = members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("chk").alias("c0"), F.max("chk").alias("c1"))
-    of = ws.save(of, "of")
-    if not of.where("c0 != c1").isEmpty():
-        raise ValueError("two shingle sets have one 64-bit hash")
-    meeting = ws.save(_meeting(sets, near), "meeting")
-    ws.drop("sets")
-    _free(spark)
-    linked = _link(docs, of, meeting, near, ws)
-    named = of.select("sid", "rep").join(linked, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    first = named.groupBy("comp").agg(F.min("rep").alias("first"))
-    named = named.join(first, "comp").select("sid", "first")
-    out = members.join(named, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), "sid", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out
+    members, named = _classes(docs, near)
+    out = members.join(named, "sid", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "sid", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _link(docs: DataFrame, of: DataFrame, meeting: DataFrame, near: Near, ws: Workspace) -> DataFrame:
     """sid and comp of every set that is linked to another one."""
     spark = docs.sparkSession
     none = spark.createDataFrame([], "sid long, comp long")
-    ids = of.join(meeting, "sid", "left_semi").where("rep is not null").select(F.col("rep").alias("doc_id"))
+    ids = of.join(meeting, "sid", "left_semi").select(F.col("rep.doc_id").alias("_id"), F.col("rep.k").alias("_k"))
     ids = ws.save(ids, "ids")
     shingled = _texts(docs, ids).mapInArrow(_shingled(near), "sid long, tokens array<long>")
-    # a doc_id that comes with several texts brings sets along that meet none
-    shingled = ws.save(shingled.dropDuplicates(["sid"]).join(meeting, "sid", "left_semi"), "shingled")
-    regions = ws.save(_regions(shingled, near), "regions")
+    shingled = ws.save(shingled.dropDuplicates(["sid"]), "shingled")
+    regions = ws.save(_regions(shingled, near, ws), "regions")
     if regions.isEmpty():
         return none
 
     def compared(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda s: shingled.select(F.col("sid").alias(s), F.col("tokens").alias(f"t{s}"))
+        side = lambda s: shingled.select(F.col("sid").alias(s), F.col("tokens").alias(f"t{s}"), F.size("tokens").alias(f"n{s}"))
         with_sets = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
-        return ws.save(with_sets.mapInArrow(_compare(near.num, near.den), "a long, b long"), name)
+        return ws.save(with_sets.mapInArrow(_compare, "a long, b long, shared long"), name)
+
+    sizes = shingled.select("sid", F.size("tokens").alias("n"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+        return both.where(F.col("shared") * near.den >= near.num * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
-    lead = regions.groupBy("g").agg(F.min("turn").alias("lead"), F.count("*").alias("c")).where("c > 1")
-    pivots = regions.join(lead, "g").where("turn = lead").select("g", "sid", "n", "rank")
-    tested = ws.save(_windowed(regions, pivots, near), "pairs_0")
-    links = compared(tested, "links_0")
+    # joins on a region are joins of two tables, so that Spark can split a large one
+    lead = ws.save(regions.groupBy("g").agg(F.min("turn").alias("lead"), F.count("*").alias("c")).where("c > 1"), "lead")
+    pivots = ws.save(regions.join(lead, "g").where("turn = lead").select("g", "sid", "n", "rank", "turn"), "pivots_0")
+    tested = compared(ws.save(_windowed(regions, pivots, near), "pairs_0"), "shared_0")
+    links = ws.save(linked(tested), "links_0")
+    first = ws.save(pivots.groupBy("g").agg(F.min("sid").alias("sid"), F.min("n").alias("n"), F.min("turn").alias("turn")), "first")
+    regions = ws.save(_with_distances(regions, first, tested), "placed")
     comp = components(links, ws, "comp0")
-    low, high, turn = 1, 1 + WIDEN, 0
+    edge, take, turn = first.select("g", F.struct("turn", "sid").alias("edge")), WIDEN, 0
+    tested = tested.select("a", "b")
     while True:
         turn += 1
-        now = regions.join(comp, "sid", "left").select("g", "sid", "n", "rank", "turn", F.coalesce("comp", "sid").alias("comp"))
-        split = now.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("c")).where("c0 != c1").select("g", "c")
-        place = F.row_number().over(Window.partitionBy("g").orderBy("turn", "sid"))
-        left = ws.save(now.join(split, "g").where(F.col("c") > low).select("*", place.alias("place")), f"left_{turn}")
+        now = regions.join(comp, "sid", "left").select("g", "sid", "n", "rank", "turn", "far", F.coalesce("comp", "sid").alias("comp"))
+        split = now.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.struct("turn", "sid")).alias("last")).where("c0 != c1")
+        split = ws.save(split.join(edge, "g").where("last > edge").select("g", "edge"), f"split_{turn}")
+        left = ws.save(now.join(split, "g"), f"left_{turn}")
         if left.isEmpty():
             return comp
-        pivots = left.where(F.col("place").between(low + 1, high))
-        across = (F.col("x.place") > F.col("y.place")) & (F.col("x.comp") != F.col("y.comp"))
+        # each region's next sets: a task passes on no more of them than are taken, so none meets a whole region
+        place = F.row_number().over(Window.partitionBy("g").orderBy("turn", "sid"))
+        pivots = ws.save(left.where(F.struct("turn", "sid") > F.col("edge")).withColumn("place", place).where(F.col("place") <= take), f"pivots_{turn}")
+        after = F.struct("x.turn", "x.sid") > F.struct("y.turn", "y.sid")
+        # triangle inequality, with room for rounding; a set that was not compared with the first pivot has no distance
+        apart = F.abs(F.col("x.far") - F.col("y.far")) > 1 - near.num / near.den + 1e-9
+        across = after & (F.col("x.comp") != F.col("y.comp")) & ~F.coalesce(apart, F.lit(False))
         pairs = ws.save(_windowed(left, pivots, near, across).join(tested, ["a", "b"], "left_anti"), f"pairs_{turn}")
         if not pairs.isEmpty():
             tested = tested.union(pairs)
-            more = compared(pairs, f"links_{turn}")
+            more = ws.save(linked(compared(pairs, f"shared_{turn}")), f"links_{turn}")
             if not more.isEmpty():
                 links = links.union(more)
                 comp = components(links, ws, f"comp{turn}")
-        low, high = high, high * WIDEN
+        edge = ws.save(pivots.groupBy("g").agg(F.max(F.struct("turn", "sid")).alias("edge")), f"edge_{turn}")
+        take = min(take * WIDEN, MOST_TAKEN)
+
+
+def _with_distances(regions: DataFrame, first: DataFrame, tested: DataFrame) -> DataFrame:
+    """``regions`` with far: the distance from the region's first pivot, null where the two were not compared."""
+    lead = first.select("g", F.col("sid").alias("p"), F.col("n").alias("pn"))
+    known = regions.join(lead, "g", "left").withColumns({"a": F.least("sid", "p"), "b": F.greatest("sid", "p")}).join(tested, ["a", "b"], "left")
+    far = F.when(F.col("sid") == F.col("p"), 0.0).otherwise(1 - F.col("shared") / (F.col("n") + F.col("pn") - F.col("shared")))
+    return known.select("g", "sid", "n", "rank", "turn", far.alias("far"))
 
 
 def keep_first(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """``docs`` with one document of each class: that with the smallest doc_id; columns as they were.
 
-    Of rows that repeat this doc_id all with its text stay.  Rows whose set
-    is empty stay, as do rows with a null doc_id that are in no class with a
-    doc_id.
+    A document is a doc_id with a text: of the texts of one id in a class one
+    stays (by the text's hash), a text that is linked with nothing always
+    stays, and rows equal in both stay or go together.  A null doc_id comes
+    last.  Rows whose set is empty stay.
     """
-    gone = classes(docs, near).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = Workspace(docs.sparkSession, "near").save(gone, "gone")
+    members, named = _classes(docs, near)
+    ws = Workspace(docs.sparkSession, "near")
+    placed = ws.save(members.where("n > 0").join(named, "sid").select("doc_id", "k", "comp"), "placed")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")
+    kept = ws.save(placed.groupBy("comp").agg(F.min(place).alias("kept"), F.max(place).alias("final")).where("kept != final").drop("final"), "kept")
+    gone = placed.join(kept, "comp").where(~F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) | (F.col("kept.k") != F.col("k")))
+    gone = ws.save(gone.select(F.col("doc_id").alias("_id"), F.col("k").alias("_k")).distinct(), "gone")
     few = gone.count() <= MOST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    # names that no column of docs has
+    mark = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in docs.columns), default=0))
+    gone = gone.toDF(f"{mark}id", f"{mark}k")
+    same = (F.xxhash64(docs["text"].cast("binary")) == gone[f"{mark}k"]) & docs["doc_id"].cast("long").eqNullSafe(gone[f"{mark}id"])
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")

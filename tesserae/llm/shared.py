@@ -39,12 +39,20 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 class Workspace:
-    """Parquet tables of one run; a lost executor re-reads them from the shared folder."""
+    """Parquet tables of one run; a lost executor re-reads them from the shared folder.
+
+    Results read them lazily, so they live as long as the driver's JVM, which
+    deletes the folder when it ends; ``drop`` frees tables sooner.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         small_batches(spark)
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(at)
+        store.deleteOnExit(at)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -2,6 +2,10 @@
 
 Every run of several consecutive sentences is hashed; runs that occur
 elsewhere before are joined globally, and the sentences that they cover go.
+
+From each sentence only the shortest run that is long enough is hashed: a
+longer repeated run is covered by the short ones that start in it, so the
+covered sentences are the same.
 """
 
 from __future__ import annotations
@@ -17,66 +21,80 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.shared import Workspace
 
-#: A run is extended until it has so many sentences and so many words; a sentence of LONG words is a run by itself.
-SENTENCES, WORDS, LONG = 2, 20, 40
+#: A run is extended until it has so many sentences and so many words.
+SENTENCES, WORDS = 2, 20
+#: A sentence of more words counts as several of so many each, so that text without punctuation has sentences, too.
+LONG = 40
 #: Documents and runs to remove that may be broadcast to the texts; beyond, these are joined by a shuffle.
 MOST_RUNS = 2_000_000
 #: After ., ! or ? that ends a word, closing marks included, or at a line break.
 BREAK = re.compile(rb"(?<=[.!?])[\x22\x27)\]]*[\x20\t\r]+|[\r\n]+")
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-SPANS = "doc_id long, hashes array<long>, starts array<int>, own int"
-RESULT = "doc_id long, n_sentences int, n_removed int, n_words_removed int, removed array<struct<start:int,end:int>>, text string"
+_ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
+SPANS = "doc_id long, k long, hashes array<long>, checks array<int>, starts array<int>, own int"
+RESULT = "doc_id long, k long, n_sentences int, n_removed int, n_words_removed int, removed array<struct<start:int,end:int>>, text string"
 
 
 def sentences(raw: bytes) -> list[tuple[int, int, int, int]]:
-    """Start and end in bytes, hash and words of each sentence that has a word; case and spacing don't count."""
+    """Start and end in bytes, 128-bit hash and words of each sentence that has a word; case and spacing don't count."""
     out, at = [], 0
     for m in [*BREAK.finditer(raw), None]:
         end = len(raw) if m is None else m.start()
-        if words := raw[at:end].lower().split():
-            out.append((at, end, xxhash.xxh3_64_intdigest(b" ".join(words)), len(words)))
+        words = raw[at:end].lower().split()
+        if len(words) > LONG:
+            places = [w.start() + at for w in WORD.finditer(raw[at:end])][::LONG]
+            for k, (a, b) in enumerate(zip(places, [*places[1:], end], strict=True)):
+                some = words[LONG * k : LONG * (k + 1)]
+                out.append((a, b, xxhash.xxh3_128_intdigest(b" ".join(some)), len(some)))
+        elif words:
+            out.append((at, end, xxhash.xxh3_128_intdigest(b" ".join(words)), len(words)))
         at = len(raw) if m is None else m.end()
     return out
 
 
-def runs(parts: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first sentence and end of the shortest run of enough sentences and words from each sentence."""
+def runs(parts: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, a second hash, first sentence and end of the shortest run of enough sentences and words from each sentence."""
     n = len(parts)
-    words = np.array([p[3] for p in parts], np.int64)
-    total = np.concatenate([[0], np.cumsum(words)])
+    total = np.concatenate([[0], np.cumsum(np.array([p[3] for p in parts], np.int64))])
     start = np.arange(n)
     end = np.maximum(np.searchsorted(total, total[:-1] + WORDS), start + SENTENCES)
-    end = np.where(words >= LONG, start + 1, end)
     fits = end <= n
     start, end = start[fits], end[fits]
-    # a polynomial hash of sentence hashes: differences of prefix sums, brought to one power
-    h = np.array([p[2] for p in parts], np.uint64)
-    out = np.zeros(len(start), np.uint64)
+    # two polynomial hashes over independent halves of the sentences' hashes: equal runs are told by 96 bits
+    low = np.array([p[2] & 0xFFFFFFFFFFFFFFFF for p in parts], np.uint64)
+    high = np.array([p[2] >> 64 for p in parts], np.uint64)
+    out, check = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
     for k in range(int((end - start).max(initial=0))):
         more = start + k < end
-        out[more] = out[more] * _ODD + h[start[more] + k]
-    return (out ^ (out >> np.uint64(29))) + (end - start).astype(np.uint64), start, end
+        at = start[more] + k
+        out[more] = out[more] * _ODD + low[at]
+        check[more] = check[more] * _ODD2 + high[at]
+    size = (end - start).astype(np.uint64)
+    return (out ^ (out >> np.uint64(29))) + size, (check >> np.uint64(32)) + size, start, end
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes, starts, own = [], [], []
-        for raw in batch.column(1):
-            h, start, _ = runs(sentences(raw.as_py() or b""))
+        hashes, checks, starts, own = [], [], [], []
+        for raw in batch.column(2):
+            h, c, start, _ = runs(sentences(raw.as_py() or b""))
             _, first = np.unique(h, return_index=True)  # a document's later runs are its own affair
             hashes.append(h[first].view(np.int64))
+            checks.append(c[first].astype(np.uint32).view(np.int32))
             starts.append(start[first].astype(np.int32))
             own.append(len(h) - len(first))
+        ints = pa.list_(pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32())), pa.array(own, pa.int32())],
-            names=["doc_id", "hashes", "starts", "own"],
+            [batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(checks, ints), pa.array(starts, ints), pa.array(own, pa.int32())],
+            names=[x.split()[0] for x in SPANS.split(", ")],
         )
 
 
 def remove(raw: bytes, gone: list[int]) -> tuple[int, list[tuple[int, int]], int, bytes]:
     """Sentences, removed ranges of them, words removed, and what is left, with the runs at ``gone`` and own repeats taken out."""
     parts = sentences(raw)
-    h, start, end = runs(parts)
+    h, _, start, end = runs(parts)
     _, first = np.unique(h, return_index=True)
     repeat = np.ones(len(h), bool)
     repeat[first] = False
@@ -97,58 +115,74 @@ def remove(raw: bytes, gone: list[int]) -> tuple[int, list[tuple[int, int]], int
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, raws, gone = (c.to_pylist() for c in batch.columns)
+        raws, gone = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         rows = [remove(r or b"", g or []) for r, g in zip(raws, gone, strict=True)]
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(ids, pa.int64()),
+                batch.column(0),
+                batch.column(1),
                 pa.array([r[0] for r in rows], pa.int32()),
                 pa.array([sum(b - a for a, b in r[1]) for r in rows], pa.int32()),
                 pa.array([r[2] for r in rows], pa.int32()),
                 pa.array([[{"start": a, "end": b} for a, b in r[1]] for r in rows], span),
                 pa.array([r[3].decode("utf-8", "replace") for r in rows]),
             ],
-            names=["doc_id", "n_sentences", "n_removed", "n_words_removed", "removed", "text"],
+            names=[x.split()[0] for x in RESULT.split(", ")[:5]] + ["removed", "text"],
         )
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, gone (first sentences of runs that another document holds first) and kept_in (those documents).
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, a hash of the text and the text: the first two are a row's key, so that a repeated or null id parts its texts."""
+    raw = F.col("text").cast("binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(raw).alias("k"), raw.alias("raw"))
+
 
-    The first occurrence of a run is that in the smallest doc_id; rows with
-    one doc_id count as one document and a null doc_id as the last.
-    Counts combine before the shuffle, and only runs that occur twice are
-    joined back, on a key that a skewed join can split.
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, k (the text's hash), gone (first sentences of runs that another document holds first) and kept_in (those documents).
+
+    A document is a doc_id with a text: rows equal in both are one, rows with
+    one id and different texts are two, as are rows without an id.  The first
+    occurrence of a run is that in the smallest doc_id (null comes last), then
+    in the smallest hash of the text.  Counts combine before the shuffle, and
+    only runs that occur twice are joined back, on a key that a skewed join
+    can split.
     """
     ws = Workspace(docs.sparkSession, "spans")
-    spans = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("raw")).mapInArrow(_spans, SPANS)
-    spans = ws.save(spans, "spans")
-    last = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id")
-    rows = spans.select(last, F.explode(F.arrays_zip("hashes", "starts")).alias("s")).select("doc_id", F.col("s.hashes").alias("h"), F.col("s.starts").alias("start"))
-    firsts = rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    again = rows.join(firsts, "h").where("doc_id != first")
-    cross = again.groupBy("doc_id").agg(F.collect_set("start").alias("gone"), F.collect_set("first").alias("kept_in"))
-    own = spans.where("own > 0").select(last, F.array().cast("array<int>").alias("gone"), F.array().cast("array<long>").alias("kept_in"))
-    both = cross.union(own).groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("gone"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("kept_in")))).alias("kept_in"))
+    spans = ws.save(_keyed(docs).mapInArrow(_spans, SPANS), "spans")
+    rows = spans.select("doc_id", "k", F.explode(F.arrays_zip("hashes", "checks", "starts")).alias("s"))
+    rows = rows.select("doc_id", "k", F.col("s.hashes").alias("h"), F.col("s.checks").alias("c"), F.col("s.starts").alias("start"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")
+    firsts = rows.groupBy("h", "c").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first != final").drop("final")
+    firsts = ws.save(firsts, "firsts")  # a join with an aggregate's rows could not split a run that many documents have
+    again = rows.join(firsts, ["h", "c"]).where(~F.col("first.doc_id").eqNullSafe(F.col("doc_id")) | (F.col("first.k") != F.col("k")))
+    cross = again.groupBy("doc_id", "k").agg(F.collect_set("start").alias("gone"), F.collect_set("first.doc_id").alias("kept_in"))
+    own = spans.where("own > 0").select("doc_id", "k", F.array().cast("array<int>").alias("gone"), F.array().cast("array<long>").alias("kept_in"))
+    own = own.distinct()
+    both = cross.union(own).groupBy("doc_id", "k").agg(F.flatten(F.collect_list("gone")).alias("gone"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("kept_in")))).alias("kept_in"))
     return ws.save(both, "gone")
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """The documents that lose sentences: RESULT's columns and kept_in.
+    """The documents that lose sentences: doc_id, n_sentences, n_removed, n_words_removed, removed, text and kept_in.
 
     ``removed`` are ranges of sentences (counted from 0, ends exclusive) that
     are covered by a repeated run which is not its first occurrence;
     ``text`` is what is left, byte for byte; kept_in names documents that keep
-    such a run (none for repeats within one document).  Null and empty texts
-    and texts shorter than a run lose nothing and give no row; repeated rows
-    of one doc_id give a row each, an empty table none.
+    such a run (none for repeats within one document, or for keepers without
+    an id).  A text that occurs once loses nothing, whatever its id.  Null and
+    empty texts and texts shorter than a run give no row; rows that repeat an
+    id and its text give a row each, an empty table none.
     """
     gone = repeated_spans(docs)
     size = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("runs")).first()
     few = size["rows"] + size["runs"] <= MOST_RUNS
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    texts = keyed.join(F.broadcast(gone.select("doc_id", "gone")) if few else gone.select("doc_id", "gone"), "doc_id")
-    out = texts.select("doc_id", "raw", "gone").mapInArrow(_removed, RESULT).where("n_removed > 0")
-    out = out.join(gone.select("doc_id", "kept_in"), "doc_id")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit((1 << 63) - 1)))
+
+    def on_key(left: DataFrame, what: str) -> DataFrame:
+        right = gone.select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), what)
+        same = F.col("k").eqNullSafe(F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+        return left.join(F.broadcast(right) if few else right, same).drop("_id", "_k")
+
+    texts = on_key(_keyed(docs), "gone").select("doc_id", "k", "raw", "gone")
+    out = texts.mapInArrow(_removed, RESULT).where("n_removed > 0")
+    return on_key(out, "kept_in").drop("k")

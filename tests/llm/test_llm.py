@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 import corpus
@@ -113,37 +114,61 @@ def test_langid_odd(spark, odd, empty):
 
 
 def brute_removed(rows):
-    """doc_id and removed sentence ranges, by comparing runs of normalised sentences."""
+    """Removed sentences by doc_id and text, by comparing runs of normalised sentences."""
     seen, out = {}, {}
-    for i, t in sorted((i, t) for i, t in rows if t):
+    key = lambda r: (r[0] is None, r[0] or 0, substring_key(r[1]))
+    for i, t in sorted({(i, t) for i, t in rows if t}, key=key):
         parts, at = [], 0
         for m in [*re.finditer(r"(?<=[.!?])[\"')\]]*[ \t\r]+|[\r\n]+", t), None]:
             s = t[at : len(t) if m is None else m.start()]
             at = None if m is None else m.end()
-            if s.split():
-                parts.append(" ".join(re.findall(r"[^\x20\x09-\x0D]+", s)))
-        parts = [p.encode().lower() for p in parts]
+            w = re.findall(r"[^\x20\x09-\x0D]+", s)
+            parts += [" ".join(w[k : k + 40]).encode().lower() for k in range(0, len(w), 40)]
         covered = set()
         for a in range(len(parts)):
             b = a + 1
-            while b <= len(parts) and not (len(parts[a].split()) >= 40 or (b - a >= 2 and sum(len(p.split()) for p in parts[a:b]) >= 20)):
+            while b <= len(parts) and not (b - a >= 2 and sum(len(p.split()) for p in parts[a:b]) >= 20):
                 b += 1
             if b > len(parts):
                 continue
             run = tuple(parts[a:b])
-            if seen.setdefault(run, (i, a)) != (i, a):
+            if seen.setdefault(run, (i, t, a)) != (i, t, a):
                 covered |= set(range(a, b))
         if covered:
-            out[i] = covered
+            out[i, t] = covered
     return out
 
 
+def substring_key(t):
+    return SparkSession.getActiveSession().createDataFrame([(t,)], "t string").select(F.xxhash64(F.col("t").cast("binary"))).first()[0] if t in TIED else 0
+
+
+#: Texts that come under one id, or under none, whose order their hashes decide.
+SHARED = "The first of all sentences has a dozen words in it, or so. The second one has a dozen of words in it, too, or so."
+TIED = {SHARED + x for x in ("", " A.", " B.")}
+
+
 def test_substring_dedup_matches_brute_force(docs):
     got = {r["doc_id"]: {k for s in r["removed"] for k in range(s["start"], s["end"])} for r in substring_dedup.dedup_substrings(docs).collect()}
-    assert got == brute_removed([(r[0], r[1]) for r in ROWS])
+    assert got == {i: v for (i, _), v in brute_removed([(r[0], r[1]) for r in ROWS]).items()}
     assert len(got) > 10
 
 
+def test_substring_dedup_keeps_text_that_occurs_once(spark):
+    """Null and repeated ids, and the largest one: each text is a document of its own."""
+    top = (1 << 63) - 1
+    other = "Nothing of this is found in any other text of the table. It stays as it is in this text, whatever number the row has got."
+    rows = [(1, SHARED), (2, SHARED), (2, other), (None, SHARED + " A."), (None, SHARED + " B."), (None, other.replace("text", "place")), (top, SHARED + " A."), (top, other.replace("row", "line").replace("text", "spot")), (3, " ".join(f"w{i}" for i in range(90))), (4, "x. " + " ".join(f"w{i}" for i in range(90)))]
+    df = spark.createDataFrame([*rows, *rows[:3]], "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in substring_dedup.dedup_substrings(df).collect():
+        got[r["doc_id"]].append(r)
+    want = brute_removed(rows)
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for rs in got.values() for r in rs) == sorted((i or 0, len(v)) for (i, _), v in [*want.items(), ((2, SHARED), want[2, SHARED])])
+    assert 1 not in got and {r["text"].strip() for r in got[2]} == {""} and sorted(r["text"].strip() for r in got[None]) == ["A.", "B."]
+    assert [r["text"].strip() for r in got[top]] == ["A."] and {tuple(r["kept_in"]) for rs in (got[2], got[None]) for r in rs} >= {(1,)}
+
+
 def test_substring_text_keeps_the_rest(docs):
     for r in substring_dedup.dedup_substrings(docs).collect():
         raw = TEXT[r["doc_id"]].encode()
@@ -280,6 +305,35 @@ def test_keep_first_leaves_one_of_each_class(docs):
     assert kept == {i for i, (_, c) in brute_classes([(r[0], r[1]) for r in ROWS], 5, 80, 100).items() if c == i}
 
 
+def test_keep_first_keeps_texts_that_are_linked_with_nothing(spark):
+    rng = random.Random(11)
+    a, b, c = (corpus.prose(rng, "en", 6) for _ in range(3))
+    near = a + " indeed"
+    rows = [(1, a), (2, a), (2, b), (None, near), (None, c), (None, c), (7, c + " so"), ((1 << 63) - 1, b + " so")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_k", F.lit(1)).withColumn("sid", F.lit(2))
+    kept = jaccard_join.keep_first(df, jaccard_join.Near(5, 80, 100))
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(1, a), (2, b), (7, c + " so")])
+    lone = spark.createDataFrame([(None, a), (None, near), (None, b)], "doc_id long, text string")
+    assert len({r["text"] for r in jaccard_join.keep_first(lone, jaccard_join.Near(5, 80, 100)).collect()}) == 2
+    assert {r["component_id"] for r in jaccard_join.classes(lone, jaccard_join.Near(5, 80, 100)).collect()} == {None}
+
+
+def test_jaccard_of_a_large_family_that_falls_apart(spark):
+    """One region of many sets in many classes: pivots come in several rounds, and the windows lose no link."""
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(30)]
+    rows = []
+    for i in range(220):
+        w = common + [f"f{i % 11}x{k}" for k in range(i % 23)] + [f"e{rng.randrange(400)}" for _ in range(rng.randrange(9))]
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for num, least in ((80, 2), (90, 11)):
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.classes(df, jaccard_join.Near(1, num, 100)).collect()}
+        want = {k: v[1] for k, v in brute_classes(rows, 1, num, 100).items()}
+        assert got == want and len(set(want.values())) >= least
+
+
 # ---- 5 personal data --------------------------------------------------------------------------------------------
 
 PII = [
