@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from tesserae.llm.shared import small_batches
 from tesserae.llm.text import mix
 
-DIM = 512
+DIM = 2048
 GRAM = 3
-#: Documents that the prototypes are learned from, at most in expectation, chosen by a hash of doc_id.
-MAX_TRAIN = 20_000
+#: Documents of each language that its prototype is learned from, at most in expectation, chosen by a hash of doc_id and text.
+MAX_TRAIN = 4_000
+#: Languages that are learned, at most: those with the most documents.
+MAX_LANGS = 1_000
 #: Characters of text that are counted at once; longer texts are counted in pieces.
 CHUNK = 1 << 19
 #: n-gram vectors that are held at once.
@@ -32,6 +34,8 @@ BLOCK = 4_096
 #: Directions are kept as whole numbers of this unit, so that sums don't depend on their order.
 UNIT = 1 << 20
 UNKNOWN = "und"
+#: Dimensions of a sum that lie in one row.
+PART = 32
 
 
 @lru_cache(maxsize=1)
@@ -142,26 +146,32 @@ def _directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang in set(langs):
             total[lang] = total.get(lang, 0) + unit[langs == lang].sum(axis=0)
     for lang, v in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(v)), pa.array(range(len(v)), pa.int32()), pa.array(v, pa.int64())], names=["lang", "d", "v"])
+        for first in range(0, len(v), PART):
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([first], pa.int32()), pa.array([v[first : first + PART]], pa.list_(pa.int64()))], names=["lang", "d", "v"])
 
 
 def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
     """Languages in order and a unit prototype for each.
 
-    Learns from rows with a text and a lang, at most ``max_train`` of them in
-    expectation.  Sums combine by language and dimension before they reach
-    the driver: languages times DIM numbers, however many documents.
+    Learns from rows with a text and a lang: ``max_train`` of each language in
+    expectation, so that a rare language is learned from all its rows and a
+    common one costs no more; of MAX_LANGS languages (the most frequent) at
+    most.  Sums combine by language and part before they reach the driver:
+    languages times DIM numbers, however many documents.
     """
     small_batches(docs.sparkSession)
-    known = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text")
-    count = docs.where("lang is not null").count()
-    if count > max_train:
-        known = known.where(F.xxhash64("doc_id", F.lit(7)) < F.lit(int(-(2**63) + 2**64 * (max_train / count))))
-    sums = known.select("lang", "text").mapInArrow(_directions, "lang string, d int, v long").groupBy("lang", "d").agg(F.sum("v").alias("v")).collect()
+    known = docs.where("text is not null and lang is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    rates = [(r["lang"], (1 << 63) - 1 if r["count"] <= max_train else (max_train << 64) // r["count"] - (1 << 63)) for r in counts]
+    rates = docs.sparkSession.createDataFrame(rates, "lang string, _most long")
+    known = known.join(F.broadcast(rates), "lang").where(F.xxhash64("doc_id", "text", F.lit(7)) <= F.col("_most"))
+    sums = known.select("lang", "text").mapInArrow(_directions, "lang string, d int, v array<long>").groupBy("lang", "d")
+    sums = sums.agg(F.array(*(F.sum(F.get("v", F.lit(k))) for k in range(PART))).alias("v")).collect()
     langs = sorted({r["lang"] for r in sums})
+    place = {lang: k for k, lang in enumerate(langs)}
     proto = np.zeros((len(langs), DIM))
     for r in sums:
-        proto[langs.index(r["lang"]), r["d"]] = r["v"]
+        proto[place[r["lang"]], r["d"] : r["d"] + PART] = r["v"]
     size = np.linalg.norm(proto, axis=1, keepdims=True)
     return langs, np.divide(proto, size, out=np.zeros_like(proto), where=size > 0)
 

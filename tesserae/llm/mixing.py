@@ -4,6 +4,11 @@ Built from SQL functions only.  Tokens are summed by cell (source, language,
 topic); the cells' weights are scaled to one marginal after another until all
 three hold; a document is kept with the probability that its cell's weight
 asks for.
+
+Topics are learned from the corpus: stems (the first letters of longer words)
+that come in bursts, that is in far fewer documents than their number would
+fill if it were spread at random (residual inverse document frequency), are
+the anchors of topics, and a document belongs to the anchor that it holds most.
 """
 
 from __future__ import annotations
@@ -15,30 +20,57 @@ from tesserae.llm.shared import Workspace
 
 DIMS = ("source", "lang", "topic")
 #: A marginal's target shares are its observed token shares to this power, made to add up to 1.
-POWERS = {"source": 0.6, "lang": 0.8, "topic": 0.8}
-#: Rounds over the three marginals, and how many lie between two written tables.
-ROUNDS, EACH = 12, 4
+POWERS = {"source": 0.6, "lang": 0.8, "topic": 0.9}
+#: Rounds over the three marginals at most, how many lie between two written tables, and the largest miss of a marginal at which they end.
+ROUNDS, EACH, CLOSE = 12, 4, 1e-12
 #: Tokens that are asked for, as a share of all.
 BUDGET = 0.5
 NONE = "(none)"
 SPACES = " \t\n\x0b\x0c\r"
-#: Cells that may be broadcast to documents.
+#: Cells that may be broadcast to documents, and raked in one task instead of by a shuffle for each marginal.
 MOST_CELLS = 100_000
+#: Topics; an anchor lies in at least one of RARE documents with text, and in at most one of COMMON of each language.
+TOPICS, RARE, COMMON = 12, 200, 4
+#: Words of so many letters or more have a stem, which is so many letters long.
+STEM = 5
+OTHER = "(other)"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def topic(text: Column) -> Column:
-    """A coarse topic of a text, by its form; the first that fits."""
-    text = F.coalesce(text, F.lit(""))
-    n = F.length(text)
-    marks = n - F.length(F.translate(text, "#*$%&<>", ""))
-    return (
-        F.when(n < 400, "snippet")
-        .when(F.contains(text, F.lit(" | ")), "table")
-        .when(marks * 50 > n, "markup")
-        .when(F.lower(text) == text, "lower")
-        .when(n > 8000, "long")
-        .otherwise("prose")
-    )
+def stems(text: Column) -> Column:
+    """The first STEM letters of each word that has as many; A-Z in lower case."""
+    lower = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    return F.regexp_extract_all(lower, F.lit(rf"(\p{{L}}{{{STEM}}})\p{{L}}*"), F.lit(1))
+
+
+def anchors(docs: DataFrame) -> list[str]:
+    """The stems that part the corpus into topics, the most bursty first (by stem where equal).
+
+    Counts are over all documents and combine before the shuffle; the number
+    of stems is bounded by the languages, not by the documents, and TOPICS of
+    them reach the driver.
+    """
+    known = docs.where("text is not null").select(F.coalesce("lang", F.lit(NONE)).alias("lang"), "text")
+    texts = known.select("lang", F.array_sort(stems(F.col("text"))).alias("s"))
+    # in a sorted list a stem's first place is the one that differs from the place before
+    marked = F.transform("s", lambda s, i: F.struct(s.alias("stem"), F.when(s == F.get("s", i - 1), 0).otherwise(1).alias("first")))
+    counts = texts.select("lang", F.inline(marked)).groupBy("stem", "lang").agg(F.count("*").alias("cf"), F.sum("first").alias("df"))
+    of = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # a stem that much of a language has is a trait of the language, not a topic
+    counts = counts.join(of, "lang").groupBy("stem").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"), F.max(F.col("df") * COMMON - F.col("n")).alias("over"))
+    n = known.count()
+    fit = counts.where((F.col("df") * RARE >= n) & (F.col("over") <= 0) & (F.col("df") < F.col("cf")))
+    burst = F.round(F.log(F.lit(float(n)) / F.col("df")) + F.log(1 - F.exp(-F.col("cf") / F.lit(float(n)))), 6)
+    return [r["stem"] for r in fit.orderBy(F.desc(burst), "stem").limit(TOPICS).collect()]
+
+
+def topic(text: Column, of: list[str]) -> Column:
+    """The anchor that a text holds most, the first in order where equal; OTHER without any."""
+    if not of:
+        return F.lit(OTHER)
+    held = F.filter(stems(text), lambda s: s.isin(of))
+    most = F.array_max(F.transform(F.array(*map(F.lit, range(len(of)))), lambda k: F.struct(F.size(F.filter(held, lambda s: s == F.get(F.array(*map(F.lit, of)), k))).alias("n"), (-k).alias("k"))))
+    return F.when(F.size(held) == 0, OTHER).otherwise(F.get(F.array(*map(F.lit, of)), -most["k"]))
 
 
 def n_tokens(text: Column) -> Column:
@@ -47,43 +79,78 @@ def n_tokens(text: Column) -> Column:
     return F.when(bare == "", 0).otherwise(F.size(F.split(bare, f"[{SPACES}]+", -1))).cast("long")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, the three dimensions (null as NONE) and tokens of every row; further columns aren't read."""
+def features(docs: DataFrame, of: list[str]) -> DataFrame:
+    """doc_id, the three dimensions (null as NONE), tokens and the sampling number of every row; further columns aren't read."""
     return docs.select(
         "doc_id",
         F.coalesce("source", F.lit(NONE)).alias("source"),
         F.coalesce("lang", F.lit(NONE)).alias("lang"),
-        topic(F.col("text")).alias("topic"),
+        topic(F.col("text"), of).alias("topic"),
         n_tokens(F.col("text")).alias("tokens"),
+        uniform(F.col("doc_id"), F.col("text")).alias("u"),
     )
 
 
-def rake(rows: DataFrame, ws: Workspace, powers: dict[str, float] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """A row for each cell with tokens: its values, tokens, weight (calibrated token share) and the targets.
+def rake(rows: DataFrame, ws: Workspace, powers: dict[str, float] | None = None, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+    """A row for each cell with tokens: its values, tokens, weight (calibrated token share), targets and ``miss``.
+
+    A cell cannot give more than it has, so its weight is at most
+    ``most`` = its tokens over the tokens that are asked for; what it lacks
+    is asked of the other cells of its marginals, by scaling only those below
+    their most.  ``miss`` is the largest difference between a marginal and
+    its target (a target that all its cells together cannot give stays missed).
+    Rounds end when it is CLOSE to 0.
 
     Documents meet in sums that combine before the shuffle; the windows run
     over cells, so a hot source costs as little as another.
     """
     powers = powers or POWERS
     cells = ws.save(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "cells")
+    few = cells.count() <= MOST_CELLS
+    cells = cells.coalesce(1) if few else cells
     for dim in DIMS:
         cells = cells.withColumn(f"own_{dim}", F.sum("tokens").over(Window.partitionBy(dim)))
     # a value's share counts once: its cells' parts add up to it
     once = [F.sum(F.pow(f"own_{d}", F.lit(powers[d])) * F.col("tokens") / F.col(f"own_{d}")).alias(d) for d in DIMS]
     sums = cells.agg(F.sum("tokens").alias("all"), *once).first()
+    total = float(sums["all"] or 1)
     targets = [(F.pow(f"own_{d}", F.lit(powers[d])) / F.lit(sums[d] or 1.0)).alias(f"to_{d}") for d in DIMS]
-    now = cells.select(*DIMS, "tokens", *targets, (F.col("tokens") / F.lit(float(sums["all"] or 1))).alias("weight"))
+    now = cells.select(*DIMS, "tokens", *targets, (F.col("tokens") / F.lit(total)).alias("weight"), (F.col("tokens") / F.lit(total * budget)).alias("most"))
     for turn in range(rounds):
         for dim in DIMS:
-            now = now.withColumn("weight", F.col("weight") * F.col(f"to_{dim}") / F.sum("weight").over(Window.partitionBy(dim)))
+            now = _scaled(now, dim)
         if turn % EACH == EACH - 1 or turn == rounds - 1:
             now = ws.save(now, f"raked_{turn}")
-    return now.withColumn("all_tokens", F.lit(sums["all"] or 0).cast("long"))
+            now = now.coalesce(1) if few else now
+            misses = [F.abs(F.sum("weight").over(Window.partitionBy(d)) - F.col(f"to_{d}")).alias(d) for d in DIMS]
+            worst = now.select(*misses).agg(F.max(F.greatest(*DIMS)).alias("miss")).first()["miss"] or 0.0
+            if worst <= CLOSE:
+                break
+    return now.withColumns({"all_tokens": F.lit(sums["all"] or 0).cast("long"), "miss": F.lit(float(worst))})
+
+
+def _scaled(now: DataFrame, dim: str) -> DataFrame:
+    """``now`` with the weights of the cells below their most scaled so that each value of ``dim`` has its target."""
+    same = Window.partitionBy(dim)
+    full = F.col("weight") >= F.col("most")
+    fixed = F.sum(F.when(full, F.col("most")).otherwise(0.0)).over(same)
+    free = F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).over(same)
+    all_ = F.sum("weight").over(same)
+    lacks = F.col(f"to_{dim}") - F.col("_fixed")
+    # where full cells alone have the target or more, all of them are scaled
+    scale = F.when(lacks <= 0, F.col(f"to_{dim}") / F.col("_all")).when(full, 1.0).otherwise(lacks / F.col("_free"))
+    now = now.withColumns({"_fixed": fixed, "_free": free, "_all": all_})
+    return now.withColumn("weight", F.least(F.col("most"), F.col("weight") * scale)).drop("_fixed", "_free", "_all")
 
 
-def uniform(doc_id: Column) -> Column:
-    """A number from 0 to 1 (exclusive) that a document's id decides; 0 for null."""
-    return F.coalesce(F.conv(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48)), F.lit(0.0))
+def uniform(doc_id: Column, text: Column) -> Column:
+    """A number from 0 to 1 (exclusive) that a document's id decides; its text's MD5 does where the id is null."""
+    key = F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+def _shares(cells: DataFrame, budget: float) -> Column:
+    return F.least(F.lit(1.0), F.lit(budget) * F.col("all_tokens") * F.col("weight") / F.col("tokens"))
 
 
 def mix(docs: DataFrame, powers: dict[str, float] | None = None, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
@@ -91,34 +158,34 @@ def mix(docs: DataFrame, powers: dict[str, float] | None = None, budget: float =
 
     ``weight`` is the cell's calibrated share of tokens, ``probability`` the
     share of the cell's documents to keep so that the kept tokens are
-    ``budget`` of all and lie as the weights say; it is at most 1, so a cell
-    that is asked for more than it has gives all it has.  A row is sampled
-    when its id's hash is below; rows without tokens are never asked for
+    ``budget`` of all and lie as the weights say; no cell is asked for more
+    than it has (see ``rake``).  A row is sampled when its id's hash is below
+    (its text's where the id is null); rows without tokens are never asked for
     (weight and probability 0); repeated rows share their fate.  Null sources
     and languages are a value of their own; an empty table gives no rows.
     """
     ws = Workspace(docs.sparkSession, "mixing")
-    rows = ws.save(features(docs), "rows")
-    cells = rake(rows, ws, powers, rounds)
-    share = F.least(F.lit(1.0), F.lit(budget) * F.col("all_tokens") * F.col("weight") / F.col("tokens"))
-    cells = cells.select(*DIMS, "weight", share.alias("probability"))
-    out = rows.join(cells, list(DIMS), "left")
+    rows = ws.save(features(docs, anchors(docs)), "rows")
+    cells = rake(rows, ws, powers, budget, rounds)
+    cells = cells.select(*DIMS, "weight", _shares(cells, budget).alias("probability"))
+    small = cells.count() <= MOST_CELLS
+    out = rows.join(F.broadcast(cells) if small else cells, list(DIMS), "left")
     weight, probability = F.coalesce("weight", F.lit(0.0)), F.coalesce("probability", F.lit(0.0))
-    sampled = (F.col("tokens") > 0) & (uniform(F.col("doc_id")) < probability)
+    sampled = (F.col("tokens") > 0) & (F.col("u") < probability)
     return out.select("doc_id", *DIMS, "tokens", weight.alias("weight"), probability.alias("probability"), sampled.alias("sampled"))
 
 
 def sample(docs: DataFrame, powers: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
     """The sampled rows of ``docs``; columns as they were."""
     ws = Workspace(docs.sparkSession, "mixing")
-    cells = rake(features(docs), ws, powers)
-    share = F.least(F.lit(1.0), F.lit(budget) * F.col("all_tokens") * F.col("weight") / F.col("tokens"))
+    of = anchors(docs)
+    cells = rake(features(docs, of), ws, powers, budget)
     # names that no column of docs has
     mark = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in docs.columns), default=0))
-    cells = cells.select(*(F.col(d).alias(f"{mark}{d}") for d in DIMS), share.alias(f"{mark}share"))
+    cells = cells.select(*(F.col(d).alias(f"{mark}{d}") for d in DIMS), _shares(cells, budget).alias(f"{mark}share"))
     # cells may number too many to broadcast; a skewed join can split a hot cell
-    own = {"source": F.coalesce("source", F.lit(NONE)), "lang": F.coalesce("lang", F.lit(NONE)), "topic": topic(F.col("text"))}
+    own = {"source": F.coalesce("source", F.lit(NONE)), "lang": F.coalesce("lang", F.lit(NONE)), "topic": topic(F.col("text"), of)}
     keyed = docs.select("*", *(c.alias(f"{mark}{d}") for d, c in own.items()))
     small = cells.count() <= MOST_CELLS
     kept = keyed.join(F.broadcast(cells) if small else cells, [f"{mark}{d}" for d in DIMS])
-    return kept.where((n_tokens(F.col("text")) > 0) & (uniform(F.col("doc_id")) < F.col(f"{mark}share"))).select(*docs.columns)
+    return kept.where((n_tokens(F.col("text")) > 0) & (uniform(F.col("doc_id"), F.col("text")) < F.col(f"{mark}share"))).select(*docs.columns)

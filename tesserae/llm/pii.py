@@ -31,8 +31,11 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, "phone|tel|call|mobile|fax|cell"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", 0.7, "iban|bank|account|konto|cuenta|compte"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, "ssn|social|security|tax"),
+    Kind("secret", r"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9_+/=-])", 0.3, "token|secret|api|key|passwor|passwd|auth|bearer|credential"),
 )
 BASE = 4
+#: Characters of a secret, at most.
+MOST_SECRET = 256
 #: Characters looked at before and after a span; what a context word adds; the score an added span needs.
 BEFORE, AFTER, BONUS, LEAST = 48, 24, 0.25, 0.5
 
@@ -75,6 +78,10 @@ def _valid(kind: str, value: Column) -> Column:
         return F.length(_digits(value)).between(9, 15)
     if kind == "iban":
         return mod97(value)
+    if kind == "secret":
+        # letters and digits mixed throughout, as keys are: words, paths and numbers aren't
+        digits = F.length(_digits(value))
+        return (F.length(value) <= MOST_SECRET) & (digits * 10 >= F.length(value)) & (digits < F.length(value)) & ~value.rlike("[A-Za-z]{13}|/.*/.*/")
     if kind == "ssn":
         return ~value.rlike("^(?:000|666|9..)|-00-|-0000$")
     return F.lit(True)
@@ -111,9 +118,10 @@ def _found(rank: int, kind: Kind) -> Column:
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id and ``spans``: array of (start, rank, kind, end, value, score) by start, then kind.
 
-    Base spans (email, ip, card, phone) stay whatever their score; iban and
-    ssn are added where their check passes and the score, raised by context
-    words up to BEFORE characters before or AFTER after, reaches LEAST.  A
+    Base spans (email, ip, card, phone) stay whatever their score; iban, ssn
+    and secret (keys and tokens) are added where their check passes and the
+    score, raised by context words up to BEFORE characters before or AFTER
+    after, reaches LEAST: context decides for ssn and secret.  A
     null or empty text has no spans.  Rows stay as they come, repeated ones
     too; an empty table gives none.  Only doc_id and text are read.
     """
@@ -134,11 +142,13 @@ def digest(spans: Column) -> Column:
 
 
 def contract(found: DataFrame) -> DataFrame:
-    """The digest columns of ``find_pii``'s rows; counts and base_sha256 are of base spans."""
+    """The digest columns of ``find_pii``'s rows: base_sha256 is of base spans, scores lie beside spans, each kind has its count."""
 
     def of(rank: int) -> Column:  # a lambda with a default would be taken for one with an index
         return F.filter("spans", lambda s: s["rank"] == rank)
 
     base = F.filter("spans", lambda s: s["rank"] < BASE)
     counts = [F.size(of(r)).cast("long").alias(f"n_{KINDS[r].name}") for r in range(BASE)]
-    return found.select("doc_id", *counts, F.sha2(digest(base).cast("binary"), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+    added = [F.size(of(r)).cast("long").alias(f"n_{KINDS[r].name}") for r in range(BASE, len(KINDS))]
+    scores = F.array_join(F.transform("spans", lambda s: F.format_string("%.2f", s["score"])), ",").alias("scores")
+    return found.select("doc_id", *counts, F.sha2(digest(base).cast("binary"), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"), scores, *added)

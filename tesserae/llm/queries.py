@@ -57,7 +57,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "warc")
     archives = ws.path("archives")
     archives = archives if "://" in archives else archives.replace("file:", "file://") if archives.startswith("file:") else f"file://{archives}"
-    index = ws.save(warc.write_archives(_table(spark, sf_dir, "pages"), archives), "index")
+    pages = _table(spark, sf_dir, "pages")
+    revisits = ws.save(warc.refer(pages), "revisits")
+    index = ws.save(warc.write_archives(pages, archives, revisits=revisits), "index")
     back = warc.read_records(index, archives, payloads=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -104,30 +106,39 @@ def _mixing_sql() -> str:
     steps, last = [], "start"
     for turn in range(mixing.ROUNDS):
         for d in dims:
-            steps.append(f"r{turn}_{d} AS (SELECT * REPLACE (weight * to_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight) FROM {last})")
-            last = f"r{turn}_{d}"
+            name = f"r{turn}_{d}"
+            steps.append(f"""s_{name} AS (SELECT *, sum(CASE WHEN weight >= most THEN most ELSE 0 END) OVER w AS fixed, sum(CASE WHEN weight >= most THEN 0 ELSE weight END) OVER w AS free, sum(weight) OVER w AS sum_all FROM {last} WINDOW w AS (PARTITION BY {d})),
+{name} AS MATERIALIZED (SELECT source, lang, topic, tokens, all_tokens, most, to_source, to_lang, to_topic,
+  least(most, weight * CASE WHEN to_{d} - fixed <= 0 THEN to_{d} / sum_all WHEN weight >= most THEN 1 ELSE (to_{d} - fixed) / free END) AS weight FROM s_{name})""")
+            last = name
+    stem = f"(\\p{{L}}{{{mixing.STEM}}})\\p{{L}}*"
     return f"""
-WITH texts AS (
-  SELECT doc_id, coalesce(source, '{mixing.NONE}') AS source, coalesce(lang, '{mixing.NONE}') AS lang, coalesce(text, '') AS t,
-         length(coalesce(text, '')) AS n, trim(coalesce(text, ''), {spaces}) AS bare
+WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '{mixing.NONE}') AS source, coalesce(lang, '{mixing.NONE}') AS lang, text,
+         trim(coalesce(text, ''), {spaces}) AS bare
   FROM documents),
-features AS (
-  SELECT doc_id, source, lang,
-         CASE WHEN n < 400 THEN 'snippet' WHEN contains(t, ' | ') THEN 'table'
-              WHEN (n - length(translate(t, '#*$%&<>', ''))) * 50 > n THEN 'markup'
-              WHEN lower(t) = t THEN 'lower' WHEN n > 8000 THEN 'long' ELSE 'prose' END AS topic,
-         CASE WHEN bare = '' THEN 0 ELSE len(regexp_split_to_array(bare, '[ \\t\\n\\x0b\\x0c\\r]+')) END::BIGINT AS tokens
-  FROM texts),
+stems AS MATERIALIZED (SELECT r, lang, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{stem}', 1)) AS stem FROM texts WHERE text IS NOT NULL),
+size AS (SELECT count(text)::DOUBLE AS n FROM texts),
+langs AS (SELECT lang, count(text) AS n FROM texts GROUP BY lang),
+counts AS (SELECT stem, sum(cf) AS cf, sum(df) AS df, max(df * {mixing.COMMON} - n) AS over
+           FROM (SELECT stem, lang, count(*) AS cf, count(DISTINCT r) AS df FROM stems GROUP BY ALL) JOIN langs USING (lang) GROUP BY stem),
+bursts AS (SELECT stem, round(ln(n / df) + ln(1 - exp(-cf / n)), 6) AS burst FROM counts, size WHERE df * {mixing.RARE} >= n AND over <= 0 AND df < cf),
+anchors AS MATERIALIZED (SELECT stem, row_number() OVER (ORDER BY burst DESC, stem) AS k FROM bursts QUALIFY k <= {mixing.TOPICS}),
+topics AS (SELECT r, stem AS topic FROM (SELECT r, stem, k, count(*) AS c FROM stems JOIN anchors USING (stem) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY r ORDER BY c DESC, k) = 1),
+features AS MATERIALIZED (
+  SELECT r, doc_id, source, lang, coalesce(topic, '{mixing.OTHER}') AS topic,
+         CASE WHEN bare = '' THEN 0 ELSE len(regexp_split_to_array(bare, '[ \t\n\x0b\x0c\r]+')) END::BIGINT AS tokens,
+         md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS h
+  FROM texts LEFT JOIN topics USING (r)),
 cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM features GROUP BY ALL HAVING sum(tokens) > 0),
 owned AS (SELECT *, {own} FROM cells),
 sums AS (SELECT sum(tokens) AS all_tokens, {once} FROM owned),
-start AS (SELECT source, lang, topic, tokens, tokens / all_tokens AS weight, all_tokens, {targets} FROM owned, sums),
+start AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens / all_tokens AS weight, tokens / (all_tokens * {mixing.BUDGET}) AS most, all_tokens, {targets} FROM owned, sums),
 {", ".join(steps)},
-shares AS (SELECT source, lang, topic, weight, least(1.0, {mixing.BUDGET} * all_tokens * weight / tokens) AS probability FROM {last}),
-hashed AS (SELECT *, md5(doc_id::VARCHAR) AS h FROM features)
+shares AS (SELECT source, lang, topic, weight, least(1.0, {mixing.BUDGET} * all_tokens * weight / tokens) AS probability FROM {last})
 SELECT doc_id, f.source, f.lang, f.topic, f.tokens, round(coalesce(weight, 0), 9) AS weight, round(coalesce(probability, 0), 9) AS probability,
-       f.tokens > 0 AND coalesce(({digits}) / {float(1 << 48):.0f}.0, 0) < coalesce(probability, 0) AS sampled
-FROM hashed f LEFT JOIN shares s USING (source, lang, topic)"""
+       f.tokens > 0 AND ({digits}) / {float(1 << 48):.0f}.0 < coalesce(probability, 0) AS sampled
+FROM features f LEFT JOIN shares s USING (source, lang, topic)"""
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -1,15 +1,23 @@
-"""Sharding over fixed virtual slots with a versioned slot-to-shard map."""
+"""Sharding over fixed virtual slots with a stored, versioned slot-to-shard map.
+
+The map lives in a folder that the caller names, a table for each version:
+``load`` gives one, ``rebalanced``, ``grown`` and ``moved`` edit it, and
+``save`` stores the next version.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.shared import Workspace
 
 N_SLOTS = 4096
+#: Repeated rows that may be broadcast; beyond, they are joined by a shuffle.
+MOST_REPEATS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -25,10 +33,37 @@ class SlotMap:
         """Version 0: slots dealt in turn."""
         return cls(0, n_shards, tuple(s % n_shards for s in range(n_slots)))
 
+    @classmethod
+    def load(cls, spark: SparkSession, store: str, version: int | None = None) -> SlotMap | None:
+        """The latest or the given version of the map in ``store``; None where there is none."""
+        try:
+            table = spark.read.parquet(f"{store}/slot_map")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        if version is None:
+            version = table.agg(F.max("version")).first()[0]
+        rows = table.where(F.col("version") == version).orderBy("virtual_slot").collect()
+        return cls(version, rows[0]["n_shards"], tuple(r["shard"] for r in rows)) if rows else None
+
+    def save(self, spark: SparkSession, store: str) -> SlotMap:
+        """Store this version; a version that is there already is never overwritten."""
+        rows = [(slot, shard, self.n_shards) for slot, shard in enumerate(self.shard_of)]
+        table = spark.createDataFrame(rows, "virtual_slot int, shard int, n_shards int").coalesce(1)
+        table.write.mode("errorifexists").parquet(f"{store}/slot_map/version={self.version}")
+        return self
+
     def grown(self) -> SlotMap:
         """One more shard, which is empty until the map is rebalanced."""
         return SlotMap(self.version + 1, self.n_shards + 1, self.shard_of)
 
+    def moved(self, slot: int, shard: int) -> SlotMap:
+        """An edit by hand: one slot in another shard."""
+        if not 0 <= shard < self.n_shards:
+            raise ValueError(f"there is no shard {shard}")
+        return replace(self, version=self.version + 1, shard_of=(*self.shard_of[:slot], shard, *self.shard_of[slot + 1 :]))
+
     def rebalanced(self, size_of: dict[int, int]) -> SlotMap:
         """Move single slots from the fullest to the emptiest shard while that narrows the gap.
 
@@ -54,38 +89,53 @@ class SlotMap:
         return SlotMap(self.version + 1, self.n_shards, tuple(shard_of[s] for s in range(len(self.shard_of))))
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, previous: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
+def _with_slots(docs: DataFrame, n_slots: int, ws: Workspace) -> DataFrame:
+    """doc_id, size, text_crc32 and virtual_slot of every row.
+
+    A slot is a hash of the id and of the text's CRC, so neither a hot source
+    nor a large group of copies gathers in one slot.  Rows that repeat both
+    are told apart by their place in the written table.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = ws.save(rows.withColumn("place", F.monotonically_increasing_id()), "rows")
+    key = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text_crc32", "size")
+    keyed = rows.withColumn("key", key)
+    repeats = ws.save(keyed.groupBy("key").count().where(F.col("count") > 1).select("key", F.lit(True).alias("again")), "repeats")
+    few = repeats.count() <= MOST_REPEATS
+    marked = keyed.join(F.broadcast(repeats) if few else repeats, "key", "left")
+    slot = F.pmod(F.when(F.col("again"), F.xxhash64("key", "place")).otherwise(F.col("key")), F.lit(n_slots)).cast("int")
+    return ws.save(marked.select("doc_id", "size", "text_crc32", slot.alias("virtual_slot")), "slots")
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, previous: SlotMap | None = None, store: str | None = None) -> tuple[DataFrame, SlotMap]:
     """Deal documents out to shards of near equal bytes.
 
-    A row's slot is a hash of its id and of its text's CRC, so neither a hot
-    source nor a large group of copies gathers in one slot.  Bytes and rows
-    are summed by slot (``n_slots`` rows reach the driver, whatever the
-    input), the map is edited there, and written as a versioned table.
+    Bytes and rows are summed by slot (``n_slots`` rows reach the driver,
+    whatever the input).  The map to start from is ``previous``, else the
+    latest in ``store``, else slots dealt in turn; it is rebalanced by moving
+    single slots, and stored as the next version where ``store`` names a folder.
 
     Result: doc_id, size (UTF-8 bytes + 1; a null text has none), text_crc32
     (of no bytes for null), virtual_slot, shard and slot: the row's position
     within its shard, gapless from 0, by virtual slot, then doc_id, CRC and
-    size (nulls first).  Repeated rows get a position each.  An empty table
-    gives no rows and the map of ``previous`` or version 0, rebalanced.
-    Further columns of ``docs`` are not read.
+    size (nulls first).  Repeated rows get a slot and a position each, so that
+    many of them spread over the shards.  An empty table gives no rows and the
+    map it started from, rebalanced.  Further columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "sharding")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        "doc_id",
-        (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_slots)).cast("int"))
-    rows = ws.save(rows, "rows")
+    rows = _with_slots(docs, n_slots, ws)
     by_slot = {r[0]: (r[1], r[2]) for r in rows.groupBy("virtual_slot").agg(F.sum("size"), F.count("*")).collect()}
-    slot_map = (previous or SlotMap.first(n_shards, n_slots)).rebalanced({k: v[0] for k, v in by_slot.items()})
+    known = previous or (SlotMap.load(spark, store) if store else None) or SlotMap.first(n_shards, n_slots)
+    slot_map = known.rebalanced({k: v[0] for k, v in by_slot.items()})
+    if store:
+        slot_map.save(spark, store)
     start, dealt = [0] * slot_map.n_shards, []
     for slot, shard in enumerate(slot_map.shard_of):
-        dealt.append((slot, shard, start[shard], slot_map.version))
+        dealt.append((slot, shard, start[shard]))
         start[shard] += by_slot.get(slot, (0, 0))[1]
-    table = spark.createDataFrame(dealt, "virtual_slot int, shard int, first_slot long, version int").coalesce(1)
-    table = ws.save(table, f"slot_map_v{slot_map.version}")
+    table = spark.createDataFrame(dealt, "virtual_slot int, shard int, first_slot long")
     within = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
-    placed = rows.withColumn("nth", F.row_number().over(within)).join(F.broadcast(table.drop("version")), "virtual_slot")
+    placed = rows.withColumn("nth", F.row_number().over(within)).join(F.broadcast(table), "virtual_slot")
     return placed.select("doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("first_slot") + F.col("nth") - 1).cast("long").alias("slot")), slot_map

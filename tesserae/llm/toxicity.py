@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.shared import small_batches
@@ -22,6 +22,8 @@ from tesserae.llm.text import WordHasher, mix, tokens
 BITS = 20
 #: Labelled rows that the model is fitted on, at most (a hash of doc_id picks them; in expectation).
 MAX_TRAIN = 16_000
+#: Bytes of their texts, at most (in expectation; the same hash picks fewer rows beyond).
+MAX_BYTES = 96_000_000
 THRESHOLD = 0.7
 #: The bias of a model without labelled rows.
 UNTAUGHT = -3.0
@@ -102,18 +104,25 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, how: F
     """Non-zero coordinates and their weights; the last is the bias.
 
     Learns from rows of ``labels`` (doc_id, toxic) whose two columns are not
-    null, at most ``max_train`` of them in expectation, chosen and ordered by
-    a hash of doc_id.  Conflicting labels of one doc_id count as rows each.
-    Texts are featurised where they lie; the labels that are broadcast and
-    the one task that fits, in hash order, are bounded by ``max_train``.
-    Without labelled rows the model is the bias alone and scores 0.047.
+    null: at most ``max_train`` of them with MAX_BYTES of text in expectation,
+    chosen by hashes of doc_id and text and ordered by that of doc_id.
+    Conflicting labels of one doc_id count as rows each, as do several texts of one.  Texts are featurised where
+    they lie; the labels that are broadcast and the one task that fits, in
+    hash order, are bounded by the two limits, and a text has 4 MB of features
+    at most.  Without labelled rows the model is the bias alone and scores 0.047.
     """
     small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("_d"), F.col("toxic").cast("int").alias("_y"), F.xxhash64("doc_id").alias("_o"))
-    count = known.count()
-    if count > max_train:
-        known = known.where(F.col("_o") < F.lit(int(-(2**63) + 2**64 * (max_train / count))))
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_d")).select("_o", "_y", "text").mapInArrow(_featurize, "o long, y int, x binary")
+
+    def below(key: Column, part: float) -> Column:
+        return F.lit(True) if part >= 1 else key < F.lit(int(-(2**63) + 2**64 * part))
+
+    some = known.where(below(F.col("_o"), max_train / max(known.count(), 1)))
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_d"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
+    # ids may come with many texts, and texts may be long
+    rows = rows.where(below(F.xxhash64("doc_id", "text", F.lit(11)), min(MAX_BYTES / max(size["bytes"], 1), 1.25 * max_train / max(size["rows"], 1))))
+    rows = rows.select("_o", "_y", "text").mapInArrow(_featurize, "o long, y int, x binary")
     fitted = rows.repartition(1).sortWithinPartitions("o", "y", "x").mapInArrow(_fitter(how), "i long, w double").collect()
     fitted = [tuple(r) for r in fitted] or [(1 << BITS, UNTAUGHT)]
     return np.array([r[0] for r in fitted], np.int64), np.array([r[1] for r in fitted])

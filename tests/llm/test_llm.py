@@ -101,6 +101,35 @@ def test_langid_pieces_and_reference():
     assert np.array_equal(whole, slow)
 
 
+def test_langid_against_brute_force(spark, docs):
+    """Prototypes and cosines by a direct sum over letters, and a rare language that is learned from all its rows."""
+    rare = spark.createDataFrame([(900 + i, corpus.prose(random.Random(i), "de", 6).translate(str.maketrans("aeinr", "xyqzj")), "xx", None, 0) for i in range(3)], corpus.SCHEMA)
+    some = docs.where("doc_id % 10 = 0 AND length(text) < 3000").union(rare)
+    rows = some.select("doc_id", "text", "lang").collect()
+    letters = langid.Letters()
+
+    def slow(t):
+        at = [ord(c) if c.isalpha() else 0 for c in f" {t.lower()} "]
+        grams = collections.Counter((a, b, c) for a, b, c in zip(at, at[1:], at[2:], strict=False) if (a or b) and (b or c))
+        v = np.zeros(langid.DIM)
+        for (a, b, c), n in grams.items():
+            v += n * (np.roll(letters.vector(a), 2).astype(int) * np.roll(letters.vector(b), 1) * letters.vector(c))
+        return v / (np.linalg.norm(v) or 1)
+
+    vectors = {r["doc_id"]: slow(r["text"]) for r in rows if r["text"]}
+    langs = sorted({r["lang"] for r in rows if r["lang"] and r["text"]})
+    proto = np.array([sum(vectors[r["doc_id"]] for r in rows if r["lang"] == x and r["text"]) for x in langs])
+    proto /= np.linalg.norm(proto, axis=1, keepdims=True)
+    model = langid.train(some)
+    assert model[0] == langs and np.allclose(model[1], proto, atol=1e-4)
+    for r in langid.identify(some, model).collect():
+        if r["doc_id"] in vectors:
+            cos = proto @ vectors[r["doc_id"]]
+            assert r["lang_pred"] == langs[int(cos.argmax())] and abs(r["score"] - max(cos.max(), 0)) < 1e-3
+    few = langid.train(some, max_train=4)
+    assert few[0] == langs and np.allclose(few[1][langs.index("xx")], model[1][langs.index("xx")])
+
+
 def test_langid_odd(spark, odd, empty):
     model = langid.train(odd)
     got = langid.identify(odd, model).collect()
@@ -213,6 +242,54 @@ def test_toxicity_held_out(spark, labels):
     assert toxicity.keep_clean(docs, marks.where("doc_id % 3 != 1")).columns == ["doc_id", "text"]
 
 
+def test_toxicity_against_brute_force(spark, docs, labels):
+    """The whole way in plain Python: features, the order of rows, FTRL's updates and the scores."""
+    some = docs.where("doc_id < 60 AND length(text) < 3000")
+    order = {r[0]: r[1] for r in labels.select("doc_id", F.xxhash64("doc_id")).collect()}
+    how = toxicity.Ftrl(passes=2)
+    h = text.WordHasher()
+
+    def coordinates(t):
+        w = [h[x] for x in re.findall(rb"[a-z0-9\x80-\xff]+", (t or "").lower().encode())]
+        odd, skip, mask = int(toxicity._ODD), int(toxicity._SKIP), (1 << 64) - 1
+        keys = w + [(a * odd + b) & mask for a, b in zip(w, w[1:], strict=False)] + [(a * skip + b) & mask for a, b in zip(w, w[2:], strict=False)]
+        return {int(text.mix(np.array([k], np.uint64))[0]) >> (64 - toxicity.BITS) for k in keys}
+
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else how.l1
+        return 0.0 if abs(z[i]) <= l1 and l1 else (np.sign(z[i]) * l1 - z[i]) / ((how.beta + n[i] ** 0.5) / how.alpha + (how.l2 if i != "bias" else 0))
+
+    truth = dict(LABELS)
+    rows = sorted((order[r["doc_id"]], truth[r["doc_id"]], r["text"]) for r in some.select("doc_id", "text").collect() if r["doc_id"] in truth)
+    for _ in range(how.passes):
+        for _, y, t in rows:
+            at = [*coordinates(t), "bias"]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in at:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / how.alpha * w[i]
+                n[i] += g * g
+    got = {int(i): w for i, w in zip(*toxicity.train(some, labels, how=how), strict=True)}
+    want = {i: weight(i) for i in z if weight(i) and i != "bias"} | {1 << toxicity.BITS: weight("bias")}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-6 for i in got)
+    scores = {r["s"] for r in some.select(toxicity.scorer(some, toxicity.train(some, labels, how=how))("text").alias("s")).collect()}
+    assert all(min(abs(s - 1 / (1 + np.exp(-sum(want.get(i, 0) for i in coordinates(r[2])) - weight("bias")))) for s in scores) < 1e-6 for r in rows)
+
+
+def test_toxicity_training_is_bounded(spark, docs, labels):
+    old = toxicity.MAX_BYTES
+    toxicity.MAX_BYTES = 20_000
+    try:
+        seen = []
+        fit, toxicity._fitter = toxicity._fitter, lambda how: seen.append(how) or fit(how)
+        rows = toxicity.train(docs, labels)
+        assert len(rows[0]) >= 1 and seen
+    finally:
+        toxicity.MAX_BYTES, toxicity._fitter = old, fit
+
+
 def test_ftrl_is_sparse():
     t = toxicity.Trainer(toxicity.Ftrl())
     for k in range(200):
@@ -359,6 +436,14 @@ def test_pii_added_kinds_and_context(spark):
     assert scores[1][0]["score"] > scores[2][0]["score"]
 
 
+def test_pii_secrets_need_context(spark):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    rows = [(1, f'token = "{key}"'), (2, f"api_key={key}"), (3, f"see commit {key}"), (4, "password: aVeryLongWordWithoutAnyDigits"), (5, "key " + "a1" * 5_000), (6, "secret " + "1" * 40), (7, "bearer dGhpcyBpcyBub3QgYSBrZXk3OTQ1Ng==")]
+    got = {r["doc_id"]: r for r in pii.contract(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert [i for i in got if got[i]["n_secret"]] == [1, 2, 7]
+    assert got[1]["spans"] == "secret:9:49" and got[1]["scores"] == "0.55" and got[3]["scores"] == ""
+
+
 def test_pii_odd(odd, empty):
     assert pii.find_pii(empty).count() == 0 and pii.contract(pii.find_pii(odd)).count() == 5
 
@@ -423,6 +508,61 @@ def test_decontamination_of_short_items_with_a_substitution(n):
     assert not index.overlaps(h.of([b"other"] * 5)) and len(item) == n
 
 
+def brute_overlap(doc, item):
+    """Whether any diagonal has a long enough segment with enough equal tokens."""
+    least = min(len(item), decontaminate.MIN_TOKENS)
+    for d in range(least - len(item), len(doc) - least + 1):
+        a, b = max(0, -d), min(len(item), len(doc) - d)
+        same = np.concatenate([[0], np.cumsum([doc[k + d] == item[k] for k in range(a, b)])])
+        for i in range(b - a - least + 1):
+            for j in range(i + least, b - a + 1):
+                if same[j] - same[i] >= decontaminate.MIN_IDENTITY * (j - i):
+                    return True
+    return False
+
+
+def test_decontamination_recall_against_all_diagonals(spark):
+    """Every length with up to as many substitutions as the rule admits: short items without a miss, longer ones at 0.97 or more."""
+    rng = random.Random(13)
+    h = text.WordHasher()
+    found, there = collections.Counter(), collections.Counter()
+    for n in [*range(1, 25), 40]:
+        item = [f"i{n}x{k}" + "l" * 20 for k in range(n)]
+        index = decontaminate.Index.of([(n, " ".join(item))])
+        for trial in range(40):
+            copy = list(item)
+            for at in rng.sample(range(n), rng.randint(0, min(n, n // 4 + 1))):
+                copy[at] = "other"
+            start = rng.randint(0, max(0, n - 13)) if trial % 3 == 0 else 0
+            doc = [f"a{k}" for k in range(rng.randint(0, 9))] + copy[start:] + [f"b{k}" for k in range(rng.randint(0, 9))]
+            want, got = brute_overlap(doc, item), index.meets(h.of([w.encode() for w in doc]))
+            assert got == bool(index.overlaps(h.of([w.encode() for w in doc]))) and not (got and not want)
+            there[n] += want
+            found[n] += got
+    assert all(found[n] == there[n] for n in range(1, 13)) and all(found[n] >= 0.97 * there[n] for n in there) and min(there.values()) > 10
+
+
+def test_decontamination_of_items_with_few_or_no_words(spark):
+    assert decontaminate.units("日本語 a") == [c.encode() for c in "日本語"] + [b"a"] and decontaminate.units("L\u2019\xc9t\xe9") == ["l\u2019\xe9t\xe9".encode()]
+    items = spark.createDataFrame([(1, "the"), (2, "Donaudampfschifffahrtsgesellschaft fährt"), (3, "今日はとても良い天気です")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "So the Donaudampfschifffahrtsgesellschaft fährt."), (2, "そして今日はとても良い天気です。"), (3, "the the")], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(docs, items).collect()} == {(1, 2), (2, 3)}
+    assert [r["item_id"] for r in decontaminate.too_short(items).collect()] == [1]
+
+
+def test_decontamination_takes_a_seed_of_many_items_in_portions():
+    h = text.WordHasher()
+    shared = "a phrase of ten words which each of the items has"
+    index = decontaminate.Index.of([(k, f"{shared} item{k} b{k} c{k} d{k} e{k}") for k in range(60)])
+    doc = h.of(f"{shared} other {shared} item7 b7 c7 d7 e7".encode().split())
+    want = index.overlaps(doc)
+    old, decontaminate.AT_ONCE = decontaminate.AT_ONCE, 50
+    try:
+        assert max(len(x) for x in index.candidates(doc)) <= 60 and index.overlaps(doc) == want and [r[0] for r in want] == [7]
+    finally:
+        decontaminate.AT_ONCE = old
+
+
 def test_decontamination_odd(spark, odd, empty):
     bench = spark.createDataFrame([(1, None), (None, "a b c"), (2, ""), (3, "same words twice over and over again")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(odd, bench).collect()} == {(1, 3)}
@@ -452,6 +592,46 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_records(index.where("false"), root).count() == 0
 
 
+def test_warc_records_are_standard(spark, tmp_path):
+    """Other readers find a warcinfo record first, and resolve a revisit by the fields of the standard."""
+    pages = spark.createDataFrame([(2, "http://a/2", "<p>same</p>"), (1, "http://a/1", "<p>same</p>"), (3, None, "x")], "page_id long, url string, html string").coalesce(1)
+    root = f"file://{tmp_path}/w"
+    index = Workspace(spark, "t").save(warc.write_archives(pages, root, date="2020-01-02T03:04:05Z"), "i").collect()
+    records = []
+    for name in {r["file"] for r in index}:
+        raw = open(f"{tmp_path}/w/{name}", "rb").read()
+        while raw:
+            d = zlib.decompressobj(31)
+            data = d.decompress(raw)
+            raw = d.unused_data
+            head, _, rest = data.partition(b"\r\n\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            assert data.startswith(b"WARC/1.1\r\n") and rest[int(fields["Content-Length"]) :] == b"\r\n\r\n" and fields["WARC-Date"]
+            records.append(fields)
+    assert records[0]["WARC-Type"] == "warcinfo" and len(records) >= 4
+    by = {f["X-Page-Id"]: f for f in records if "X-Page-Id" in f}
+    assert by["2"]["WARC-Type"] == "revisit" and by["2"]["WARC-Refers-To"] == by["1"]["WARC-Record-ID"]
+    assert by["2"]["WARC-Refers-To-Target-URI"] == "http://a/1" and by["3"]["WARC-Target-URI"] and len({f["WARC-Record-ID"] for f in records}) == len(records)
+
+
+def test_warc_readers_are_dealt_by_bytes(spark, tmp_path):
+    """One archive is read by several tasks, and no payload is shuffled to write it."""
+    pages = spark.range(400).selectExpr("id AS page_id", "concat('http://a/', id) AS url", "repeat(sha2(string(id % 300), 512), 40) AS html").coalesce(1)
+    root = f"file://{tmp_path}/w"
+    ws = Workspace(spark, "t")
+    revisits = ws.save(warc.refer(pages), "r")
+    written = warc.write_archives(pages, root, revisits=revisits)
+    assert "Exchange hashpartitioning" not in written._jdf.queryExecution().executedPlan().toString()
+    index = ws.save(written, "i")
+    old, warc.SPLIT = warc.SPLIT, 20_000
+    try:
+        back = warc.read_records(index, root)
+        assert back.rdd.getNumPartitions() > 4 and len(back.select(F.spark_partition_id()).distinct().collect()) > 3
+        assert back.where("record_type = 'revisit'").count() == 100 and back.count() == 400
+    finally:
+        warc.SPLIT = old
+
+
 def test_warc_minimum_and_empty(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string").withColumn("payload", F.lit(1))
     root = f"file://{tmp_path}/w"
@@ -479,12 +659,48 @@ def test_mixing_meets_the_marginals(spark):
     rng = random.Random(2)
     texts = [corpus.prose(rng, "en", 3), corpus.prose(rng, "en", 12), "a | b " * 200, "#* " * 300 + "X" * 200]
     rows = [(i, rng.choice(texts), rng.choice(["en", "en", "de"]), f"s{min(rng.randrange(6), 3)}") for i in range(1500)]
-    ws = Workspace(spark, "t")
-    cells = mixing.rake(mixing.features(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")), ws).toPandas()
-    for d in mixing.DIMS:
-        by = cells.groupby(d).agg(weight=("weight", "sum"), to=(f"to_{d}", "first"))
-        assert np.allclose(by["weight"], by["to"], atol=1e-6)
-    assert abs(cells["weight"].sum() - 1) < 1e-9
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    old = mixing.MOST_CELLS
+    for mixing.MOST_CELLS in (old, 0):  # in one task, and by shuffles
+        cells = mixing.rake(mixing.features(df, []), Workspace(spark, "t")).toPandas()
+        for d in mixing.DIMS:
+            by = cells.groupby(d).agg(weight=("weight", "sum"), to=(f"to_{d}", "first"))
+            assert np.allclose(by["weight"], by["to"], atol=1e-6)
+        assert abs(cells["weight"].sum() - 1) < 1e-9 and cells["miss"].max() < 1e-6
+    mixing.MOST_CELLS = old
+
+
+def test_mixing_asks_others_for_what_a_full_cell_lacks(spark):
+    """A small source that is asked for more than it has gives all, and the rest of its language makes up for it."""
+    rows = [("a", "en", 9_000), ("a", "de", 500), ("b", "en", 100), ("b", "de", 700)]
+    df = spark.createDataFrame(rows, "source string, lang string, tokens long").withColumn("topic", F.lit(mixing.OTHER))
+    cells = mixing.rake(df, Workspace(spark, "t"), {"source": 0.6, "lang": 0.5, "topic": 1.0}).toPandas().set_index(["source", "lang"])
+    assert (cells["weight"] <= cells["most"]).all() and (cells["weight"] >= cells["most"]).any()
+    for d in ("source", "lang"):
+        by = cells.groupby(d).agg(weight=("weight", "sum"), to=(f"to_{d}", "first"), most=("most", "sum"))
+        gap = (by["weight"] - np.minimum(by["to"], by["most"])).abs().max()
+        assert gap <= cells["miss"].max() + 1e-12
+    assert abs(cells["weight"].sum() - 1) < 0.05
+
+
+def test_mixing_finds_topics(spark):
+    """Words that come often in few documents part the corpus; words that a whole language has don't."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(400):
+        w = corpus.prose(rng, "de" if i % 4 == 0 else "en", 4).split()
+        theme = {0: "football", 1: "parliament"}.get(i % 10)
+        w += [theme] * 4 + ["goverment"] * 2 if theme else []
+        w += ["immer"] * 3 if i % 4 == 0 else []
+        rows.append((i, " ".join(w), "de" if i % 4 == 0 else "en"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s"))
+    of = mixing.anchors(df)
+    assert {"footb", "parli"} <= set(of) and "immer" not in of
+    got = {r["doc_id"]: r["topic"] for r in mixing.features(df, of).collect()}
+    assert all(got[i] == "footb" for i in range(0, 400, 10)) and all(got[i] == "parli" for i in range(1, 400, 10))
+    null = spark.createDataFrame([(None, f"text number {i}") for i in range(200)], "doc_id long, text string")
+    u = [r[0] for r in null.select(mixing.uniform(F.col("doc_id"), F.col("text"))).collect()]
+    assert len(set(u)) == 200 and 0.4 < np.mean(u) < 0.6
 
 
 def test_mixing_words(spark):
@@ -528,6 +744,26 @@ def test_quality_counts(spark, docs):
             assert abs(r["ratio"] - len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False).compress(raw)) / len(raw)) < 1e-12
 
 
+def test_quality_verdict_against_brute_force(docs):
+    press = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+    limits = {256: (0.35, 1.20), 1_024: (0.30, 0.95), 4_096: (0.25, 0.85), 16_384: (0.20, 0.80), 1 << 62: (0.15, 0.80)}
+    kept = 0
+    for r in quality.quality_rules(docs).collect():
+        t = TEXT[r["doc_id"]] or ""
+        raw, (n, _, _, _, repeat) = t.encode(), brute_counts(t)
+        want = not (n < 50 or 100 * repeat > 50 * n)
+        if want:
+            low, high = next(v for k, v in limits.items() if len(raw) <= k)
+            want = low <= len(press.compress(raw)) / len(raw) <= high
+        if want and len(raw) >= 4_096:
+            starts = sorted({*range(0, len(raw) - 4_095, 4_096), len(raw) - 4_096})
+            out = sum(not 0.20 <= len(press.compress(raw[a : a + 4_096])) / 4_096 <= 0.85 for a in starts)
+            want = out <= 0.34 * len(starts)
+        assert r["kept"] == want, r
+        kept += want
+    assert 20 < kept < len(ROWS) - 5
+
+
 def test_quality_verdicts(spark):
     rng = random.Random(8)
     noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/éüñ ") for _ in range(20_000))
@@ -584,12 +820,135 @@ def test_rebalancing_moves_little(spark):
     assert all(grown.shard_of[s] == 8 for s in moved) and len(moved) < 70 and grown.version == first.version + 2
 
 
+def test_sharding_spreads_repeated_rows(spark):
+    """Rows without anything that tells them apart, a hot key, lie in all shards, and the law holds."""
+    placed, _ = sharding.shard_documents(spark.createDataFrame([(None, "the same")] * 800 + [(7, "one")] * 40 + [(8, "alone")], "doc_id long, text string"))
+    got = placed.collect()
+    total, held = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        total[r["shard"]] += r["size"]
+        held[r["shard"]].append(r["slot"])
+    assert len(got) == 841 and set(held) == set(range(8)) and all(sorted(v) == list(range(len(v))) for v in held.values())
+    assert max(total.values()) - min(total.values()) <= 9
+
+
+def test_sharding_stores_its_map(spark, tmp_path):
+    """The next run starts from the stored version, moves little, and grows by an edit of the map."""
+    rng = random.Random(10)
+    df = spark.createDataFrame([(i, "x" * rng.randint(0, 400)) for i in range(3000)], "doc_id long, text string")
+    store = str(tmp_path / "store")
+    assert sharding.SlotMap.load(spark, store) is None
+    one, first = sharding.shard_documents(df, store=store)
+    assert sharding.SlotMap.load(spark, store) == first
+    two, second = sharding.shard_documents(df, store=store)
+    assert second.version == first.version + 1 and second.shard_of == first.shard_of
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    edited = second.moved(5, (second.shard_of[5] + 1) % 8).save(spark, store)
+    assert sharding.SlotMap.load(spark, store) == edited and sharding.SlotMap.load(spark, store, first.version) == first
+    edited.grown().save(spark, store)
+    three, third = sharding.shard_documents(df, store=store)
+    before, after = ({r["doc_id"]: r["shard"] for r in x.collect()} for x in (two, three))
+    moved = [i for i in before if before[i] != after[i]]
+    assert third.n_shards == 9 and 0 < len(moved) < 700 and len({r["shard"] for r in three.collect()}) == 9
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        first.save(spark, store)
+
+
 def test_sharding_odd(odd, empty):
     placed, _ = sharding.shard_documents(odd)
     assert placed.count() == 5
     assert sharding.shard_documents(empty)[0].count() == 0
 
 
+# ---- registered queries -------------------------------------------------------------------------------------------
+
+CONTRACT = {
+    "op1_langid": "doc_id:bigint held_out:boolean lang_pred:string score:double",
+    "op3_toxicity": "doc_id:bigint held_out:boolean score:double predicted:int",
+    "op4_jaccard_join": "doc_id:bigint n_shingles:bigint component_id:bigint",
+    "op5_pii": "doc_id:bigint n_email:bigint n_ip:bigint n_card:bigint n_phone:bigint base_sha256:string spans:string",
+    "op7_warc": "page_id:bigint payload_bytes:bigint payload_digest:string record_type:string refers_to:bigint",
+    "op9_quality_rules": "doc_id:bigint n_words:bigint word_chars:bigint n_symbols:bigint n_dup_lines:bigint n_repeat_words:bigint base_failed:boolean kept:boolean",
+    "op10_sharding": "doc_id:bigint size:bigint text_crc32:bigint law:string shard:int slot:bigint grown_shard:int",
+}
+
+
+@pytest.fixture(scope="module")
+def tables(spark, docs, labels, tmp_path_factory):
+    at = tmp_path_factory.mktemp("tables")
+    docs.write.parquet(str(at / "documents.parquet"))
+    labels.write.parquet(str(at / "labels.parquet"))
+    rng = random.Random(4)
+    spark.createDataFrame([(k, corpus.prose(rng, "en", 3)) for k in range(5)] + [(9, ROWS[3][1])], "item_id long, text string").write.parquet(str(at / "benchmark.parquet"))
+    pages = [(k, f"http://h{k % 3}/{k}", None if k == 4 else f"<p>{k % 7}</p>") for k in range(30)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(at / "pages.parquet"))
+    return str(at)
+
+
+@pytest.fixture(scope="module")
+def results(spark, tables):
+    """Each registered query over the small tables, once."""
+    return {name: (df.columns, dict(df.dtypes), df.collect()) for name, query in queries.queries().items() for df in [query(spark, tables)]}
+
+
+def test_queries_keep_their_contracts(results):
+    for name, columns in CONTRACT.items():
+        kinds, rows = results[name][1], results[name][2]
+        assert {c: kinds[c] for c in (x.split(":")[0] for x in columns.split())} == dict(x.split(":") for x in columns.split()), name
+        if name != "op7_warc":
+            assert sorted(r["doc_id"] for r in rows) == [r[0] for r in ROWS], name
+
+
+def test_queries_hold_rows_out(results):
+    for name, parts, part in (("op1_langid", 4, 2), ("op3_toxicity", 3, 1)):
+        rows = results[name][2]
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % parts == part) and 0 <= r["score"] <= 1 for r in rows)
+    assert all(r["predicted"] == int(r["score"] >= 0.7) for r in results["op3_toxicity"][2])
+    lang = {r[0]: r[2] for r in ROWS}
+    held = [r for r in results["op1_langid"][2] if r["held_out"] and len(TEXT[r["doc_id"]] or "") > 100 and lang[r["doc_id"]]]
+    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) >= 0.95
+
+
+def test_queries_give_the_rows_of_brute_force(results):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in results["op4_jaccard_join"][2]}
+    assert got == brute_classes([(r[0], r[1]) for r in ROWS], 3, 90, 100)
+    assert {r["doc_id"] for r in results["op2_substring_dedup"][2]} == {i for i, _ in brute_removed([(r[0], r[1]) for r in ROWS])}
+    assert all(r["base_sha256"] == reference_pii.sha(reference_pii.base_spans(TEXT[r["doc_id"]])) for r in results["op5_pii"][2])
+    assert {(r["doc_id"], r["item_id"]) for r in results["op6_decontaminate"][2]} >= {(3, 9)}
+    for r in results["op9_quality_rules"][2]:
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_counts(TEXT[r["doc_id"]])
+
+
+def test_sharding_query_against_brute_force(results):
+    """Sizes, CRCs and the law; positions by slot, id, CRC and size, from 0 in each shard."""
+    rows = results["op10_sharding"][2]
+    total, by = collections.Counter(), collections.defaultdict(list)
+    for r in rows:
+        raw = (TEXT[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+        total[r["shard"]] += r["size"]
+        by[r["shard"]].append(r)
+    for held in by.values():
+        order = sorted(held, key=lambda r: (r["virtual_slot"], r["doc_id"], r["text_crc32"], r["size"]))
+        assert [r["slot"] for r in order] == list(range(len(held)))
+    # a row larger than a shard's share can't be halved: without the largest ones, no move of one row would narrow the gap
+    low = min(total.values())
+    high = max(total, key=total.get)
+    assert set(by) == set(range(8)) and all(r["size"] >= total[high] - low for r in by[high] if sum(x["virtual_slot"] == r["virtual_slot"] for x in rows) == 1)
+
+
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_queries_match_their_sql(results, tables, name):
+    c = duckdb.connect()
+    for table in ("documents", "pages"):
+        c.sql(f"create view {table} as select * from '{tables}/{table}.parquet/*.parquet'")
+    r = c.sql(queries.oracle_sql()[name])
+    columns, _, rows = results[name]
+    assert sorted(r.columns) == sorted(columns)
+    want = [tuple(row[r.columns.index(x)] for x in columns) for row in r.fetchall()]
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want))
+
+
 # ---- pipeline ---------------------------------------------------------------------------------------------------
 
 
