@@ -245,7 +245,7 @@ def _met(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     ours = ws.save(_keyed(items, "item_id").mapInArrow(_seeds(None, 0, True), "i long, k long, h long"), "items")
     bits = min(max(ours.count().bit_length() + 4, 16), 28)
     byte = F.shiftrightunsigned("h", 64 - bits + 3).cast("int").alias("byte")
-    bit = F.shiftleft(F.lit(1), F.shiftrightunsigned("h", 64 - bits).bitwiseAND(F.lit(7)).cast("int"))
+    bit = F.expr(f"shiftleft(1, cast(shiftrightunsigned(h, {64 - bits}) & 7 AS int))")
     filled = ours.select(byte, bit.alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).toPandas()
     seen = np.zeros(1 << (bits - 3), np.uint8)
     seen[filled["byte"].to_numpy()] = filled["bits"].to_numpy().astype(np.uint8)
@@ -274,6 +274,7 @@ def _chars(items: DataFrame) -> int:
 def _blocks(spark: SparkSession, items: DataFrame, chars: int):
     """Broadcast indexes, one for each block of items; a block's size is bounded by BLOCK_CHARS, on average."""
     n = -(-max(chars, 1) // BLOCK_CHARS)
+    items = items.select("item_id", "text")
     for k in range(n):
         block = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
         index = Index.of(sorted((r[0], r[1]) for r in block.collect()))

@@ -81,7 +81,7 @@ def _valid(kind: str, value: Column) -> Column:
     if kind == "secret":
         # letters and digits mixed throughout, as keys are: words, paths and numbers aren't
         digits = F.length(_digits(value))
-        return (F.length(value) <= MOST_SECRET) & (digits * 10 >= F.length(value)) & (digits < F.length(value)) & ~value.rlike("[A-Za-z]{13}|/.*/.*/")
+        return (F.length(value) <= MOST_SECRET) & (digits * 16 >= F.length(value)) & (digits < F.length(value)) & ~value.rlike("[A-Za-z]{20}|/.*/.*/")
     if kind == "ssn":
         return ~value.rlike("^(?:000|666|9..)|-00-|-0000$")
     return F.lit(True)

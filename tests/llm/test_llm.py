@@ -552,7 +552,7 @@ def test_decontamination_of_items_with_few_or_no_words(spark):
 
 def test_decontamination_takes_a_seed_of_many_items_in_portions():
     h = text.WordHasher()
-    shared = "a phrase of ten words which each of the items has"
+    shared = "a phrase that each of the items has"
     index = decontaminate.Index.of([(k, f"{shared} item{k} b{k} c{k} d{k} e{k}") for k in range(60)])
     doc = h.of(f"{shared} other {shared} item7 b7 c7 d7 e7".encode().split())
     want = index.overlaps(doc)
