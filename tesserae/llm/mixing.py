@@ -34,13 +34,11 @@ TOPICS, RARE, COMMON = 12, 200, 4
 #: Words of so many letters or more have a stem, which is so many letters long.
 STEM = 5
 OTHER = "(other)"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def stems(text: Column) -> Column:
-    """The first STEM letters of each word that has as many; A-Z in lower case."""
-    lower = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    return F.regexp_extract_all(lower, F.lit(rf"(\p{{L}}{{{STEM}}})\p{{L}}*"), F.lit(1))
+    """The first STEM letters of each word that has as many, in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(\p{{L}}{{{STEM}}})\p{{L}}*"), F.lit(1))
 
 
 def anchors(docs: DataFrame) -> list[str]:
@@ -64,13 +62,20 @@ def anchors(docs: DataFrame) -> list[str]:
     return [r["stem"] for r in fit.orderBy(F.desc(burst), "stem").limit(TOPICS).collect()]
 
 
-def topic(text: Column, of: list[str]) -> Column:
+def held(text: Column, of: list[str]) -> Column:
+    """The anchors that the words of a text start with, each as often as it comes: its stems that are anchors."""
+    if not of:
+        return F.array().cast("array<string>")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<!\p{{L}})(?:{'|'.join(of)})"), F.lit(0))
+
+
+def topic(held_: Column, of: list[str]) -> Column:
     """The anchor that a text holds most, the first in order where equal; OTHER without any."""
     if not of:
         return F.lit(OTHER)
-    held = F.filter(stems(text), lambda s: s.isin(of))
-    most = F.array_max(F.transform(F.array(*map(F.lit, range(len(of)))), lambda k: F.struct(F.size(F.filter(held, lambda s: s == F.get(F.array(*map(F.lit, of)), k))).alias("n"), (-k).alias("k"))))
-    return F.when(F.size(held) == 0, OTHER).otherwise(F.get(F.array(*map(F.lit, of)), -most["k"]))
+    every = F.array(*map(F.lit, of))
+    counts = F.transform(every, lambda a, k: F.struct(F.size(F.filter(held_, lambda s: s == a)).alias("n"), (-k).alias("k")))
+    return F.when(F.size(held_) == 0, OTHER).otherwise(F.get(every, -F.array_max(counts)["k"]))
 
 
 def n_tokens(text: Column) -> Column:
@@ -81,14 +86,16 @@ def n_tokens(text: Column) -> Column:
 
 def features(docs: DataFrame, of: list[str]) -> DataFrame:
     """doc_id, the three dimensions (null as NONE), tokens and the sampling number of every row; further columns aren't read."""
-    return docs.select(
+    # a projection of its own, so that the pattern runs once over a text
+    rows = docs.select(
         "doc_id",
         F.coalesce("source", F.lit(NONE)).alias("source"),
         F.coalesce("lang", F.lit(NONE)).alias("lang"),
-        topic(F.col("text"), of).alias("topic"),
+        held(F.col("text"), of).alias("held"),
         n_tokens(F.col("text")).alias("tokens"),
         uniform(F.col("doc_id"), F.col("text")).alias("u"),
     )
+    return rows.select("doc_id", "source", "lang", topic(F.col("held"), of).alias("topic"), "tokens", "u")
 
 
 def rake(rows: DataFrame, ws: Workspace, powers: dict[str, float] | None = None, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
@@ -184,8 +191,8 @@ def sample(docs: DataFrame, powers: dict[str, float] | None = None, budget: floa
     mark = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in docs.columns), default=0))
     cells = cells.select(*(F.col(d).alias(f"{mark}{d}") for d in DIMS), _shares(cells, budget).alias(f"{mark}share"))
     # cells may number too many to broadcast; a skewed join can split a hot cell
-    own = {"source": F.coalesce("source", F.lit(NONE)), "lang": F.coalesce("lang", F.lit(NONE)), "topic": topic(F.col("text"), of)}
-    keyed = docs.select("*", *(c.alias(f"{mark}{d}") for d, c in own.items()))
+    own = {"source": F.coalesce("source", F.lit(NONE)), "lang": F.coalesce("lang", F.lit(NONE)), "topic": topic(F.col(f"{mark}held"), of)}
+    keyed = docs.select("*", held(F.col("text"), of).alias(f"{mark}held")).select(*docs.columns, *(c.alias(f"{mark}{d}") for d, c in own.items()))
     small = cells.count() <= MOST_CELLS
     kept = keyed.join(F.broadcast(cells) if small else cells, [f"{mark}{d}" for d in DIMS])
     return kept.where((n_tokens(F.col("text")) > 0) & (uniform(F.col("doc_id"), F.col("text")) < F.col(f"{mark}share"))).select(*docs.columns)

@@ -117,7 +117,7 @@ WITH texts AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, coalesce(source, '{mixing.NONE}') AS source, coalesce(lang, '{mixing.NONE}') AS lang, text,
          trim(coalesce(text, ''), {spaces}) AS bare
   FROM documents),
-stems AS MATERIALIZED (SELECT r, lang, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{stem}', 1)) AS stem FROM texts WHERE text IS NOT NULL),
+stems AS MATERIALIZED (SELECT r, lang, unnest(regexp_extract_all(lower(text), '{stem}', 1)) AS stem FROM texts WHERE text IS NOT NULL),
 size AS (SELECT count(text)::DOUBLE AS n FROM texts),
 langs AS (SELECT lang, count(text) AS n FROM texts GROUP BY lang),
 counts AS (SELECT stem, sum(cf) AS cf, sum(df) AS df, max(df * {mixing.COMMON} - n) AS over
