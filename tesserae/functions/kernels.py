@@ -280,6 +280,11 @@ def coupling(rgb: np.ndarray, depth: np.ndarray) -> list[float]:
     return [r, float(strong.var()) if strong.size > 10 else 0.0]
 
 
+def legacy_warm_cool(rgb: np.ndarray) -> float:
+    """The older warm/cool column: the mean of red less blue."""
+    return float((rgb[..., 0] - rgb[..., 2]).mean())
+
+
 def legacy_vector(rgb: np.ndarray) -> list[float]:
     """The older 11 features: lightness (4), contrast, shadow, highlight and hard-edge shares, colour (3)."""
     x = lightness(rgb)

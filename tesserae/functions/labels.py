@@ -66,3 +66,13 @@ def quality_masks(blurry: Column | None = None) -> dict[str, Column]:
 def has_label(labels: Column, label: str, strict: bool = True) -> Column:
     """Whether a joined label string has a label; not strict: as a substring."""
     return F.array_contains(F.split(labels, ";"), label) if strict else F.contains(labels, F.lit(label))
+
+
+def depth_consistency(edge_depth_variance: Column, confidence: Column, least_variance: float = 0.01, least_confidence: float = 0.5) -> Column:
+    """What a shadow is: ``fake_shadow`` where the depth is uncertain, ``cast_shadow`` where it is even, else ``form_shadow``."""
+    return F.when(confidence < least_confidence, "fake_shadow").when(edge_depth_variance < least_variance, "cast_shadow").otherwise("form_shadow")
+
+
+def blur_level(laplacian_variance: Column, threshold: float = 60.0) -> Column:
+    """``review_blurry`` below the threshold, else ``ok``; a mark for review only."""
+    return F.when(laplacian_variance < threshold, "review_blurry").otherwise("ok")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import hamming
 from tesserae.operators.graph import components, cut
+from tesserae.operators.overlay import merge_fields
 
 # The largest distance that counts as a hit, by hash, and the hits a pair needs.
 THRESHOLDS = {"phash": 6, "dhash": 8, "whash": 8, "colorhash": 4}
@@ -109,3 +110,14 @@ def stats(exact: DataFrame, perceptual: DataFrame, files: DataFrame) -> DataFram
         F.count("*").alias("total_duplicate_images"),
     )
     return found.withColumn("total_images_checked", F.lit(files.count()).cast("long"))
+
+
+def reviews(log: DataFrame) -> DataFrame:
+    """group_id, action and note that a log of partial updates (group_id, action, note, seq) leaves: the last value of each that is not null."""
+    return merge_fields(log, "group_id", ["action", "note"])
+
+
+def with_reviews(groups: DataFrame, reviews_: DataFrame, group_type: str | None = None) -> DataFrame:
+    """Groups (of one type) with the action and note of their review, null without one."""
+    chosen = groups if group_type is None else groups.where(F.col("group_type") == group_type)
+    return chosen.join(reviews_, "group_id", "left").select(*groups.columns, "action", "note")

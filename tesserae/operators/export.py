@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import basename, extension, rename, sanitize_filename, stem
@@ -45,3 +47,22 @@ def select(rows: DataFrame, kind: str, clusters: list[int] | None = None, review
     if kind == "by_review" and reviews is not None:
         return reviewed(rows, reviews, flag)
     return rows
+
+
+def normal_path(path: Column) -> Column:
+    """A path with ``/`` separators, without ``.`` and with ``..`` resolved; one that climbs above its start keeps ``..`` in front."""
+    parts = F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda p: (p != "") & (p != "."))
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(done) > 0) & (F.element_at(done, F.greatest(F.size(done), F.lit(1))) != "..")
+        return F.when(F.size(done) == 0, F.array(part)).when(up, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, part))
+
+    return F.concat(F.when(F.startswith(path, F.lit("/")), "/").otherwise(""), F.array_join(F.aggregate(parts, none, step), "/"))
+
+
+def contained(path: Column, roots: list[str]) -> Column:
+    """Whether a path lies inside one of the roots once ``..`` is resolved; false for null."""
+    normal = normal_path(path)
+    inside = [F.startswith(normal, F.concat(normal_path(F.lit(r)), F.lit("/"))) for r in roots]
+    return F.coalesce(reduce(lambda a, b: a | b, inside, F.lit(False)), F.lit(False))

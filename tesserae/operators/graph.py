@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage: a reliable checkpoint where the session has a folder for it, else a local read-through cache."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+    """``df`` without its lineage: a reliable checkpoint in the session's folder.
+
+    Only a local session without such a folder caches instead; on a cluster
+    that would lose rows with an executor, so this raises.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir():
+        return df.checkpoint()
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return df.cache()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -24,18 +24,28 @@ def histogram(values: Column, low: float, high: float, bins: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(at, lambda x: x == b)) / n)
 
 
-def residuals(df: DataFrame, hist: str, bins: int) -> DataFrame:
-    """``df`` with {hist}_z (residual by the bin's population deviation) and {hist}_outlier (its length).
+def all_residuals(df: DataFrame, hists: dict[str, int]) -> DataFrame:
+    """``df`` with {hist}_z (residual by the bin's population deviation) and {hist}_outlier (its length) of each histogram.
 
-    The dataset's means and deviations are one aggregate row of 2 * bins
-    numbers; rows aren't shuffled.
+    The means and deviations of all bins are one aggregate row, so one pass
+    over the rows for all histograms together; rows aren't shuffled.
     """
-    stats = df.agg(*(f(F.get(hist, F.lit(b))).alias(f"{n}{b}") for b in range(bins) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
-    mean = F.array(*(F.lit(float(stats[f"m{b}"] or 0.0)) for b in range(bins)))
-    std = F.array(*(F.lit(float(stats[f"s{b}"] or 0.0)) for b in range(bins)))
-    z = F.transform(hist, lambda x, i: (x - F.get(mean, i)) / (F.get(std, i) + EPS))
-    out = df.withColumn(f"{hist}_z", z)
-    return out.withColumn(f"{hist}_outlier", F.sqrt(array_sum(F.transform(f"{hist}_z", lambda x: x * x))))
+    row = df.agg(*(f(F.get(h, F.lit(b))).alias(f"{n}_{h}_{b}") for h, bins in hists.items() for b in range(bins) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    zs = {}
+    for h, bins in hists.items():
+        mean, std = (F.array(*(F.lit(float(row[f"{n}_{h}_{b}"] or 0.0)) for b in range(bins))) for n in "ms")
+        zs[f"{h}_z"] = _z(h, mean, std)
+    out = df.withColumns(zs)
+    return out.withColumns({f"{h}_outlier": F.sqrt(array_sum(F.transform(f"{h}_z", lambda x: x * x))) for h in hists})
+
+
+def _z(hist: str, mean: Column, std: Column) -> Column:
+    return F.transform(hist, lambda x, i: (x - F.get(mean, i)) / (F.get(std, i) + EPS))
+
+
+def residuals(df: DataFrame, hist: str, bins: int) -> DataFrame:
+    """``all_residuals`` of one histogram."""
+    return all_residuals(df, {hist: bins})
 
 
 def summary(df: DataFrame, config: LabelConfig = LabelConfig(), digits: int = 4) -> DataFrame:
@@ -75,6 +85,4 @@ def summary(df: DataFrame, config: LabelConfig = LabelConfig(), digits: int = 4)
 
 def channel(df: DataFrame, config: LabelConfig = LabelConfig()) -> DataFrame:
     """Residuals of the three histogram columns, then the summary."""
-    for hist, bins in (("brightness_hist", BRIGHTNESS_BINS), ("saturation_hist", SATURATION_BINS), ("hue_hist", HUE_BINS)):
-        df = residuals(df, hist, bins)
-    return summary(df, config)
+    return summary(all_residuals(df, {"brightness_hist": BRIGHTNESS_BINS, "saturation_hist": SATURATION_BINS, "hue_hist": HUE_BINS}), config)

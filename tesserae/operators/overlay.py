@@ -52,12 +52,14 @@ def catalogue(analysis: DataFrame, names: DataFrame, summary: DataFrame, report:
 def apply_moves(rows: DataFrame, moves: DataFrame) -> DataFrame:
     """``rows`` (image_path, filename, cluster_id) with original_cluster_id and the moved cluster_id.
 
-    ``moves`` (alias, target): the path is looked up first, then the file
-    name, then the path's last part.
+    ``moves`` (alias, target and, for a log, seq): the path is looked up
+    first, then the file name, then the path's last part.  Of several moves
+    of one alias the last (by seq) counts; without seq that with the largest target.
     """
     out = rows.withColumn("original_cluster_id", cluster_id(F.col("cluster_id").cast("string")))
     keys = {"_m1": F.translate("image_path", "\\", "/"), "_m2": F.translate("filename", "\\", "/"), "_m3": basename(F.col("image_path"))}
-    once = moves.groupBy("alias").agg(F.max("target").alias("target"))
+    last = F.max_by("target", F.struct("seq", "target")) if "seq" in moves.columns else F.max("target")
+    once = moves.groupBy("alias").agg(last.alias("target"))
     for name, key in keys.items():
         side = once.select(F.col("alias").alias(f"{name}_k"), F.col("target").alias(name))
         out = out.join(side, key == F.col(f"{name}_k"), "left").drop(f"{name}_k")
@@ -65,12 +67,18 @@ def apply_moves(rows: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def with_names(moved: DataFrame, catalogue_: DataFrame) -> DataFrame:
-    """Cluster names of the effective and the original cluster."""
+    """Cluster names of the effective and the original cluster.
+
+    A row that was not moved falls back to the name it came with.
+    """
+    own = F.nullif(F.col("_own"), F.lit("")) if "cluster_name" in moved.columns else F.lit(None).cast("string")
+    moved = moved.withColumnRenamed("cluster_name", "_own")
     default = lambda c: F.when(F.col(c) == -1, "noise").otherwise(F.concat(F.lit("Cluster "), F.col(c)))
     for key, name in (("cluster_id", "cluster_name"), ("original_cluster_id", "original_cluster_name")):
         side = catalogue_.select(F.col("cluster_id").alias(key), F.col("display_name").alias(f"_{name}"))
-        moved = moved.drop(name).join(side, key, "left").withColumn(name, F.coalesce(f"_{name}", default(key))).drop(f"_{name}")
-    return moved
+        fallback = F.when(F.col(key) == F.col("original_cluster_id"), own)
+        moved = moved.drop(name).join(side, key, "left").withColumn(name, F.coalesce(f"_{name}", fallback, default(key))).drop(f"_{name}")
+    return moved.drop("_own")
 
 
 def revert(moved: DataFrame) -> DataFrame:

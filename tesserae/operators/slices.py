@@ -79,10 +79,15 @@ def available(slice_: Slice, columns: list[str]) -> bool:
     return slice_.field in columns
 
 
-def page(channel: DataFrame, allowed: set[str], sort_by: str, descending: bool = True, label: str | None = None, strict: bool = True, limit: int = 100, offset: int = 0, most: int = 1000, key: str = "image_path") -> tuple[DataFrame, int]:
-    """A page of a channel and the number of rows before paging; a field outside ``allowed`` raises."""
+def page(channel: DataFrame, allowed: set[str], sort_by: str, descending: bool = True, label: str | None = None, strict: bool = True, limit: int = 100, offset: int = 0, most: int = 1000, key: str = "image_path", fallback: bool = False) -> tuple[DataFrame, int]:
+    """A page of a channel and the number of rows before paging.
+
+    A field outside ``allowed`` raises, or sorts by ``key`` alone where ``fallback`` asks for that.
+    """
     if sort_by not in allowed:
-        raise ValueError(f"cannot sort by {sort_by!r}")
+        if not fallback:
+            raise ValueError(f"cannot sort by {sort_by!r}")
+        sort_by, descending = key, False
     rows = channel if label is None else channel.where(labels.has_label(F.col("labels"), label, strict))
     return rows.orderBy(*order(sort_by, descending, key)).offset(offset).limit(min(limit, most)), rows.count()
 

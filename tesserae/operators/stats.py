@@ -33,6 +33,52 @@ def column_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return flat.select("feature", "mean", "std", "variance", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("q75"), (F.get("q", F.lit(1)) - F.get("q", F.lit(0))).alias("iqr"), "low", "high")
 
 
+def acceptance(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """field, count, min, p05, mean, median, p95, max and std (of a sample) of numeric columns; missing values don't count."""
+    row = df.agg(
+        *(
+            F.struct(
+                F.lit(n).alias("field"),
+                F.count(n).alias("count"),
+                F.min(n).cast("double").alias("min"),
+                F.percentile(n, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"),
+                F.avg(n).alias("mean"),
+                F.max(n).cast("double").alias("max"),
+                F.stddev_samp(n).alias("std"),
+            ).alias(n)
+            for n in fields
+        )
+    )
+    flat = row.select(F.explode(F.array(*fields)).alias("s")).select("s.*")
+    q = lambda k: F.get("q", F.lit(k))
+    return flat.select("field", "count", "min", q(0).alias("p05"), "mean", q(1).alias("median"), q(2).alias("p95"), "max", "std").where("count > 0")
+
+
+def checksums(df: DataFrame, group: str, key: Column) -> DataFrame:
+    """A checksum of the keys of each group that doesn't depend on their order: the sum of 48-bit hashes, and the count.
+
+    Sums combine before the shuffle, so a group of any size costs as much.
+    """
+    value = F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("decimal(20,0)")
+    return df.groupBy(group).agg(F.concat(F.sum(value).cast("decimal(38,0)").cast("string"), F.lit("-"), F.count("*").cast("string")).alias("checksum"))
+
+
+def split_matrix(df: DataFrame, groups: dict[str, dict], names: dict[str, Sequence[str]], keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The matrix that clusters and the one that only explains.
+
+    ``groups`` are settings (enabled, dims, cluster, weight) in column order,
+    ``names`` their columns.  Columns without spread are dropped, those
+    that cluster get their group's weight, the others stay as they are.
+    """
+    cut = {g: list(names[g])[: how.get("dims", len(names[g]))] for g, how in groups.items() if how.get("enabled", True)}
+    every = [n for ns in cut.values() for n in ns]
+    row = df.agg(*(F.stddev_pop(n).alias(n) for n in every)).first()
+    alive = {n for n in every if (row[n] or 0.0) > 1e-12}
+    cluster = [(F.col(n) * float(groups[g].get("weight", 1.0))).alias(n) for g, ns in cut.items() if groups[g].get("cluster", True) for n in ns if n in alive]
+    explain = [F.col(n) for g, ns in cut.items() if not groups[g].get("cluster", True) for n in ns if n in alive]
+    return df.select(*keys, *cluster), df.select(*keys, *explain)
+
+
 def diagnostics(df: DataFrame, names: Sequence[str], mi: DataFrame | None = None) -> DataFrame:
     """Column statistics with is_dead: an IQR strictly below the 10th percentile of all IQRs (five features or more).
 

@@ -114,10 +114,7 @@ def _channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = views.bank(spark, sf_dir)
-    for n, (_, _, _, bins) in views.BANK.items():
-        df = histogram.residuals(df, n, bins)
-    return df
+    return histogram.all_residuals(views.bank(spark, sf_dir), {n: bins for n, (_, _, _, bins) in views.BANK.items()})
 
 
 @_query(f"WITH {_summary_sql()} SELECT * FROM summary", *MEASURES)
@@ -187,9 +184,9 @@ def contrast_grid(spark, sf_dir):
     return calibrate.contrast_grid(_channel(spark, sf_dir))
 
 
-@_query(f"WITH {_summary_sql()} SELECT vec_id, labels, hue_warm_ratio FROM summary WHERE list_contains(string_split(labels, ';'), 'muted') ORDER BY round(hue_warm_ratio, 6) DESC, image_path LIMIT 20 OFFSET 5", "hue_warm_ratio")
+@_query(f"WITH {_summary_sql()} SELECT vec_id, labels, hue_warm_ratio FROM summary WHERE list_contains(string_split(labels, ';'), 'cool') ORDER BY round(hue_warm_ratio, 6) DESC, image_path LIMIT 20 OFFSET 5", "hue_warm_ratio")
 def label_filtered_page(spark, sf_dir):
-    rows, _ = slices.page(_channel(spark, sf_dir), {"hue_warm_ratio"}, "hue_warm_ratio", label="muted", limit=20, offset=5)
+    rows, _ = slices.page(_channel(spark, sf_dir), {"hue_warm_ratio"}, "hue_warm_ratio", label="cool", limit=20, offset=5)
     return rows.select("vec_id", "labels", "hue_warm_ratio")
 
 
@@ -758,10 +755,43 @@ def sanitized_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_name", scalars.sanitize_filename(F.concat("p_name", F.lit(" / "), "p_type")).alias("filename"))
 
 
-@_query("SELECT md5(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS checksum, source FROM documents GROUP BY source")
+@_query("SELECT source, sum(('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT)::DECIMAL(38, 0)::VARCHAR || '-' || count(*) AS checksum FROM documents GROUP BY source")
 def source_checksums(spark, sf_dir):
-    ids = F.sort_array(F.collect_list(F.col("doc_id").cast("string")))
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.md5(F.array_join(ids, "\n").cast("binary")).alias("checksum"))
+    return stats.checksums(table(spark, sf_dir, "documents"), "source", F.col("doc_id").cast("string"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 10 < 0.5 THEN 'fake_shadow' WHEN l_tax < 0.01 THEN 'cast_shadow' ELSE 'form_shadow' END AS label, CASE WHEN l_quantity * 4 < 60 THEN 'review_blurry' ELSE 'ok' END AS blur FROM lineitem")
+def shadow_and_blur_labels(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", labels.depth_consistency(F.col("l_tax"), F.col("l_discount") * 10).alias("label"), labels.blur_level(F.col("l_quantity") * 4).alias("blur"))
+
+
+@_query("""WITH g AS (SELECT o_orderkey AS id, o_custkey AS group_id, CASE WHEN o_custkey % 3 = 0 THEN 'exact' ELSE 'perceptual' END AS group_type FROM orders),
+log AS (SELECT l_suppkey AS group_id, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS action, CASE WHEN l_linenumber % 3 = 0 THEN 'note ' || l_linenumber END AS note, l_orderkey * 10 + l_linenumber AS seq FROM lineitem),
+r AS (SELECT group_id, arg_max(action, seq) FILTER (action IS NOT NULL) AS action, arg_max(note, seq) FILTER (note IS NOT NULL) AS note FROM log GROUP BY group_id)
+SELECT id, g.group_id, group_type, action, note FROM g LEFT JOIN r USING (group_id) WHERE group_type = 'exact'""")
+def duplicate_reviews(spark, sf_dir):
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    groups = orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("group_id"), F.when(F.col("o_custkey") % 3 == 0, "exact").otherwise("perceptual").alias("group_type"))
+    n = F.col("l_linenumber")
+    log = items.select(F.col("l_suppkey").alias("group_id"), F.when(n % 2 == 0, F.col("l_returnflag")).alias("action"), F.when(n % 3 == 0, F.concat(F.lit("note "), n)).alias("note"), (F.col("l_orderkey") * 10 + n).alias("seq"))
+    return dedup.with_reviews(groups, dedup.reviews(log), "exact")
+
+
+_ACCEPTED = ("p_retailprice", "p_size")
+
+
+@_query(" UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS count, min({c})::DOUBLE AS min, quantile_cont({c}, 0.05)::DOUBLE AS p05, avg({c}) AS mean, quantile_cont({c}, 0.5)::DOUBLE AS median, quantile_cont({c}, 0.95)::DOUBLE AS p95, max({c})::DOUBLE AS max, stddev_samp({c}) AS std FROM part" for c in _ACCEPTED), "min", "p05", "mean", "median", "p95", "max", "std")
+def acceptance_statistics(spark, sf_dir):
+    return stats.acceptance(table(spark, sf_dir, "part"), _ACCEPTED)
+
+
+@_query("SELECT doc_id, 'data/' || source || '/' || CASE WHEN doc_id % 5 = 0 THEN '../../etc/' WHEN doc_id % 5 = 1 THEN './x/../' WHEN doc_id % 5 = 2 THEN '../src1/' ELSE '' END || doc_id AS path, CASE doc_id % 5 WHEN 0 THEN false WHEN 2 THEN true ELSE source IN ('src0', 'src1') END AS inside FROM documents")
+def contained_paths(spark, sf_dir):
+    k = F.col("doc_id") % 5
+    middle = F.when(k == 0, "../../etc/").when(k == 1, "./x/../").when(k == 2, "../src1/").otherwise("")
+    path = F.concat(F.lit("data/"), "source", F.lit("/"), middle, F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), export.contained(path, ["data/src0", "data/src1/"]).alias("inside"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

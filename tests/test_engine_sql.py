@@ -9,6 +9,8 @@ import pytest
 from tesserae.plans import queries as engine
 
 SF = "/root/testdata/sf0.001"
+#: Queries without rows on the smallest tables; a query that gives none elsewhere shows nothing.
+MAY_BE_EMPTY: set[str] = set()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
@@ -24,6 +26,7 @@ def duck():
 def test_query(spark, duck, name):
     df = engine.queries()[name](spark, SF)
     rows = sorted(repr(tuple(r)) for r in df.collect())
+    assert rows or name in MAY_BE_EMPTY
     sql = engine.oracle_sql().get(name)
     if sql is None:
         assert rows

@@ -103,3 +103,9 @@ def test_coupling_and_legacy():
     assert len(kernels.legacy_vector(rgb)) == 11
     r, _ = kernels.coupling(rgb, kernels.luma(rgb))
     assert r > 0.99
+
+
+def test_legacy_warm_cool_is_red_less_blue():
+    rgb = np.zeros((4, 4, 3))
+    rgb[:2, :, 0], rgb[2:, :, 2] = 1.0, 0.5
+    assert kernels.legacy_warm_cool(rgb) == 0.25

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.pngs import write_png
 from tesserae.functions import labels, scalars
 from tesserae.functions.config import LabelConfig
-from tesserae.operators import calibrate, dedup, slices
+from tesserae.operators import calibrate, dedup, export, overlay, slices, stats
 from tesserae.sources import tables
 from tesserae.streaming import ingest
 
@@ -123,3 +123,39 @@ def test_ranks_without_one_task(spark):
     got = [(r["k"], r["rank"]) for r in slices.ranked(rows, "k").collect()]
     assert [n for _, n in sorted(got)] == list(range(1, 5001))
     assert slices.ranked(rows.where("false"), "k").count() == 0
+
+
+def test_cluster_and_explanatory_matrices(spark):
+    df = spark.createDataFrame([(10.0, 1.0, 5.0, 7.0), (10.0, 2.0, 6.0, 8.0), (10.0, 3.0, 7.0, 9.0)], "a double, b double, c double, d double")
+    groups = {"g": {"enabled": True, "dims": 2, "cluster": True, "weight": 2.0}, "e": {"enabled": True, "dims": 2, "cluster": False, "weight": 3.0}, "off": {"enabled": False}}
+    cluster, explain = stats.split_matrix(df, groups, {"g": ("a", "b"), "e": ("c", "d")})
+    assert cluster.columns == ["b"] and sorted(map(tuple, cluster.collect())) == [(2.0,), (4.0,), (6.0,)]
+    assert sorted(map(tuple, explain.collect())) == [(5.0, 7.0), (6.0, 8.0), (7.0, 9.0)]
+
+
+def test_paths_stay_inside_their_roots(spark):
+    paths = ["data/a.png", "data/x/../a.png", "data/../etc/a", "database/a", "../data/a", "/data/a", "data", None, "data\\x\\a", "./data//a", "data/../../data/a"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    inside = [r[0] for r in df.select(export.contained(F.col("p"), ["data"])).collect()]
+    assert inside == [True, True, False, False, False, False, False, False, True, True, False]
+    assert [r[0] for r in df.select(export.contained(F.col("p"), ["/data/"])).collect()].count(True) == 1
+
+
+def test_moves_of_a_log_and_names_of_rows(spark):
+    rows = spark.createDataFrame([("o/a.png", "a.png", 1, "own"), ("o/b.png", "b.png", 2, "own b"), ("o/c.png", "c.png", 3, "")], "image_path string, filename string, cluster_id int, cluster_name string")
+    moves = spark.createDataFrame([("a.png", 5, 1), ("a.png", 4, 2)], "alias string, target int, seq int")
+    names = spark.createDataFrame([(5, "five")], "cluster_id int, display_name string")
+    got = {r["filename"]: (r["cluster_id"], r["cluster_name"], r["original_cluster_name"]) for r in overlay.with_names(overlay.apply_moves(rows, moves), names).collect()}
+    assert got == {"a.png": (4, "Cluster 4", "own"), "b.png": (2, "own b", "own b"), "c.png": (3, "Cluster 3", "Cluster 3")}
+
+
+def test_a_page_falls_back_to_its_key(spark):
+    df = spark.createDataFrame([("b", 1.0), ("a", 2.0)], "image_path string, x double")
+    rows, total = slices.page(df, {"x"}, "nothing", fallback=True)
+    assert [r["image_path"] for r in rows.collect()] == ["a", "b"] and total == 2
+
+
+def test_few_hues_are_a_warning(spark):
+    rates = spark.createDataFrame([("warm", 0.9), ("cool", 0.5)], "label string, rate double")
+    assert {r["warning"] for r in calibrate.warnings(rates, 0.1).collect()} == {"too_loose", "few_hues"}
+    assert {r["warning"] for r in calibrate.warnings(rates, 0.3).collect()} == {"too_loose"}
