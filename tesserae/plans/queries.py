@@ -623,11 +623,12 @@ def resolved_ids(spark, sf_dir):
 
 # ---- lists of ids -----------------------------------------------------------------------------------------------
 
-_LISTS = "lists AS (SELECT l_linenumber AS list_id, l_orderkey AS image_id, min(l_partkey) AS rank FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2)"
+_LISTS = "lists AS (SELECT l_returnflag AS list_id, l_orderkey AS image_id, min(l_partkey) AS rank FROM lineitem GROUP BY 1, 2)"
 
 
 def _lists(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(F.col("l_linenumber").alias("list_id"), F.col("l_orderkey").alias("image_id"), F.col("l_partkey").alias("rank"))
+    """Three lists, one for each return flag."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("list_id"), F.col("l_orderkey").alias("image_id"), F.col("l_partkey").alias("rank"))
 
 
 @_query(f"WITH {_LISTS} SELECT image_id, avg(rank) AS order_value FROM lists GROUP BY image_id HAVING count(*) = 3", "order_value")
@@ -635,15 +636,15 @@ def slice_intersection(spark, sf_dir):
     return slices.intersect_all(_lists(spark, sf_dir), 3)
 
 
-@_query(f"WITH {_LISTS} SELECT image_id, min(rank) FILTER (list_id = 2)::DOUBLE AS order_value FROM lists GROUP BY image_id HAVING count(*) = 3", "order_value")
+@_query(f"WITH {_LISTS} SELECT image_id, min(rank) FILTER (list_id = 'N')::DOUBLE AS order_value FROM lists GROUP BY image_id HAVING count(*) = 3", "order_value")
 def slice_intersection_primary(spark, sf_dir):
-    return slices.intersect_all(_lists(spark, sf_dir), 3, "primary", 2).withColumn("order_value", F.col("order_value").cast("double"))
+    return slices.intersect_all(_lists(spark, sf_dir), 3, "primary", "N").withColumn("order_value", F.col("order_value").cast("double"))
 
 
-@_query(f"WITH {_LISTS} SELECT image_id, rank FROM lists a WHERE list_id = 1 AND EXISTS (SELECT 1 FROM lists b WHERE b.list_id = 2 AND b.image_id = a.image_id) AND EXISTS (SELECT 1 FROM lists b WHERE b.list_id = 3 AND b.image_id = a.image_id) ORDER BY rank, image_id LIMIT 50")
+@_query(f"WITH {_LISTS} SELECT image_id, rank FROM lists a WHERE list_id = 'A' AND EXISTS (SELECT 1 FROM lists b WHERE b.list_id = 'N' AND b.image_id = a.image_id) AND EXISTS (SELECT 1 FROM lists b WHERE b.list_id = 'R' AND b.image_id = a.image_id) ORDER BY rank, image_id LIMIT 50")
 def slice_combination(spark, sf_dir):
-    one = lambda k: _lists(spark, sf_dir).where(f"list_id = {k}").groupBy("image_id").agg(F.min("rank").alias("rank"))
-    return slices.combine(one(1), [one(2), one(3)], 50)
+    one = lambda k: _lists(spark, sf_dir).where(F.col("list_id") == k).groupBy("image_id").agg(F.min("rank").alias("rank"))
+    return slices.combine(one("A"), [one("N"), one("R")], 50)
 
 
 @_query("WITH a AS (SELECT DISTINCT o_custkey AS image_id FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS image_id FROM orders WHERE o_orderstatus = 'O') (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)")

@@ -45,8 +45,9 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_path and three ratios for two parts in three."""
-    return table(spark, sf_dir, "part").where("p_partkey % 3 != 0").select(F.concat(F.lit("part/"), F.col("p_partkey")).alias("image_path"), (F.col("p_size") / 50).alias("brightness_bright_ratio"), (1 - F.col("p_size") / 50).alias("brightness_dark_ratio"), (F.col("p_size") % 10 / 10).alias("saturation_low_ratio"))
+    """image_path and three ratios of each part; small and large parts lack one of them."""
+    bright = F.when(F.col("p_size") <= 40, F.col("p_size") / 50)
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("part/"), F.col("p_partkey")).alias("image_path"), bright.alias("brightness_bright_ratio"), (1 - F.col("p_size") / 50).alias("brightness_dark_ratio"), F.when(F.col("p_size") > 10, F.col("p_size") % 10 / 10).alias("saturation_low_ratio"))
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,7 @@ BANK_SQL = (
 QUALITY_SQL = """SELECT 'part/' || l_partkey AS image_path, p / 50.031739::DOUBLE AS blur_laplacian_var, ln(1 + p / 500) AS sharpness_score,
 d * 2.917331::DOUBLE AS edge_density, t * 1.031739::DOUBLE AS local_contrast_p95, q AS peak
 FROM (SELECT l_partkey, avg(l_extendedprice) AS p, avg(l_discount) AS d, avg(l_tax) AS t, max(l_quantity) AS q FROM lineitem GROUP BY l_partkey)"""
-PART_HISTOGRAM_SQL = "SELECT 'part/' || p_partkey AS image_path, p_size / 50.0::DOUBLE AS brightness_bright_ratio, 1 - p_size / 50.0::DOUBLE AS brightness_dark_ratio, (p_size % 10) / 10.0::DOUBLE AS saturation_low_ratio FROM part WHERE p_partkey % 3 <> 0"
+PART_HISTOGRAM_SQL = "SELECT 'part/' || p_partkey AS image_path, CASE WHEN p_size <= 40 THEN p_size / 50.0::DOUBLE END AS brightness_bright_ratio, 1 - p_size / 50.0::DOUBLE AS brightness_dark_ratio, CASE WHEN p_size > 10 THEN (p_size % 10) / 10.0::DOUBLE END AS saturation_low_ratio FROM part"
 METADATA_SQL = """SELECT 'part/' || p_partkey AS image_path, w::INTEGER AS width, h::INTEGER AS height, round(w * h / 1e6::DOUBLE, 4) AS megapixels,
 round(least(w, h) / greatest(w, h)::DOUBLE, 4) AS aspect_ratio, CASE WHEN w > h THEN 'landscape' WHEN w < h THEN 'portrait' ELSE 'square' END AS orientation,
 round(p_retailprice / 2500, 4) AS overexposed_ratio, round(p_partkey % 97 / 100.0::DOUBLE, 4) AS underexposed_ratio, round(p_partkey % 13 / 20.0::DOUBLE, 4) AS transparent_ratio

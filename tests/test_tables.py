@@ -159,3 +159,15 @@ def test_few_hues_are_a_warning(spark):
     rates = spark.createDataFrame([("warm", 0.9), ("cool", 0.5)], "label string, rate double")
     assert {r["warning"] for r in calibrate.warnings(rates, 0.1).collect()} == {"too_loose", "few_hues"}
     assert {r["warning"] for r in calibrate.warnings(rates, 0.3).collect()} == {"too_loose"}
+
+
+def test_quality_scores_without_a_histogram_row_or_value(spark):
+    from tesserae.operators import quality
+
+    q = spark.createDataFrame([("a", 0.1, 0.02), ("b", 0.1, 0.02), ("c", 0.1, 0.02)], "image_path string, edge_density double, local_contrast_p95 double")
+    h = spark.createDataFrame([("a", 1.0, 0.0, 1.0), ("b", None, 0.3, 0.5)], "image_path string, brightness_bright_ratio double, brightness_dark_ratio double, saturation_low_ratio double")
+    rows = {r["image_path"]: r for r in quality.scores(q, h).collect()}
+    assert [rows[k]["_hist_found"] for k in "abc"] == [True, True, False]
+    # a missing row and a missing value take the same default
+    assert rows["b"]["lineart_score_v2"] == rows["c"]["lineart_score_v2"] == 0.415
+    assert rows["a"]["lineart_score_v2"] == 0.785
