@@ -75,7 +75,8 @@ def topic(held_: Column, of: list[str]) -> Column:
         return F.lit(OTHER)
     every = F.array(*map(F.lit, of))
     counts = F.transform(every, lambda a, k: F.struct(F.size(F.filter(held_, lambda s: s == a)).alias("n"), (-k).alias("k")))
-    return F.when(F.size(held_) == 0, OTHER).otherwise(F.get(every, -F.array_max(counts)["k"]))
+    # never null: else a join on topics would first filter rows by a copy of this expression, patterns included
+    return F.when(F.size(held_) == 0, OTHER).otherwise(F.coalesce(F.get(every, -F.array_max(counts)["k"]), F.lit(OTHER)))
 
 
 def n_tokens(text: Column) -> Column:
