@@ -15,7 +15,8 @@ from tesserae.operators.overlay import merge_fields
 # The largest distance that counts as a hit, by hash, and the hits a pair needs.
 THRESHOLDS = {"phash": 6, "dhash": 8, "whash": 8, "colorhash": 4}
 MIN_HITS = 2
-BITS = 60
+# How many bits the kernels' hashes have.
+WIDTHS = {"phash": 64, "dhash": 64, "whash": 64, "colorhash": 42}
 
 
 def exact_groups(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -32,23 +33,58 @@ def exact_groups(files: DataFrame, path: str = "path", content: str = "content")
     return hashed.join(groups, key).drop("_x")
 
 
-def bands(value: Column, n: int, bits: int = BITS) -> Column:
-    """The value's bits in ``n`` disjoint parts: two values that differ in fewer than ``n`` bits share one."""
+def _parts(value: Column, n: int, bits: int) -> list[tuple[Column, int]]:
+    """The value's lowest ``bits`` bits in ``n`` disjoint parts, with the width of each."""
     edges = [k * bits // n for k in range(n + 1)]
-    return F.array(*(F.shiftrightunsigned(value, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)))
+    return [(F.shiftrightunsigned(value, a).bitwiseAND(F.lit((1 << (b - a)) - 1)), b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def bands(value: Column, n: int, bits: int) -> Column:
+    """The value's bits in ``n`` disjoint parts: two values that differ in fewer than ``n`` bits share one."""
+    return F.array(*(v for v, _ in _parts(value, n, bits)))
 
 
 @dataclass(frozen=True)
 class PairRule:
-    """Which hashes count, up to what distance, and how many of them a pair needs."""
+    """Which hashes count, up to what distance, and how many of them a pair needs.
+
+    ``bits`` is the width of every hash; without it, the kernels' own widths hold (64 for an unknown hash).
+    """
 
     thresholds: tuple[tuple[str, int], ...] = tuple(THRESHOLDS.items())
     min_hits: int = MIN_HITS
+    bits: int | None = None
 
-    def seeds(self) -> list[tuple[str, int]]:
-        """Hashes of which at least one must hit: all but the loosest ``min_hits - 1``."""
+    def width(self, name: str) -> int:
+        return self.bits or WIDTHS.get(name, 64)
+
+    def ways(self) -> list[tuple[tuple[str, int], ...]]:
+        """Hashes, or pairs of hashes, of which every pair with enough hits hits one as a whole.
+
+        All but the loosest ``min_hits`` stand alone; a pair that hits none of
+        those hits all of the rest, so two of the rest are taken together.
+        """
         tight = sorted(self.thresholds, key=lambda x: x[1])
-        return tight[: len(tight) - self.min_hits + 1]
+        alone = len(tight) - self.min_hits
+        return [(x,) for x in tight[:alone]] + [tuple(tight[alone : alone + 2])]
+
+
+def _keys(way: tuple[tuple[str, int], ...], rule: PairRule) -> tuple[list[Column], list[Column]]:
+    """Keys of one way, to be given and to be looked for: rows within the distances have one in common.
+
+    A hash alone is cut into few wide parts, of which one differs in a bit at
+    most, so each part is looked for with every bit turned, too.  Two hashes
+    give all combinations of their bands, which are narrow alone.
+    """
+    if len(way) == 1:
+        ((name, t),) = way
+        parts = _parts(F.col(name), t // 2 + 1, rule.width(name))
+        keys = [F.array(v) for v, _ in parts]
+        return keys, [F.array(v, *(v.bitwiseXOR(F.lit(1 << i)) for i in range(w))) for v, w in parts]
+    (x, tx), (y, ty) = way
+    right = _parts(F.col(y), ty + 1, rule.width(y))
+    keys = [F.array(F.shiftleft(u, w).bitwiseOR(v)) for u, _ in _parts(F.col(x), tx + 1, rule.width(x)) for v, w in right]
+    return keys, keys
 
 
 def hash_classes(hashes: DataFrame, rule: PairRule) -> DataFrame:
@@ -60,17 +96,19 @@ def hash_classes(hashes: DataFrame, rule: PairRule) -> DataFrame:
 def near_pairs(classes: DataFrame, rule: PairRule = PairRule()) -> DataFrame:
     """Pairs a < b of classes with enough hits: the distances d_{hash} (999 for a missing hash) and hits.
 
-    Candidates share a band of a seed hash (the pigeonhole principle makes
-    that exact); a pair is kept where it meets first, then verified.
+    Candidates share a key of some way to hit (the pigeonhole principle makes
+    that exact): 13 bits at least with the default rule.  A pair is kept where
+    it meets first, then verified.
     """
     names = [n for n, _ in rule.thresholds]
-    classes = cut(classes)  # read by both sides of the join and each seed
-    keyed = [
-        classes.where(F.col(n).isNotNull()).select("id", *names, F.posexplode(bands(F.col(n), t + 1)).alias("k", "v")).select("id", *names, F.lit(n).alias("h"), "k", "v")
-        for n, t in rule.seeds()
-    ]
-    rows = reduce(DataFrame.unionByName, keyed)
-    x, y = rows.alias("x"), rows.alias("y")
+    classes = cut(classes)  # read by both sides of the join and each way
+    given, sought = [], []
+    for h, way in enumerate(rule.ways()):
+        there = classes.dropna(subset=[n for n, _ in way])
+        for keys, out in zip(_keys(way, rule), (given, sought), strict=True):
+            arrays = F.transform(F.array(*keys), lambda vs, k: F.transform(vs, lambda v: F.struct(k.alias("k"), v.alias("v"))))
+            out.append(there.select("id", *names, F.lit(h).alias("h"), F.inline(F.flatten(arrays))))
+    x, y = reduce(DataFrame.unionByName, sought).alias("x"), reduce(DataFrame.unionByName, given).alias("y")
     distance = {n: hamming(F.col(f"x.{n}"), F.col(f"y.{n}")) for n in names}
     hits = reduce(lambda a, b: a + b, (F.when(distance[n] <= t, 1).otherwise(0) for n, t in rule.thresholds))
     met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")) & (hits >= rule.min_hits))

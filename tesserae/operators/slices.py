@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,6 +76,18 @@ def take(channel: DataFrame, slice_: Slice, key: str = "image_path") -> DataFram
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order(slice_.field, slice_.descending, key))))
 
 
+def take_all(channel: DataFrame, slices_: Iterable[Slice], key: str = "image_path") -> DataFrame:
+    """slice, rank and key of several slices of one channel; slices with the same rows are taken once.
+
+    Each takes its own columns of the channel only, so give a stored one.
+    """
+    names: dict[Slice, list[str]] = {}
+    for s in slices_:
+        names.setdefault(replace(s, name=""), []).append(s.name)
+    parts = [take(channel, s, key).select(F.explode(F.array(*map(F.lit, of))).alias("slice"), F.col("rank").cast("long").alias("rank"), key) for s, of in names.items()]
+    return reduce(DataFrame.unionAll, parts)
+
+
 def available(slice_: Slice, columns: list[str]) -> bool:
     """Whether a built channel has what a slice needs."""
     return slice_.field in columns

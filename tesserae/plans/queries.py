@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import labels, scalars
 from tesserae.functions.config import FEATURE_GROUPS, FEATURES, LabelConfig
 from tesserae.operators import calibrate, cluster, dedup, experiments, export, histogram, metrics, naming, overlay, quality, sampling, slices, stats
+from tesserae.operators.graph import cut
 from tesserae.plans import views
 from tesserae.plans.views import BANK_SQL, FEATURES_SQL, HASHES_CTE, METADATA_SQL, PART_HISTOGRAM_SQL, QUALITY_SQL, table
 
@@ -200,13 +201,8 @@ def _slices_sql(channel: str, rows: str) -> str:
 
 
 def _slices(rows: DataFrame, channel: str) -> DataFrame:
-    rows = rows.withColumns({c: F.round(c, DIGITS) for c, t in rows.dtypes if t == "double"}).cache()
-    out = None
-    for s in slices.CATALOGUE.values():
-        if s.channel == channel and slices.available(s, rows.columns):
-            part = slices.take(rows, s).select(F.lit(s.name).alias("slice"), F.col("rank").cast("long").alias("rank"), "image_path")
-            out = part if out is None else out.unionAll(part)
-    return out
+    rows = cut(rows.withColumns({c: F.round(c, DIGITS) for c, t in rows.dtypes if t == "double"}))
+    return slices.take_all(rows, [s for s in slices.CATALOGUE.values() if s.channel == channel and slices.available(s, rows.columns)])
 
 
 @_query(f"WITH {_summary_sql()} {_slices_sql('histogram', 'summary')}")
@@ -259,6 +255,10 @@ _ROOTS = """sym AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach
 roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id)"""
 
 
+#: The default rule over hashes of the views' width.
+RULE = dedup.PairRule(bits=views.HASH_BITS)
+
+
 @_query(f"WITH {_EXACT} SELECT file_size::INTEGER AS file_size, sha256, path, group_id, image_count FROM exact")
 def exact_duplicates(spark, sf_dir):
     return dedup.exact_groups(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -266,28 +266,28 @@ def exact_duplicates(spark, sf_dir):
 
 @_query(f"WITH {_PAIRS} SELECT * FROM pairs")
 def perceptual_pairs(spark, sf_dir):
-    return dedup.near_pairs(dedup.hash_classes(views.hashes(spark, sf_dir), dedup.PairRule()))
+    return dedup.near_pairs(dedup.hash_classes(views.hashes(spark, sf_dir), RULE), RULE)
 
 
 @_query(f"WITH RECURSIVE {_CLASSES}, p AS (SELECT x.id AS a, y.id AS b FROM classes x JOIN classes y ON x.id < y.id WHERE coalesce(bit_count(xor(x.phash, y.phash)), 999) <= 6) SELECT a, b FROM p")
 def single_hash_pairs(spark, sf_dir):
-    rule = dedup.PairRule((("phash", 6),), 1)
+    rule = dedup.PairRule((("phash", 6),), 1, views.HASH_BITS)
     hashes = views.hashes(spark, sf_dir)
-    full = dedup.hash_classes(hashes, dedup.PairRule()).select("id", "phash")
+    full = dedup.hash_classes(hashes, RULE).select("id", "phash")
     return dedup.near_pairs(full, rule).select("a", "b")
 
 
 @_query(f"""WITH RECURSIVE {_PAIRS}, {_ROOTS}, named AS (SELECT h.id, coalesce(r.root, c.id) AS group_id FROM hashes h JOIN classes c ON h.phash IS NOT DISTINCT FROM c.phash AND h.dhash IS NOT DISTINCT FROM c.dhash AND h.whash IS NOT DISTINCT FROM c.whash AND h.colorhash IS NOT DISTINCT FROM c.colorhash LEFT JOIN roots r ON r.id = c.id)
 SELECT id, group_id, count(*) OVER (PARTITION BY group_id) AS image_count FROM named QUALIFY count(*) OVER (PARTITION BY group_id) > 1""")
 def perceptual_groups(spark, sf_dir):
-    return dedup.perceptual_groups(views.hashes(spark, sf_dir))
+    return dedup.perceptual_groups(views.hashes(spark, sf_dir), RULE)
 
 
 @_query(f"""WITH RECURSIVE {_PAIRS}, {_ROOTS} SELECT root AS group_id, array_to_string(list_sort(list_distinct(flatten(list(hit)))), ';') AS hit_evidence FROM
 (SELECT root, list_filter([{', '.join(f"CASE WHEN d_{n} <= {t} THEN '{n}' END" for n, t in dedup.THRESHOLDS.items())}], lambda x: x IS NOT NULL) AS hit FROM pairs JOIN roots ON roots.id = pairs.a) GROUP BY root""")
 def duplicate_evidence(spark, sf_dir):
-    pairs = dedup.near_pairs(dedup.hash_classes(views.hashes(spark, sf_dir), dedup.PairRule())).cache()
-    found = dedup.evidence(pairs, dedup.components(pairs))
+    pairs = dedup.near_pairs(dedup.hash_classes(views.hashes(spark, sf_dir), RULE), RULE).cache()
+    found = dedup.evidence(pairs, dedup.components(pairs), RULE)
     return found.select("group_id", F.array_join("hit_evidence", ";").alias("hit_evidence"))
 
 
@@ -296,7 +296,7 @@ big AS (SELECT *, count(*) OVER (PARTITION BY group_id) AS n FROM named QUALIFY
 SELECT (SELECT count(DISTINCT group_id) FROM exact) AS total_exact_groups, (SELECT count(DISTINCT group_id) FROM big) AS total_perceptual_groups, (SELECT count(*) FROM exact) + (SELECT count(*) FROM big) AS total_duplicate_images, (SELECT count(*) FROM documents) AS total_images_checked""")
 def duplicate_stats(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return dedup.stats(dedup.exact_groups(docs, "doc_id", "text"), dedup.perceptual_groups(views.hashes(spark, sf_dir)), docs)
+    return dedup.stats(dedup.exact_groups(docs, "doc_id", "text"), dedup.perceptual_groups(views.hashes(spark, sf_dir), RULE), docs)
 
 
 # ---- feature statistics -----------------------------------------------------------------------------------------
@@ -537,16 +537,36 @@ def feature_information(spark, sf_dir):
     return cluster.information(views.features(spark, sf_dir), NAMES)
 
 
-@_query()
+def _localized_sql() -> str:
+    tags = sorted(experiments.TAG_NAMES, key=lambda t: (-len(t), list(experiments.TAG_NAMES).index(t)))
+    wide = lambda t: t.replace("_", "__")  # noqa: E731  # every match has separators of its own
+    pairs = ", ".join(f"{{'t': '{wide(t)}', 'w': '{experiments.TAG_NAMES[t]}'}}" for t in tags)
+    found = f"regexp_extract_all('_' || replace(suggested_name, '_', '__') || '_', '_({'|'.join(map(wide, tags))})_', 1)"
+    shown = f"array_to_string(list_transform(list_filter([{pairs}], lambda x: list_contains({found}, x.t))[1:4], lambda x: x.w), ' · ')"
+    return f"""SELECT cluster_id, suggested_name, CASE WHEN lower(suggested_name) = 'noise' THEN '未归类' WHEN shown = '' THEN replace(suggested_name, '_', ' ') ELSE shown END AS display_name
+FROM (SELECT cluster_id, suggested_name, {shown} AS shown FROM ({_naming_sql()}))"""
+
+
+@_query(_localized_sql())
 def localized_names(spark, sf_dir):
     ranks = stats.percentile_ranks(views.features(spark, sf_dir), NAMES)
     named = naming.name_clusters(ranks)
     return named.select("cluster_id", "suggested_name", experiments.localized(F.col("suggested_name")).alias("display_name"))
 
 
-@_query()
+_HEALTH = f"""{_MEANS}, d AS (SELECT x.vec_id, x.cluster_id AS own, y.cluster_id AS other, sum({_GAP}) AS total, count(*) AS n FROM feats x, feats y GROUP BY ALL),
+s AS (SELECT vec_id, own, max(CASE WHEN own = other THEN total / (n - 1) END) AS a, min(CASE WHEN own <> other THEN total / n END) AS b FROM d GROUP BY ALL),
+sil AS (SELECT round(avg((b - a) / greatest(a, b)), 4) AS silhouette FROM s), m AS (SELECT avg(v) AS mean FROM (SELECT round(avg(deviation), 4) AS v FROM dev GROUP BY cluster_id)),
+sized AS (SELECT cluster_id, count(*) AS n, count(*) / (SELECT count(*) FROM feats)::DOUBLE AS ratio FROM feats WHERE cluster_id >= 0 GROUP BY cluster_id),
+shape AS (SELECT max(ratio) AS largest, count(*) AS k, 1 - sum(n) / (SELECT count(*) FROM feats)::DOUBLE AS noise, list_sort(list(cluster_id) FILTER (ratio < 0.01)) AS micro, list_sort(list(cluster_id) FILTER (ratio > 0.5)) AS dominant FROM sized),
+h AS (SELECT silhouette, round(noise, 4) AS noise_ratio, round(mean, 4) AS mean_distinctiveness, coalesce(array_to_string(micro, ';'), '') AS micro_clusters, coalesce(array_to_string(dominant, ';'), '') AS dominant_clusters,
+round(0.25::DOUBLE * greatest(silhouette, 0) + 0.25::DOUBLE * (CASE WHEN k <= 1 THEN 0.5 ELSE least(1 - (largest - 1 / k::DOUBLE), 0.5) * 2 END) + 0.25::DOUBLE * (1 - noise) + 0.25::DOUBLE * least(mean / 2, 1), 4) AS health_score FROM sil, m, shape)"""
+
+
+@_query(f"{_HEALTH} SELECT *, CASE WHEN health_score >= 0.7 THEN 'healthy' WHEN health_score >= 0.4 THEN 'moderate' ELSE 'unhealthy' END AS health_level FROM h", "silhouette", "noise_ratio", "mean_distinctiveness", "health_score")
 def cluster_health(spark, sf_dir):
-    return metrics.health(views.features(spark, sf_dir), NAMES, "vec_id")
+    row = metrics.health(views.features(spark, sf_dir), NAMES, "vec_id")
+    return row.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ";") for c in ("micro_clusters", "dominant_clusters")})
 
 
 # ---- overlays ---------------------------------------------------------------------------------------------------

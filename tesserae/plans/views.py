@@ -10,6 +10,8 @@ from tesserae.operators.histogram import histogram
 
 #: Histogram columns of the bank: the values they count, range and bins.
 BANK = {"brightness_hist": ("v", -0.3, 0.3, 16), "saturation_hist": ("abs(v)", 0.0, 0.3, 16), "hue_hist": ("v", -0.3, 0.3, 24)}
+#: The width of the hashes below.
+HASH_BITS = 60
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,13 +99,16 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = docs.select("doc_id", F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: w != "").alias("w"))
     pairs = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get("w", i + 1)))
     out = None
-    for name, grams, k in (("phash", F.col("w"), 1), ("dhash", F.col("w"), 17), ("whash", pairs, 1), ("colorhash", pairs, 17)):
-        rows = words.select("doc_id", F.explode(F.array_distinct(grams)).alias("g"))
-        rows = rows.select("doc_id", F.conv(F.substring(F.md5(F.col("g").cast("binary")), k, 15), 16, 10).cast("long").alias("h"))
-        sums = [F.sum(F.shiftright("h", b).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{b}") for b in range(60)]
-        bits = rows.groupBy("doc_id").agg(*sums)
-        value = sum((F.when(F.col(f"b{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(1, 60)), F.when(F.col("b0") > 0, F.lit(1)).otherwise(F.lit(0))).cast("long")
-        part = bits.select("doc_id", value.alias(name))
+    for grams, names in ((F.col("w"), ("phash", "dhash")), (pairs, ("whash", "colorhash"))):
+        rows = words.select("doc_id", F.explode(F.array_distinct(grams)).alias("g")).select("doc_id", F.md5(F.col("g").cast("binary")).alias("m"))
+        rows = rows.select("doc_id", *(F.conv(F.substring("m", k, 15), 16, 10).cast("long").alias(n) for n, k in zip(names, (1, 17), strict=True)))
+        # A sum counts two bits, 30 apart: a text has fewer than 2^30 words.
+        both = F.lit(1 | 1 << 30)
+        counts = [F.sum(F.shiftright(n, b).bitwiseAND(both)).alias(f"{n}_{b}") for n in names for b in range(30)]
+        bits = rows.groupBy("doc_id").agg(F.count("*").alias("n"), *counts)
+        count = lambda n, b: F.col(f"{n}_{b}").bitwiseAND(F.lit((1 << 30) - 1)) if b < 30 else F.shiftright(f"{n}_{b - 30}", 30)
+        value = lambda n: sum((F.when(2 * count(n, b) > F.col("n"), F.lit(1 << b)).otherwise(F.lit(0)) for b in range(1, 60)), F.when(2 * count(n, 0) > F.col("n"), F.lit(1)).otherwise(F.lit(0))).cast("long")
+        part = bits.select("doc_id", *(value(n).alias(n) for n in names))
         out = part if out is None else out.join(part, "doc_id", "left")
     return out.withColumnRenamed("doc_id", "id")
 

@@ -1,5 +1,7 @@
 """Label rules, calibration, overlays, tables on disk, streams."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -171,3 +173,33 @@ def test_quality_scores_without_a_histogram_row_or_value(spark):
     # a missing row and a missing value take the same default
     assert rows["b"]["lineart_score_v2"] == rows["c"]["lineart_score_v2"] == 0.415
     assert rows["a"]["lineart_score_v2"] == 0.785
+
+
+@pytest.mark.parametrize("rule", [dedup.PairRule(), dedup.PairRule(min_hits=1), dedup.PairRule(min_hits=4), dedup.PairRule((("phash", 6),), 1, 60)])
+def test_near_pairs_are_all_pairs_within_the_distances(spark, rule):
+    """Copies with up to two bits too many turned, over all bits of hashes as wide as the kernels' ones; missing hashes hit nothing."""
+    rng = random.Random(7)
+    wide = {n: rule.width(n) for n in dedup.THRESHOLDS}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    rows = []
+    for _ in range(12):
+        base = {n: rng.getrandbits(w) for n, w in wide.items()}
+        for _ in range(8):
+            turned = {n: sum(1 << b for b in rng.sample(range(wide[n]), rng.randint(0, t + 2))) for n, t in dedup.THRESHOLDS.items()}
+            rows.append((len(rows), *(None if rng.random() < 0.05 else signed(base[n] ^ turned[n]) for n in wide)))
+    got = {(r.a, r.b, r.hits) for r in dedup.near_pairs(spark.createDataFrame(rows, "id long, " + ", ".join(f"{n} long" for n in wide)), rule).collect()}
+    want = set()
+    at = {n: i + 1 for i, n in enumerate(wide)}
+    for x in rows:
+        for y in rows[x[0] + 1 :]:
+            hits = sum(x[at[n]] is not None and y[at[n]] is not None and ((x[at[n]] ^ y[at[n]]) & (2**64 - 1)).bit_count() <= t for n, t in rule.thresholds)
+            if hits >= rule.min_hits:
+                want.add((x[0], y[0], hits))
+    assert want and got == want
+
+
+def test_slices_with_equal_rows_are_taken_once(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", None), ("d", 3.0)], "image_path string, v double")
+    some = [slices.Slice("x", "c", "v", limit=2), slices.Slice("y", "c", "v", limit=2), slices.Slice("z", "c", "v", False, "v < 3")]
+    got = sorted(map(tuple, slices.take_all(rows, some).collect()))
+    assert got == [("x", 1, "b"), ("x", 2, "d"), ("y", 1, "b"), ("y", 2, "d"), ("z", 1, "a")]
