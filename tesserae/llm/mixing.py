@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.shared import Workspace
+from tesserae.llm.text import n_words
 
 DIMS = ("source", "lang", "topic")
 #: A marginal's target shares are its observed token shares to this power, made to add up to 1.
@@ -26,7 +27,6 @@ ROUNDS, EACH, CLOSE = 12, 4, 1e-12
 #: Tokens that are asked for, as a share of all.
 BUDGET = 0.5
 NONE = "(none)"
-SPACES = " \t\n\x0b\x0c\r"
 #: Cells that may be broadcast to documents, and raked in one task instead of by a shuffle for each marginal.
 MOST_CELLS = 100_000
 #: Topics; an anchor lies in at least one of RARE documents with text, and in at most one of COMMON of each language.
@@ -79,12 +79,6 @@ def topic(held_: Column, of: list[str]) -> Column:
     return F.when(F.size(held_) == 0, OTHER).otherwise(F.coalesce(F.get(every, -F.array_max(counts)["k"]), F.lit(OTHER)))
 
 
-def n_tokens(text: Column) -> Column:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a text; none for null."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, f"[{SPACES}]+", -1))).cast("long")
-
-
 def features(docs: DataFrame, of: list[str]) -> DataFrame:
     """doc_id, the three dimensions (null as NONE), tokens and the sampling number of every row; further columns aren't read."""
     # a projection of its own, so that the pattern runs once over a text
@@ -93,7 +87,7 @@ def features(docs: DataFrame, of: list[str]) -> DataFrame:
         F.coalesce("source", F.lit(NONE)).alias("source"),
         F.coalesce("lang", F.lit(NONE)).alias("lang"),
         held(F.col("text"), of).alias("held"),
-        n_tokens(F.col("text")).alias("tokens"),
+        n_words(F.col("text")).alias("tokens"),
         uniform(F.col("doc_id"), F.col("text")).alias("u"),
     )
     return rows.select("doc_id", "source", "lang", topic(F.col("held"), of).alias("topic"), "tokens", "u")
@@ -196,4 +190,4 @@ def sample(docs: DataFrame, powers: dict[str, float] | None = None, budget: floa
     keyed = docs.select("*", held(F.col("text"), of).alias(f"{mark}held")).select(*docs.columns, *(c.alias(f"{mark}{d}") for d, c in own.items()))
     small = cells.count() <= MOST_CELLS
     kept = keyed.join(F.broadcast(cells) if small else cells, [f"{mark}{d}" for d in DIMS])
-    return kept.where((n_tokens(F.col("text")) > 0) & (uniform(F.col("doc_id"), F.col("text")) < F.col(f"{mark}share"))).select(*docs.columns)
+    return kept.where((n_words(F.col("text")) > 0) & (uniform(F.col("doc_id"), F.col("text")) < F.col(f"{mark}share"))).select(*docs.columns)

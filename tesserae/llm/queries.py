@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import decontaminate, jaccard_join, langid, mixing, pii, quality, sharding, substring_dedup, toxicity, warc
+from tesserae.llm import decontaminate, fim, jaccard_join, langid, mixing, pii, prefix_trie, quality, sharding, substring_dedup, toxicity, warc
 from tesserae.llm.shared import Workspace
 
 
@@ -81,6 +81,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every output and of the text restored from it."""
+    made = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    digests = (F.sha2(c.cast("binary"), 256).alias(n) for c, n in ((F.col("output"), "output_sha256"), (back, "restored_sha256")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"), every=20).drop("digest")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": op1_langid,
@@ -93,6 +105,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_quality_rules": op9_quality_rules,
         "op10_sharding": op10_sharding,
+        "op12_fim": op12_fim,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -171,6 +185,52 @@ firsts AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS f FROM hashed)
 SELECT page_id, payload_bytes, {letters} AS payload_digest, CASE WHEN page_id > f THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > f THEN f END AS refers_to FROM firsts"""
 
 
+def _fim_sql() -> str:
+    plan, white = fim.Plan(), "[ \\t\\n\\x0b\\x0c\\r]"
+    unit = f"{white}*{white.replace('[', '[^')}+|{white}+"
+    h = ", ".join(f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT AS h{k + 1}" for k in range(4))
+    holds = " OR ".join(f"strpos(text, '{x}') > 0" for x in fim.SENTINELS)
+    p, s, m = (f"'{x}'" for x in fim.SENTINELS)
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{plan.seed}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+units AS MATERIALIZED (SELECT doc_id, text, regexp_extract_all(text, '{unit}') AS u, {h} FROM texts),
+cuts AS (SELECT *, len(u)::BIGINT AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+           CASE WHEN text = '' OR {holds} OR h3 % 100 >= {plan.rate} THEN 'plain' WHEN h4 % 100 < {plan.suffix_first} THEN 'spm' ELSE 'psm' END AS form FROM units),
+parts AS (SELECT *, array_to_string(u[:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN {s} || suffix || {p} || prefix || {m} || middle ELSE {p} || prefix || {s} || suffix || {m} || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts"""
+
+
+_TRIE_SQL = """
+WITH crc AS (SELECT range AS i, list_reduce(list_concat([range], range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256)),
+ids AS MATERIALIZED (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+hashed AS MATERIALIZED (
+  SELECT conv_id, xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda x, b: xor(x >> 8, t[((xor(x, b)) & 255) + 1])), 4294967295) % 4 AS h FROM ids, (SELECT list(v ORDER BY i) AS t FROM crc)),
+turns AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+    length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS said,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+rebuilt AS MATERIALIZED (
+  SELECT t.conv_id, pos, said, words FROM turns t JOIN hashed USING (conv_id) WHERE pos > h
+  UNION ALL SELECT x.conv_id, pos, said, words FROM hashed x JOIN turns t ON t.conv_id = x.conv_id - x.conv_id % 20 WHERE pos <= h),
+lists AS MATERIALIZED (SELECT ids.conv_id, coalesce(list(md5(said) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS s, coalesce(list(words ORDER BY pos) FILTER (pos IS NOT NULL), []) AS w
+  FROM ids LEFT JOIN rebuilt USING (conv_id) GROUP BY ids.conv_id),
+prefixes AS MATERIALIZED (SELECT conv_id, d, s[:d] AS p, s[:d - 1] AS up, coalesce(w[d], 0) AS words, d = len(s) AS at_end FROM lists, LATERAL (SELECT unnest(range(len(s) + 1)) AS d)),
+nodes AS MATERIALIZED (
+  SELECT d, p, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (at_end), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, p),
+children AS (SELECT d - 1 AS d, up AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+counted AS MATERIALIZED (SELECT *, coalesce(n_children, 0) AS kids FROM nodes LEFT JOIN children USING (d, p)),
+sums AS (SELECT e AS d, p[:e] AS p, sum(CASE WHEN kids = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved FROM counted, LATERAL (SELECT unnest(range(counted.d + 1)) AS e) GROUP BY ALL)
+SELECT c.conv_id, c.d::BIGINT AS depth, o.conv_id AS parent_conv_id, c.n_convs, c.kids::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, c.ends_sha256
+FROM counted c JOIN sums USING (d, p) LEFT JOIN nodes o ON c.d > 0 AND o.d = c.d - 1 AND o.p = c.up"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are tested against brute force or held-out rows."""
-    return {"op4_jaccard_join": _JACCARD_SQL, "op7_warc": _warc_sql(), "op8_mixing": _mixing_sql()}
+    return {"op4_jaccard_join": _JACCARD_SQL, "op7_warc": _warc_sql(), "op8_mixing": _mixing_sql(), "op12_fim": _fim_sql(), "op13_prefix_trie": _TRIE_SQL}

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -67,3 +69,12 @@ def shingles(w: np.ndarray, size: int) -> np.ndarray:
             h = h * _ODD + x
         return mix(h + _M2)
     return np.unique(rolling(w, size))
+
+
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def n_words(text: Column) -> Column:
+    """The number of words of a text; none for null."""
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, f"[{SPACES}]+", -1))).cast("long")

@@ -706,7 +706,7 @@ def test_mixing_finds_topics(spark):
 def test_mixing_words(spark):
     cases = ["a b", " a\tb\n\x0bc ", "", None, " x y", "one"]
     df = spark.createDataFrame([(t,) for t in cases], "t string")
-    assert [r[0] for r in df.select(mixing.n_tokens(F.col("t"))).collect()] == [len((t or "").encode().split()) for t in cases]
+    assert [r[0] for r in df.select(text.n_words(F.col("t"))).collect()] == [len((t or "").encode().split()) for t in cases]
 
 
 def test_mixing_odd(odd, empty):
