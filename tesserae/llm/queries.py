@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import decontaminate, fim, jaccard_join, langid, mixing, pii, prefix_trie, quality, sharding, substring_dedup, toxicity, warc
+from tesserae.llm import decontaminate, fim, jaccard_join, langid, mixing, ngram_lm, pii, prefix_trie, quality, sharding, substring_dedup, toxicity, warc
 from tesserae.llm.shared import Workspace
 
 
@@ -81,6 +81,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngram_lm.score_texts(_table(spark, sf_dir, "documents"), ~_held_out(7, 2))
+    scores = (F.round(c, 6).alias(c) for c in ("base_score", "score"))
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", *scores)
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every output and of the text restored from it."""
     made = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
@@ -105,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_quality_rules": op9_quality_rules,
         "op10_sharding": op10_sharding,
+        "op11_ngram_lm": op11_ngram_lm,
         "op12_fim": op12_fim,
         "op13_prefix_trie": op13_prefix_trie,
     }
@@ -185,6 +192,46 @@ firsts AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS f FROM hashed)
 SELECT page_id, payload_bytes, {letters} AS payload_digest, CASE WHEN page_id > f THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > f THEN f END AS refers_to FROM firsts"""
 
 
+#: A table t of the values that a byte gives in CRC-32 of the reflected polynomial 0xEDB88320.
+_CRC_TABLE = """SELECT list(v ORDER BY i) AS t FROM (SELECT range AS i, list_reduce(list_concat([range], range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256))"""
+
+
+def _crc_sql(digits: str) -> str:
+    """CRC-32 of ASCII text by the table t."""
+    return f"xor(list_reduce(list_concat([4294967295], list_transform(string_split({digits}, ''), lambda c: ascii(c)::BIGINT)), lambda x, b: xor(x >> 8, t[((xor(x, b)) & 255) + 1])), 4294967295)"
+
+
+def _lm_sql() -> str:
+    smoothing = ngram_lm.Smoothing()
+    white = "[ \\t\\n\\x0b\\x0c\\r]"
+    # an end is a blank, which no word is
+    steps, chance = [], "p1"
+    for k in range(2, smoothing.order + 1):
+        mu, gram = smoothing.strength[k - 2], ", ".join(f"w{j}" for j in range(k - 1, -1, -1))
+        context = " AND ".join(f"t.w{j} = c{k - 1}.w{j - 1}" for j in range(1, k))
+        same = " AND ".join(f"t.w{j} = c{k}.w{j}" for j in range(k))
+        steps.append(f"""c{k} AS MATERIALIZED (SELECT {gram}, count(*) AS n FROM t1 WHERE NOT held_out AND w{k - 1} IS NOT NULL GROUP BY ALL),
+t{k} AS MATERIALIZED (SELECT t.*, CASE WHEN c{k - 1}.n >= {smoothing.least} THEN (coalesce(c{k}.n, 0) + {mu} * p{k - 1}) / (c{k - 1}.n + {mu}) ELSE p{k - 1} END AS p{k}
+  FROM t{k - 1} t LEFT JOIN c{k - 1} ON {context} LEFT JOIN c{k} ON {same})""")
+        chance = f"p{k}"
+    lags = ", ".join(f"lag(w, {j}) OVER o AS w{j}" for j in range(1, smoothing.order))
+    return f"""
+WITH crc AS ({_CRC_TABLE}),
+texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce({_crc_sql("doc_id::VARCHAR")} % 7 = 2, false) AS held_out,
+    [' '] || list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{white}+'), lambda x: x <> '') || [' '] AS s
+  FROM documents, crc),
+words AS (SELECT r, held_out, unnest(s) AS w, generate_subscripts(s, 1) AS place FROM texts),
+places AS MATERIALIZED (SELECT r, held_out, place, w AS w0, {lags} FROM words WINDOW o AS (PARTITION BY r ORDER BY place)),
+t0 AS (SELECT * FROM places WHERE place > 1),
+c1 AS MATERIALIZED (SELECT w0, count(*) AS n FROM t0 WHERE NOT held_out GROUP BY ALL),
+size AS (SELECT coalesce(sum(n), 0)::BIGINT AS tokens, count(*) AS seen FROM c1),
+t1 AS MATERIALIZED (SELECT t0.*, n > 0 AS known, (coalesce(n, 0) + 1) / (tokens + seen + 1) AS p1 FROM t0 LEFT JOIN c1 USING (w0), size),
+{", ".join(steps)},
+sums AS (SELECT r, count(*) AS n_tokens, count(known) AS n_known, sum(log10(p1)) AS base, sum(log10({chance})) AS model FROM t{smoothing.order} GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, tokens AS train_tokens, round(base, 6) AS base_score, round(model, 6) AS score FROM texts JOIN sums USING (r), size"""
+
+
 def _fim_sql() -> str:
     plan, white = fim.Plan(), "[ \\t\\n\\x0b\\x0c\\r]"
     unit = f"{white}*{white.replace('[', '[^')}+|{white}+"
@@ -203,12 +250,10 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGIN
 FROM parts"""
 
 
-_TRIE_SQL = """
-WITH crc AS (SELECT range AS i, list_reduce(list_concat([range], range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256)),
+_TRIE_SQL = f"""
+WITH crc AS ({_CRC_TABLE}),
 ids AS MATERIALIZED (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
-hashed AS MATERIALIZED (
-  SELECT conv_id, xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
-    lambda x, b: xor(x >> 8, t[((xor(x, b)) & 255) + 1])), 4294967295) % 4 AS h FROM ids, (SELECT list(v ORDER BY i) AS t FROM crc)),
+hashed AS MATERIALIZED (SELECT conv_id, {_crc_sql("conv_id::VARCHAR")} % 4 AS h FROM ids, crc),
 turns AS MATERIALIZED (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
     length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS said,
@@ -233,4 +278,4 @@ FROM counted c JOIN sums USING (d, p) LEFT JOIN nodes o ON c.d > 0 AND o.d = c.d
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are tested against brute force or held-out rows."""
-    return {"op4_jaccard_join": _JACCARD_SQL, "op7_warc": _warc_sql(), "op8_mixing": _mixing_sql(), "op12_fim": _fim_sql(), "op13_prefix_trie": _TRIE_SQL}
+    return {"op4_jaccard_join": _JACCARD_SQL, "op7_warc": _warc_sql(), "op8_mixing": _mixing_sql(), "op11_ngram_lm": _lm_sql(), "op12_fim": _fim_sql(), "op13_prefix_trie": _TRIE_SQL}
