@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import kernels
 from tesserae.functions.config import FEATURE_GROUPS
 from tesserae.functions.scalars import basename, extension, image_id, stem
+from tesserae.sources.storage import exists
 
 # What counts as an image.
 EXTENSIONS = (".jpg", ".jpeg", ".png", ".webp", ".bmp")
@@ -23,7 +25,7 @@ def scan(spark: SparkSession, folders: list[str], recursive: bool = True, extens
 
     Missing folders are left out; contents are not read.
     """
-    there = [f for f in folders if _exists(spark, f)]
+    there = [f for f in folders if exists(spark, f)]
     schema = "path string, modificationTime timestamp, length long"
     files = spark.createDataFrame([], schema)
     if there:
@@ -32,11 +34,6 @@ def scan(spark: SparkSession, folders: list[str], recursive: bool = True, extens
     return files.where(F.col("extension").isin(*extensions) & (F.col("length") >= min_bytes)).dropDuplicates(["path"]).orderBy("path")
 
 
-def _exists(spark: SparkSession, folder: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
-
 def probe(files: DataFrame, samples: int = 5) -> tuple[DataFrame, list[str]]:
     """Files by extension, and the first few names."""
     return files.groupBy("extension").agg(F.count("*").alias("count")), [r["filename"] for r in files.orderBy("path").limit(samples).collect()]
@@ -48,6 +45,14 @@ def read(spark: SparkSession, folders: list[str], recursive: bool = True) -> Dat
     return df.select(F.col("image.origin").alias("path"), "image.width", "image.height", "image.nChannels", "image.data")
 
 
+def read_paths(spark: SparkSession, paths: DataFrame, block: int = 10_000) -> DataFrame:
+    """The same for the images that rows (path) name; the driver lists them by blocks, as it lists the files of a folder."""
+    names = [r["path"] for r in paths.select("path").toLocalIterator()]
+    blocks = [read(spark, names[k : k + block]) for k in range(0, len(names), block)]
+    none = spark.createDataFrame([], "path string, width int, height int, nChannels int, data binary")
+    return reduce(DataFrame.unionByName, blocks, none)
+
+
 def pixels(width: int, height: int, channels: int, data: bytes) -> tuple[np.ndarray, np.ndarray | None]:
     """RGB from 0 to 1, and alpha where there is one."""
     raw = np.frombuffer(data, np.uint8).reshape(height, width, channels) / 255.0

@@ -1,4 +1,4 @@
-"""Tables on disk: explicit schemas, fallback locations, normalised legacy fields, sinks, versioned previews."""
+"""Tables on disk: explicit schemas, fallback locations, normalised legacy fields, sinks."""
 
 from __future__ import annotations
 
@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import image_id
-from tesserae.sources.images import _exists
+from tesserae.sources.storage import exists
 
 #: Fields that have held an image's path, the first that is there counts.
 PATH_FIELDS = ("source_path", "original_path", "image_path", "path", "file", "src", "filename")
 
 
 def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
-    return next((p for p in paths if _exists(spark, p)), None)
+    return next((p for p in paths if exists(spark, p)), None)
 
 
 def read_table(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
@@ -62,44 +62,12 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def build_channel(spark: SparkSession, path: str, build, force: bool = False) -> tuple[DataFrame, str]:
     """The table at ``path``, built unless it is ready; and ``already_ready`` or ``built``."""
-    ready = _exists(spark, f"{path}/_SUCCESS")
+    ready = exists(spark, f"{path}/_SUCCESS")
     if not ready or force:
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path), "already_ready" if ready and not force else "built"
 
 
-def misses(files: DataFrame, cache: DataFrame, key: str = "content_hash") -> DataFrame:
-    """Files whose content hash a feature cache lacks."""
-    return files.join(cache.select(key).distinct(), key, "left_anti")
-
-
-def content_hash(content) -> object:
-    return F.substring(F.sha2(content, 256), 1, 16)
-
-
-class Previews:
-    """Preview clusterings as versioned folders beside the current labels."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def create(self, name: str, labels: DataFrame, diff: DataFrame) -> None:
-        labels.write.mode("overwrite").parquet(f"{self.root}/previews/{name}/labels")
-        diff.write.mode("overwrite").json(f"{self.root}/previews/{name}/diff")
-
-    def get(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/previews/{name}/labels")
-
-    def apply(self, name: str, edits: DataFrame | None = None, force: bool = False) -> None:
-        """Make a preview current; the old labels stay as a backup.  With manual edits only by ``force``."""
-        if edits is not None and not edits.isEmpty() and not force:
-            raise ValueError("there are manual edits; apply with force to discard them")
-        current = f"{self.root}/labels"
-        if _exists(self.spark, current):
-            self.spark.read.parquet(current).write.mode("overwrite").parquet(f"{self.root}/backup/{name}")
-        self.get(name).write.mode("overwrite").parquet(current)
-
-
 def manifest(spark: SparkSession, values: dict) -> DataFrame:
     """A one-row table of a job's settings."""
     return spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "manifest string")

@@ -79,21 +79,13 @@ def test_page_rejects_unknown_field(frame):
     assert total == 200 and rows.count() == 5
 
 
-def test_tables_and_previews(spark, tmp_path, frame):
+def test_tables_and_channels(spark, tmp_path, frame):
     root = str(tmp_path)
     assert tables.read_table(spark, [root + "/none"], "a int").count() == 0
     df, how = tables.build_channel(spark, root + "/ch", lambda: frame)
     assert how == "built" and tables.build_channel(spark, root + "/ch", lambda: frame)[1] == "already_ready" and df.count() == 200
     tables.write_csv(frame.select("image_id", F.array(F.lit("x"), F.lit("y")).alias("t")), root + "/csv")
     assert spark.read.option("header", True).csv(root + "/csv").first()["t"] == "x;y"
-    p = tables.Previews(spark, root)
-    lab = spark.createDataFrame([(1, 0)], "id int, cluster_id int")
-    p.create("v1", lab, lab)
-    p.apply("v1")
-    with pytest.raises(ValueError):
-        p.apply("v1", edits=lab)
-    p.apply("v1", edits=lab, force=True)
-    assert spark.read.parquet(root + "/labels").count() == 1
 
 
 def test_index_normalisation(spark):
