@@ -32,7 +32,7 @@ from tesserae.llm.shared import Workspace, small_batches
 from tesserae.llm.text import _ODD, mix
 
 #: Bytes of text in a block, but for a longer text, which is a block of its own.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Bytes of text whose n-grams one sum answers, on average.
 PART = 8 << 20
 #: Hash of the end of a text, which also stands before its first word.
@@ -88,8 +88,8 @@ def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ordered = keys[order]
     first = np.ones(len(keys), bool)
     first[1:] = ordered[1:] != ordered[:-1]
-    number = np.empty(len(keys), np.int64)
-    number[order] = np.cumsum(first) - 1
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(first, dtype=np.int32) - 1
     return ordered[first], order[first], number
 
 
@@ -151,8 +151,8 @@ class Grams:
         self.totals = defaultdict(partial(np.zeros, 0, np.int64), totals)
         self.least = least
         order = np.argsort(words)
-        rank = np.empty(len(words), np.int64)
-        rank[order] = np.arange(len(words))
+        rank = np.empty(len(words), np.int32)
+        rank[order] = np.arange(len(words), dtype=np.int32)
         self.keys = {1: words[order]}
         self.number = {1: rank[self.ids]}
         self.at: dict[int, np.ndarray] = {}
@@ -177,9 +177,10 @@ class Grams:
         hashed = np.zeros_like(self.word)
         hashed[place] = mix(self._hash[place - 1] * _ODD + self.word[place])
         self._hash = hashed
+        del before, fits
         self.keys[k], at, which = numbered(hashed[place])
         self.at[k] = place[at]
-        self.number[k] = np.full(len(self.ids), -1, np.int64)
+        self.number[k] = np.full(len(self.ids), -1, np.int32)
         self.number[k][place] = which
 
     def counts(self, k: int) -> np.ndarray:
@@ -284,6 +285,7 @@ class Automaton:
             number = grams.number[k]
             self.arcs.append(np.where(np.append(has, False)[number], arcs + number, -1).astype(np.int32))
             arcs += len(chance)
+        del grams.word, grams._hash
         self.level, self.fail = array("b", np.concatenate(level).tobytes()), array("i", np.concatenate(fail).tobytes())
         self.weight = array("d", np.concatenate(weight).tobytes())
         self.logs, self.targets = array("d", np.concatenate(logs).tobytes()), array("i", np.concatenate(targets).astype(np.int32).tobytes())
