@@ -32,7 +32,7 @@ from tesserae.llm.shared import Workspace, small_batches
 from tesserae.llm.text import _ODD, mix
 
 #: Bytes of text in a block, but for a longer text, which is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 16 << 20
 #: Bytes of text whose n-grams one sum answers, on average.
 PART = 8 << 20
 #: Hash of the end of a text, which also stands before its first word.
@@ -70,10 +70,10 @@ class Size:
     seen: int
 
 
-def pack(a: np.ndarray) -> bytes:
+def pack(a: np.ndarray, level: int = 1) -> bytes:
     """An array, the bytes of equal rank beside each other, compressed."""
     width = a.dtype.itemsize
-    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(-1, width).T.tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(a.view(np.uint8).reshape(-1, width).T.tobytes())
 
 
 def unpack(raw: bytes, kind: type) -> np.ndarray:
@@ -116,7 +116,7 @@ def _cut(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.R
     def out() -> pa.RecordBatch:
         words = np.frombuffer(ids.hashes, np.uint64)
         lists = [pa.array([x], pa.list_(k)) for x, k in zip(docs, (pa.int64(), pa.bool_(), pa.int32()), strict=False)]
-        blobs = [pa.array([pack(x)], pa.binary()) for x in (np.concatenate(docs[3]), words)]
+        blobs = [pa.array([pack(x, 5)], pa.binary()) for x in (np.concatenate(docs[3]), words)]
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, *blobs], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
     for batch in batches:
@@ -156,8 +156,8 @@ class Grams:
         self.keys = {1: words[order]}
         self.number = {1: rank[self.ids]}
         self.at: dict[int, np.ndarray] = {}
-        self.word = words[self.ids]
-        self._hash = self.word
+        self.words = words
+        self._hash = words[self.ids]
         # the end before a text is a context, but no word that is read
         self.read = np.ones(len(self.ids), bool)
         self.read[self.first] = False
@@ -174,11 +174,11 @@ class Grams:
             fits &= self.read[:-1]
             fits[fits] = self.state(k - 1)[before[fits]]
         place = np.flatnonzero(fits) + 1
-        hashed = np.zeros_like(self.word)
-        hashed[place] = mix(self._hash[place - 1] * _ODD + self.word[place])
-        self._hash = hashed
+        keys = mix(self._hash[place - 1] * _ODD + self.words[self.ids[place]])
+        self._hash[:] = 0
+        self._hash[place] = keys
         del before, fits
-        self.keys[k], at, which = numbered(hashed[place])
+        self.keys[k], at, which = numbered(keys)
         self.at[k] = place[at]
         self.number[k] = np.full(len(self.ids), -1, np.int32)
         self.number[k][place] = which
@@ -285,7 +285,7 @@ class Automaton:
             number = grams.number[k]
             self.arcs.append(np.where(np.append(has, False)[number], arcs + number, -1).astype(np.int32))
             arcs += len(chance)
-        del grams.word, grams._hash
+        del grams._hash
         self.level, self.fail = array("b", np.concatenate(level).tobytes()), array("i", np.concatenate(fail).tobytes())
         self.weight = array("d", np.concatenate(weight).tobytes())
         self.logs, self.targets = array("d", np.concatenate(logs).tobytes()), array("i", np.concatenate(targets).astype(np.int32).tobytes())
