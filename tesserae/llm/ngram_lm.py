@@ -32,12 +32,15 @@ from tesserae.llm.shared import Workspace, small_batches
 from tesserae.llm.text import _ODD, mix
 
 #: Bytes of text in a block, but for a longer text, which is a block of its own.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Bytes of text whose n-grams one sum answers, on average.
 PART = 8 << 20
 #: Hash of the end of a text, which also stands before its first word.
 END = np.uint64(0x51AB1E0FC0FFEE05)
 
+#: The bits of a hash by which n-grams of two words or more are told apart; the others are 0 and take no room.  Words have all 64.
+GRAM_BITS = ~np.uint64(0xFF)
+
 BLOCKS = "block long, doc_ids array<long>, trained array<boolean>, sizes array<int>, ids binary, words binary"
 PIECES = "block long, gram int, part int, keys binary, counts binary"
 TOTALS = "block long, gram int, part int, totals binary, tokens long, seen long"
@@ -174,7 +177,7 @@ class Grams:
             fits &= self.read[:-1]
             fits[fits] = self.state(k - 1)[before[fits]]
         place = np.flatnonzero(fits) + 1
-        keys = mix(self._hash[place - 1] * _ODD + self.words[self.ids[place]])
+        keys = mix(self._hash[place - 1] * _ODD + self.words[self.ids[place]]) & GRAM_BITS
         self._hash[:] = 0
         self._hash[place] = keys
         del before, fits
@@ -345,7 +348,8 @@ def score_texts(docs: DataFrame, trained, smoothing: Smoothing = Smoothing(), bl
     without training rows all words are equally unlikely; an empty table
     gives none.  Only ``doc_id``, ``text`` and what the condition names are read.
 
-    n-grams are told apart by 64-bit hashes.  A task holds one block, or the
+    Words are told apart by 64-bit hashes, longer n-grams by 56 bits: of 10^10
+    distinct ones some 700 pairs would share a count.  A task holds one block, or the
     n-grams of one part of the hashes; the number of blocks and of parts grows with
     the text, and a frequent n-gram is one entry of each block.
     """
