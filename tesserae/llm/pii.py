@@ -36,6 +36,9 @@ KINDS = (
 BASE = 4
 #: Characters of a secret, at most.
 MOST_SECRET = 256
+#: Lengths are summed by blocks of so many, and these by as many again.
+BLOCK_BITS = 5
+BLOCK = 1 << BLOCK_BITS
 #: Characters looked at before and after a span; what a context word adds; the score an added span needs.
 BEFORE, AFTER, BONUS, LEAST = 48, 24, 0.25, 0.5
 
@@ -90,16 +93,27 @@ def _valid(kind: str, value: Column) -> Column:
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string,score:double>>"
 
 
-def _starts(rank: int) -> Column:
-    """Where each match of a kind starts: running sums over the pieces between matches and the matches."""
-    pieces, matches = F.col(f"_p{rank}"), F.col(f"_m{rank}")
+def _sums(a: Column) -> Column:
+    """The sum of each BLOCK values, in order."""
+    return F.transform(F.sequence(F.lit(0), F.shiftright(F.size(a) - 1, BLOCK_BITS)), lambda j: F.aggregate(F.slice(a, j * BLOCK + 1, F.lit(BLOCK)), F.lit(0), lambda x, y: x + y))
+
+
+def _before(a: Column, above: Column | None = None) -> Column:
+    """The sum of the values before each one; ``above`` has that of the first of each BLOCK values."""
+
+    def at(_: Column, i: Column) -> Column:
+        if above is None:
+            return F.aggregate(F.slice(a, F.lit(1), i), F.lit(0), lambda x, y: x + y)
+        k = i.bitwiseAND(F.lit(BLOCK - 1))
+        return F.get(above, F.shiftright(i, BLOCK_BITS)) + F.aggregate(F.slice(a, i - k + 1, k), F.lit(0), lambda x, y: x + y)
+
+    # named twice, so that it stays a column of its own; named once, it would be worked out for each value
+    return F.transform(a, at) if above is None else F.when(F.size(above) > 0, F.transform(a, at))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(pieces, i))
-        return F.struct((start + F.length(F.get(matches, i))).alias("at"), F.array_append(acc["all"], start).alias("all"))
 
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), none, step, lambda acc: acc["all"])
+def _lengths(rank: int) -> Column:
+    """How far each match's end lies from the end before."""
+    return F.transform(F.col(f"_m{rank}"), lambda m, i: F.length(F.get(F.col(f"_p{rank}"), i)) + F.length(m))
 
 
 def _found(rank: int, kind: Kind) -> Column:
@@ -107,12 +121,13 @@ def _found(rank: int, kind: Kind) -> Column:
     pieces, matches = F.col(f"_p{rank}"), F.col(f"_m{rank}")
 
     def span(value: Column, i: Column) -> Column:
-        start = F.get(F.col(f"_s{rank}"), i)
+        start = F.get(F.col(f"_s{rank}"), i) + F.length(F.get(pieces, i))
         near = F.lower(F.concat(F.right(F.get(pieces, i), F.lit(BEFORE)), F.lit(" "), F.left(F.get(pieces, i + 1), F.lit(AFTER))))
         score = F.lit(kind.score) + F.when(near.rlike(rf"\b(?:{kind.context})"), BONUS).otherwise(0.0)
         return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), (start + F.length(value)).alias("end"), value.alias("value"), F.least(score, F.lit(1.0)).alias("score"))
 
-    return F.filter(F.transform(matches, span), lambda s: _valid(kind.name, s["value"]) & ((F.lit(rank) < BASE) | (s["score"] >= LEAST)))
+    spans = F.when(F.size(f"_s{rank}") > 0, F.transform(matches, span))
+    return F.filter(spans, lambda s: _valid(kind.name, s["value"]) & ((F.lit(rank) < BASE) | (s["score"] >= LEAST)))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -131,7 +146,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
     out = out.select("*", *(F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0)).alias(f"_m{r}") for r, k in enumerate(KINDS)))
     some = [F.size(f"_m{r}") > 0 for r in range(len(KINDS))]
     out = out.select("*", *(F.when(some[r], F.split(text, k.pattern, -1)).alias(f"_p{r}") for r, k in enumerate(KINDS)))
-    out = out.select("*", *(F.when(some[r], _starts(r)).alias(f"_s{r}") for r in range(len(KINDS))))
+    # running sums of lengths by blocks of blocks, as a fold would copy what it has so far for each match
+    steps = (("_a", _lengths), ("_b", lambda r: _sums(F.col(f"_a{r}"))), ("_c", lambda r: _sums(F.col(f"_b{r}"))), ("_d", lambda r: _before(F.col(f"_c{r}"))))
+    steps += (("_e", lambda r: _before(F.col(f"_b{r}"), F.col(f"_d{r}"))), ("_s", lambda r: _before(F.col(f"_a{r}"), F.col(f"_e{r}"))))
+    for name, step in steps:
+        out = out.select("*", *(F.when(some[r], step(r)).alias(f"{name}{r}") for r in range(len(KINDS))))
     found = [F.when(some[r], _found(r, k)).otherwise(F.array().cast(SPAN)).cast(SPAN) for r, k in enumerate(KINDS)]
     return out.select("doc_id", F.array_sort(F.concat(*found)).alias("spans"))
 

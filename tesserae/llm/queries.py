@@ -74,8 +74,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The law held is ``bytes``; the position within the shard is the slot."""
-    placed, _ = sharding.shard_documents(_table(spark, sf_dir, "documents"))
+    """The law held is ``bytes``; the position within the shard is the slot.  The map is stored and loaded again by the operator."""
+    placed, _ = sharding.shard_documents(_table(spark, sf_dir, "documents"), store=Workspace(spark, "slot_map").root)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.shared import Workspace
 
-N_SLOTS = 4096
+N_SLOTS, N_SHARDS = 4096, 8
 #: Repeated rows that may be broadcast; beyond, they are joined by a shuffle.
 MOST_REPEATS = 1_000_000
 
@@ -54,9 +54,13 @@ class SlotMap:
         table.write.mode("errorifexists").parquet(f"{store}/slot_map/version={self.version}")
         return self
 
-    def grown(self) -> SlotMap:
-        """One more shard, which is empty until the map is rebalanced."""
-        return SlotMap(self.version + 1, self.n_shards + 1, self.shard_of)
+    @property
+    def n_slots(self) -> int:
+        return len(self.shard_of)
+
+    def grown(self, n_shards: int | None = None) -> SlotMap:
+        """Further shards (one more, or up to ``n_shards``), which are empty until the map is rebalanced."""
+        return SlotMap(self.version + 1, n_shards or self.n_shards + 1, self.shard_of)
 
     def moved(self, slot: int, shard: int) -> SlotMap:
         """An edit by hand: one slot in another shard."""
@@ -108,13 +112,29 @@ def _with_slots(docs: DataFrame, n_slots: int, ws: Workspace) -> DataFrame:
     return ws.save(marked.select("doc_id", "size", "text_crc32", slot.alias("virtual_slot")), "slots")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, previous: SlotMap | None = None, store: str | None = None) -> tuple[DataFrame, SlotMap]:
+def _start(spark: SparkSession, n_shards: int | None, n_slots: int | None, previous: SlotMap | None, store: str | None) -> SlotMap:
+    """The map to start from; raises where the arguments contradict it."""
+    known = previous or (SlotMap.load(spark, store) if store else None)
+    if known is None:
+        return SlotMap.first(n_shards or N_SHARDS, n_slots or N_SLOTS)
+    if n_slots not in (None, known.n_slots):
+        raise ValueError(f"the map has {known.n_slots} slots, not {n_slots}")
+    if n_shards is not None and n_shards < known.n_shards:
+        raise ValueError(f"the map has {known.n_shards} shards; fewer would need moves by hand")
+    return known if n_shards in (None, known.n_shards) else known.grown(n_shards)
+
+
+def shard_documents(docs: DataFrame, n_shards: int | None = None, n_slots: int | None = None, previous: SlotMap | None = None, store: str | None = None) -> tuple[DataFrame, SlotMap]:
     """Deal documents out to shards of near equal bytes.
 
     Bytes and rows are summed by slot (``n_slots`` rows reach the driver,
     whatever the input).  The map to start from is ``previous``, else the
-    latest in ``store``, else slots dealt in turn; it is rebalanced by moving
-    single slots, and stored as the next version where ``store`` names a folder.
+    latest in ``store``, else ``n_slots`` slots (N_SLOTS) dealt in turn to
+    ``n_shards`` shards (N_SHARDS).  A given map has its own number of slots, and
+    another ``n_slots`` raises; more shards than it has are added, fewer
+    raise.  It is rebalanced by moving single slots.  Where ``store`` names a
+    folder, the result is stored there as the next version, loaded again, and
+    documents are dealt by what was loaded.
 
     Result: doc_id, size (UTF-8 bytes + 1; a null text has none), text_crc32
     (of no bytes for null), virtual_slot, shard and slot: the row's position
@@ -125,17 +145,20 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS,
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "sharding")
-    rows = _with_slots(docs, n_slots, ws)
+    known = _start(spark, n_shards, n_slots, previous, store)
+    rows = _with_slots(docs, known.n_slots, ws)
     by_slot = {r[0]: (r[1], r[2]) for r in rows.groupBy("virtual_slot").agg(F.sum("size"), F.count("*")).collect()}
-    known = previous or (SlotMap.load(spark, store) if store else None) or SlotMap.first(n_shards, n_slots)
     slot_map = known.rebalanced({k: v[0] for k, v in by_slot.items()})
     if store:
         slot_map.save(spark, store)
+        slot_map = SlotMap.load(spark, store, slot_map.version)
+    if unknown := [s for s in by_slot if not 0 <= s < slot_map.n_slots]:
+        raise ValueError(f"the map lacks slots of documents: {unknown[:5]}")
     start, dealt = [0] * slot_map.n_shards, []
     for slot, shard in enumerate(slot_map.shard_of):
         dealt.append((slot, shard, start[shard]))
         start[shard] += by_slot.get(slot, (0, 0))[1]
     table = spark.createDataFrame(dealt, "virtual_slot int, shard int, first_slot long")
     within = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
-    placed = rows.withColumn("nth", F.row_number().over(within)).join(F.broadcast(table), "virtual_slot")
+    placed = rows.withColumn("nth", F.row_number().over(within)).join(F.broadcast(table), "virtual_slot", "left")
     return placed.select("doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("first_slot") + F.col("nth") - 1).cast("long").alias("slot")), slot_map
