@@ -33,8 +33,8 @@ def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot, shard and slot of every document that is left."""
-    return sharding.shard_documents(docs)[0]
+    """doc_id, size, text_crc32, virtual_slot, shard and slot of every document that is left, by a stored slot map."""
+    return sharding.shard_documents(docs, store=Workspace(spark, "slot_map").root)[0]
 
 
 STAGES = [
