@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import labels
+from tesserae.operators.quantiles import quantiles
 
 KEY = "image_path"
 # What the scores take for an image without a histogram row.
@@ -34,7 +35,7 @@ def scores(quality: DataFrame, histogram: DataFrame | None = None, digits: int =
 
 def label(scored: DataFrame) -> DataFrame:
     """Labels, and the flag for a sharpness below the dataset's 10th percentile; ``blurry`` is among the labels."""
-    limit = scored.agg(F.percentile("sharpness_score", F.lit(0.1))).first()[0]
+    (limit,) = quantiles(scored, {"sharpness_score": [0.1]})["sharpness_score"]
     blurry = F.coalesce(F.col("sharpness_score") < F.lit(limit), F.lit(False))
     rules = labels.quality_masks(blurry)
     return scored.select("*", labels.joined(rules, "normal").alias("labels"), blurry.alias("is_blurry_candidate"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.quantiles import quantiles
+
 
 def melt(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Rows of keys, feature and value."""
@@ -14,44 +16,22 @@ def melt(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataF
 
 
 def column_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """feature, mean, std, variance (population), q25, q75, iqr, low, high: one pass over the rows."""
-    row = df.agg(
-        *(
-            F.struct(
-                F.lit(n).alias("feature"),
-                F.avg(n).alias("mean"),
-                F.stddev_pop(n).alias("std"),
-                F.var_pop(n).alias("variance"),
-                F.percentile(n, F.array(F.lit(0.25), F.lit(0.75))).alias("q"),
-                F.min(n).cast("double").alias("low"),
-                F.max(n).cast("double").alias("high"),
-            ).alias(n)
-            for n in names
-        )
-    )
-    flat = row.select(F.explode(F.array(*names)).alias("s")).select("s.*")
-    return flat.select("feature", "mean", "std", "variance", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("q75"), (F.get("q", F.lit(1)) - F.get("q", F.lit(0))).alias("iqr"), "low", "high")
+    """feature, mean, std, variance (population), q25, q75, iqr, low, high: a row for each column, in the plan."""
+    parts = (F.struct(F.avg(n).alias("mean"), F.stddev_pop(n).alias("std"), F.var_pop(n).alias("variance"), F.min(n).cast("double").alias("low"), F.max(n).cast("double").alias("high")).alias(n) for n in names)
+    row, q = df.agg(*parts).first(), quantiles(df, dict.fromkeys(names, (0.25, 0.75)))
+    rows = []
+    for n in names:
+        s, (q25, q75) = row[n], q[n]
+        rows.append((n, s["mean"], s["std"], s["variance"], q25, q75, None if q25 is None else q75 - q25, s["low"], s["high"]))
+    return df.sparkSession.createDataFrame(rows, "feature string, mean double, std double, variance double, q25 double, q75 double, iqr double, low double, high double").coalesce(1)
 
 
 def acceptance(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """field, count, min, p05, mean, median, p95, max and std (of a sample) of numeric columns; missing values don't count."""
-    row = df.agg(
-        *(
-            F.struct(
-                F.lit(n).alias("field"),
-                F.count(n).alias("count"),
-                F.min(n).cast("double").alias("min"),
-                F.percentile(n, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"),
-                F.avg(n).alias("mean"),
-                F.max(n).cast("double").alias("max"),
-                F.stddev_samp(n).alias("std"),
-            ).alias(n)
-            for n in fields
-        )
-    )
-    flat = row.select(F.explode(F.array(*fields)).alias("s")).select("s.*")
-    q = lambda k: F.get("q", F.lit(k))
-    return flat.select("field", "count", "min", q(0).alias("p05"), "mean", q(1).alias("median"), q(2).alias("p95"), "max", "std").where("count > 0")
+    parts = (F.struct(F.count(n).alias("count"), F.min(n).cast("double").alias("min"), F.avg(n).alias("mean"), F.max(n).cast("double").alias("max"), F.stddev_samp(n).alias("std")).alias(n) for n in fields)
+    row, q = df.agg(*parts).first(), quantiles(df, dict.fromkeys(fields, (0.05, 0.5, 0.95)))
+    rows = [(n, row[n]["count"], row[n]["min"], q[n][0], row[n]["mean"], q[n][1], q[n][2], row[n]["max"], row[n]["std"]) for n in fields if row[n]["count"]]
+    return df.sparkSession.createDataFrame(rows, "field string, count long, min double, p05 double, mean double, median double, p95 double, max double, std double").coalesce(1)
 
 
 def checksums(df: DataFrame, group: str, key: Column) -> DataFrame:
@@ -196,8 +176,8 @@ def percentile_ranks(df: DataFrame, names: Sequence[str], cluster: str = "cluste
 
 def entropy(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """feature, entropy (nats) of a histogram of min(50, n // 10 + 1) equal bins."""
-    bounds = {r["feature"]: (r["low"], r["high"]) for r in column_stats(df, names).collect()}
-    n = df.count()
+    row = df.agg(F.count("*").alias("n"), *(F.struct(F.min(f).cast("double"), F.max(f).cast("double")).alias(f) for f in names)).first()
+    bounds, n = {f: row[f] for f in names}, row["n"]
     bins = min(50, n // 10 + 1)
 
     def at(name: str) -> Column:
@@ -272,9 +252,9 @@ def contribution(df: DataFrame, names: Sequence[str], mi: DataFrame, cluster: st
 
 def robust_scale(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Columns less their median, by their IQR (1 where it is 0)."""
-    row = df.agg(*(F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(n) for n in names)).first()
-    scale = lambda n: (F.col(n) - F.lit(row[n][1])) / F.lit((row[n][2] - row[n][0]) or 1.0)
-    return df.withColumns({n: scale(n) for n in names if row[n]})
+    q = quantiles(df, dict.fromkeys(names, (0.25, 0.5, 0.75)))
+    scale = lambda n: (F.col(n) - F.lit(q[n][1])) / F.lit((q[n][2] - q[n][0]) or 1.0)
+    return df.withColumns({n: scale(n) for n in names if q[n][1] is not None})
 
 
 def standard_scale(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -40,11 +40,84 @@ def test_coarse_calibration_reaches_targets(frame):
     rates = {r["label"]: r["rate"] for r in calibrate.label_rates(frame, tuned).collect()}
     assert 0.05 <= rates["low_key"] <= 0.30 and 0.05 <= rates["muted"] <= 0.40
     assert calibrate.penalty(frame, tuned) <= calibrate.penalty(frame, LabelConfig())
-    best, score = calibrate.search(frame, tuned, trials=3, source="s")
-    assert score <= calibrate.penalty(frame, tuned, base=tuned, source="s")
     assert isinstance(calibrate.recommendation(frame, LabelConfig(), tuned), list)
 
 
+def test_coarse_calibration_moves_both_kinds_of_rules_the_right_way(spark):
+    rows = [(k / 1000, 2 + 2 * k / 1000, None if k % 2 else k / 1000) for k in range(1000)]
+    df = spark.createDataFrame(rows, "brightness_dark_ratio double, brightness_entropy double, hue_warm_ratio double")
+    for f in ("brightness_bright_ratio", "saturation_low_ratio", "saturation_high_ratio", "hue_cool_ratio", "hue_entropy"):
+        df = df.withColumn(f, F.lit(None).cast("double"))
+    start = LabelConfig(low_key_dark_ratio=0.999, flat_light_entropy=2.02, warm_ratio=0.1)
+    tuned = calibrate.coarse(df, start, {"low_key": (0.1, 0.3), "flat_light": (0.05, 0.3), "warm": (0.05, 0.2)})
+    rate = lambda f, t, above: calibrate.hit_rates(df, f, [t], above)[0]
+    assert rate("brightness_dark_ratio", tuned.low_key_dark_ratio, True) == pytest.approx(0.1, abs=0.002)
+    assert rate("brightness_entropy", tuned.flat_light_entropy, False) == pytest.approx(0.05, abs=0.002)
+    assert rate("hue_warm_ratio", tuned.warm_ratio, True) == pytest.approx(0.2, abs=0.002)
+    assert tuned.cool_ratio == start.cool_ratio  # a field without values says nothing
+    assert calibrate.coarse(df.limit(0), start) == start
+
+
+def rates_by_numpy(pdf, configs, source=None):
+    out = []
+    for k, c in enumerate(configs):
+        groups = [(None, pdf)] + (list(pdf.groupby(source)) if source else [])
+        for name, g in groups:
+            m = {
+                "low_key": g.brightness_dark_ratio > c.low_key_dark_ratio, "high_key": g.brightness_bright_ratio > c.high_key_bright_ratio,
+                "high_contrast": (g.brightness_dark_ratio > c.high_contrast_dark_ratio) & (g.brightness_bright_ratio > c.high_contrast_bright_ratio),
+                "flat_light": g.brightness_entropy < c.flat_light_entropy, "muted": g.saturation_low_ratio > c.muted_low_sat_ratio, "vivid": g.saturation_high_ratio > c.vivid_high_sat_ratio,
+                "warm": g.hue_warm_ratio > c.warm_ratio, "cool": g.hue_cool_ratio > c.cool_ratio, "mixed_color": g.hue_entropy > c.mixed_color_entropy,
+            }
+            none = ~np.logical_or.reduce([v.to_numpy() for v in m.values()])
+            line = (g.brightness_bright_ratio > c.lineart_bright_ratio) & (g.saturation_low_ratio > c.lineart_low_sat_ratio) & (g.brightness_dark_ratio > c.lineart_dark_ratio)
+            m |= {"lineart_like_candidate": line, "unclassified": none, "warm_and_cool": m["warm"] & m["cool"]}
+            out += [(k, name, n, float(np.mean(v))) for n, v in m.items()]
+    return out
+
+
+def test_rates_of_several_configurations_in_one_scan(frame):
+    configs = [LabelConfig(), LabelConfig(warm_ratio=0.2, flat_light_entropy=3.5, lineart_dark_ratio=0.1)]
+    for source in (None, "s"):
+        got = {(r["config"], r["s"] if source else None, r["label"]): r["rate"] for r in calibrate.config_rates(frame, configs, source).collect()}
+        want = {x[:3]: x[3] for x in rates_by_numpy(frame.toPandas(), configs, source)}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_parzen_search_beats_uniform_search(frame, monkeypatch):
+    pdf, scans = frame.toPandas(), []
+
+    def penalties(df, configs, targets, base=None, source=None, weights=None):
+        scans.append(len(configs))
+        found = [{} for _ in configs]
+        for k, s, label, rate in rates_by_numpy(pdf, configs, source):
+            found[k].setdefault(s, {})[label] = rate
+        return [calibrate._penalty(c, r, targets, base, weights or {}) for c, r in zip(configs, found, strict=True)]
+
+    start = LabelConfig()
+    targets = {"low_key": (0.02, 0.04), "high_key": (0.60, 0.65), "muted": (0.28, 0.30), "vivid": (0.70, 0.75), "warm": (0.45, 0.5), "cool": (0.02, 0.04), "mixed_color": (0.30, 0.33)}
+    space = {n: (0.02, 0.98) for n in calibrate.REACH} | {"mixed_color_entropy": (2.0, 4.5)}
+    spark_scores = [calibrate.penalties(frame, [start], targets, start), calibrate.penalties(frame, [start], targets, start, "s")]
+    monkeypatch.setattr(calibrate, "penalties", penalties)
+    assert spark_scores == [penalties(frame, [start], targets, start), penalties(frame, [start], targets, start, "s")]
+    means = {}
+    for sampler in ("parzen", "uniform"):
+        scores = []
+        for seed in range(10):
+            scans.clear()
+            scores.append(calibrate.search(frame, start, targets, trials=40, seed=seed, space=space, sampler=sampler)[1])
+            assert len(scans) <= 5 and sum(scans) == 41
+        means[sampler] = sum(scores) / 10
+    assert means["parzen"] < 0.8 * means["uniform"]
+
+
+def test_search_by_spark_is_never_worse_than_its_start(frame):
+    best, score = calibrate.search(frame, LabelConfig(), trials=6, batch=3, source="s")
+    assert score <= calibrate.penalty(frame, LabelConfig(), base=LabelConfig(), source="s")
+    assert score == calibrate.penalty(frame, best, base=LabelConfig(), source="s")
+    assert calibrate.search(frame, LabelConfig(), trials=0)[0] == LabelConfig()
+
+
 def test_merged_config_drops_unknown_keys():
     assert LabelConfig.merged({"warm_ratio": 0.3, "gone": 1}).warm_ratio == 0.3
 
