@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import basename, extension, rename, sanitize_filename, stem
-from tesserae.operators.slices import first_occurrences, ranked
+from tesserae.operators.slices import first_occurrences, ranked, ranked_within
 
 
 def plan(items: DataFrame, folder: str, template: str | None = None, top: int | None = None) -> DataFrame:
@@ -28,12 +28,13 @@ def plan(items: DataFrame, folder: str, template: str | None = None, top: int |
 def by_cluster(rows: DataFrame) -> DataFrame:
     """The same with a folder for each cluster, named after it; rows have image_id, path, cluster_id, cluster_name, position."""
     folder = F.concat(F.when(F.col("cluster_id") < 0, "noise").otherwise(F.format_string("cluster_%03d", F.col("cluster_id"))), F.lit("_"), F.substring(sanitize_filename(F.col("cluster_name")), 1, 80))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy("position", "image_id")))
-    return _unique(ranked.withColumn("_name", sanitize_filename(basename(F.col("path")))).withColumn("_folder", folder))
+    numbered = ranked_within(rows, ["cluster_id"], "position", "image_id")
+    return _unique(numbered.withColumn("_name", sanitize_filename(basename(F.col("path")))).withColumn("_folder", folder))
 
 
 def _unique(rows: DataFrame) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("_folder", "_name").orderBy("rank", "image_id")) - 1
+    rows = ranked_within(rows, ["_folder", "_name"], "rank", "image_id", name="_nth")
+    nth = F.col("_nth") - 1
     name = F.when(nth == 0, F.col("_name")).otherwise(F.concat(stem(F.col("_name")), F.lit("_"), nth, extension(F.col("_name"))))
     return rows.select("rank", "image_id", "path", F.concat(F.col("_folder"), F.lit("/"), name).alias("target"))
 

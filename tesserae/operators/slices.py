@@ -149,7 +149,7 @@ def union_ids(*lists: DataFrame, key: str = "image_id") -> DataFrame:
     return out.distinct()
 
 
-def ranked(rows: DataFrame, *by: str, name: str = "rank") -> DataFrame:
+def ranked(rows: DataFrame, *by: str, name: str = "rank", kind: str = "int") -> DataFrame:
     """``rows`` with their place from 1 in a total order, without bringing them into one task.
 
     A range-partitioned sort numbers the rows of each part; the parts' sizes
@@ -160,12 +160,25 @@ def ranked(rows: DataFrame, *by: str, name: str = "rank") -> DataFrame:
     sizes = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
     start, offsets = 0, []
     for r in sizes:
-        offsets += [F.lit(r["part"]), F.lit(start)]
+        offsets += [F.lit(r["part"]), F.lit(start).cast("long")]
         start += r["n"]
     if not offsets:
-        return ordered.withColumn(name, F.lit(0)).drop("_at")
+        return ordered.withColumn(name, F.lit(0).cast(kind)).drop("_at")
     within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return ordered.withColumn(name, (F.create_map(*offsets)[part] + within + 1).cast("int")).drop("_at")
+    return ordered.withColumn(name, (F.create_map(*offsets)[part] + within + 1).cast(kind)).drop("_at")
+
+
+def ranked_within(rows: DataFrame, groups: list[str], *by: str, name: str = "rank") -> DataFrame:
+    """``rows`` with their place from 1 within their group, in a total order; a group of any size spreads over tasks.
+
+    All rows are numbered at once, by group; the number of a group's first row
+    is taken off.  Nulls are a group.
+    """
+    numbered = ranked(rows, *groups, *by, name="_all", kind="long")
+    first = numbered.groupBy(*groups).agg(F.min("_all").alias("_first"))
+    first = first.select("_first", *(F.col(g).alias(f"_of_{g}") for g in groups))
+    same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in groups))
+    return numbered.join(first, same).withColumn(name, (F.col("_all") - F.col("_first") + 1).cast("int")).drop("_all", "_first", *(f"_of_{g}" for g in groups))
 
 
 def flatten_cart(cart: DataFrame) -> DataFrame:
