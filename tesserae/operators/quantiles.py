@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.sources.storage import written
+
 #: Places of the sketch that are asked for, and its accuracy: ranks are right within a share of 1 / ACCURACY.
 GRID, ACCURACY = 100, 1_000
 #: Rows that are fetched to finish, at most.
@@ -56,7 +58,7 @@ class _Wanted:
 
     @property
     def column(self) -> Column:
-        return F.col(self.name).cast("double")
+        return F.col(self.name)
 
     @property
     def between(self) -> Column:
@@ -79,6 +81,11 @@ class _Wanted:
         a, b = self._at(self.low, ordered), self._at(self.high, ordered)
         return a if a == b or self.low == self.high else (self.high - self.position) * a + (self.position - self.low) * b
 
+    def value_of(self, ordered: Sequence[float]) -> float:
+        """The quantile, from all values in order."""
+        a, b = ordered[self.low], ordered[self.high]
+        return a if a == b or self.low == self.high else (self.high - self.position) * a + (self.position - self.low) * b
+
     def narrow(self, inside: int, first: int, sketch: Sequence[float]) -> None:
         """Tighten the ends by a sketch of ``inside`` rows, the first of which has the rank ``first``, with room for its error."""
         self.before = self.floor, self.ceiling
@@ -88,8 +95,11 @@ class _Wanted:
         self.ceiling = sketch[b] if b < GRID else self.ceiling
 
 
+_PLACES = "array(" + ", ".join(f"{k / GRID}D" for k in range(GRID + 1)) + ")"
+
+
 def _sketch(value: Column) -> Column:
-    return F.percentile_approx(value, [k / GRID for k in range(GRID + 1)], ACCURACY)
+    return F.percentile_approx(value, F.expr(_PLACES), ACCURACY)
 
 
 def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, list[float | None]]:
@@ -99,18 +109,23 @@ def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str,
     sketch for each wanted quantile, and MOST_FETCHED values at most.
     """
     names = list(wanted)
-    value = {n: F.col(n).cast("double") for n in names}
-    parts = [F.struct(F.count(n).alias("n"), F.min(value[n]).alias("min"), F.max(value[n]).alias("max"), _sketch(value[n]).alias("s")).alias(f"c{i}") for i, n in enumerate(names)]
-    row = df.agg(*parts).first() if names else ()
+    if not names:
+        return {}
+    # written once: each pass, and each of its aggregates, would work the columns out anew
+    df = written(df.select(*(F.col(n).cast("double").alias(n) for n in names)), "quantiles")
+    ends = df.agg(*(F.struct(F.count(n).alias("n"), F.min(n).alias("min"), F.max(n).alias("max")).alias(f"c{i}") for i, n in enumerate(names))).first()
+    if sum(first["n"] for first in ends) <= MOST_FETCHED:
+        return _of_few(df, wanted)
+    sketches = df.agg(*(_sketch(F.col(n)).alias(f"s{i}") for i, n in enumerate(names))).first()
     found: dict[tuple[str, float], float | None] = {}
     todo: list[_Wanted] = []
-    for n, first in zip(names, row, strict=True):
+    for n, first, sketch in zip(names, ends, sketches, strict=True):
         for p in dict.fromkeys(wanted[n]):
             if not first["n"]:
                 found[n, p] = None
                 continue
             w = _Wanted(n, p, first["n"], first["min"], first["max"])
-            w.narrow(w.n, 0, first["s"])
+            w.narrow(w.n, 0, sketch)
             todo.append(w)
     while todo:
         sketches = _count(df, todo)
@@ -128,6 +143,17 @@ def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str,
     return {n: [found[n, p] for p in wanted[n]] for n in names}
 
 
+def _of_few(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, list[float | None]]:
+    """The quantiles of a table that is as small as what would be fetched at last."""
+    names = list(wanted)
+    out = {}
+    for n, values in zip(names, zip(*df.select(*names).collect(), strict=True) if names else (), strict=False):
+        ordered = sorted((v for v in values if v is not None), key=lambda x: (x != x, x))
+        some = [_Wanted(n, p, len(ordered), ordered[0], ordered[-1]) for p in wanted[n]] if ordered else []
+        out[n] = [w.value_of(ordered) for w in some] or [None] * len(wanted[n])
+    return {n: out.get(n, [None] * len(wanted[n])) for n in names}
+
+
 def _count(df: DataFrame, todo: list[_Wanted]) -> dict[tuple[str, float], list[float]]:
     """One pass: rows below, at the ends and strictly between them; and a sketch of the last."""
     parts = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import labels, scalars
-from tesserae.functions.config import FEATURE_GROUPS, FEATURES, LabelConfig
-from tesserae.operators import calibrate, cluster, dedup, experiments, export, histogram, metrics, naming, overlay, quality, sampling, slices, stats
+from tesserae.functions.config import FEATURE_GROUPS, FEATURES, SINGLE_RULES, TARGET_RANGES, LabelConfig
+from tesserae.operators import calibrate, cart, channels, cluster, dedup, experiments, export, histogram, metrics, naming, overlay, quality, sampling, slices, stats
 from tesserae.operators.graph import cut
 from tesserae.plans import views
 from tesserae.plans.views import BANK_SQL, FEATURES_SQL, HASHES_CTE, METADATA_SQL, PART_HISTOGRAM_SQL, QUALITY_SQL, table
+from tesserae.sources import copies, storage
+from tesserae.sources.previews import Previews
+from tesserae.streaming import jobs
 
 DIGITS = 6
 #: Thresholds that differ from the defaults, to compare configurations on the views.
@@ -815,6 +819,144 @@ def contained_paths(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), export.contained(path, ["data/src0", "data/src1/"]).alias("inside"))
 
 
+# ---- calibration in one scan ------------------------------------------------------------------------------------
+
+_CONFIGS = (LabelConfig(), SHIFTED, LabelConfig(warm_ratio=0.35, cool_ratio=0.35, high_contrast_dark_ratio=0.2, high_contrast_bright_ratio=0.2))
+
+
+def _config_rates_sql() -> str:
+    none = " OR ".join(f"x_{k}" for k in RULES if k != "lineart_like_candidate")
+    hits = ", ".join(f"('{k}', x_{k})" for k in RULES) + f", ('unclassified', NOT ({none})), ('warm_and_cool', x_warm AND x_cool)"
+    one = [f"SELECT {k} AS config, source, u.label, avg(u.hit::INTEGER::DOUBLE) AS rate FROM (SELECT source, {_masks_sql(c, 'x_')} FROM masks), LATERAL (VALUES {hits}) u(label, hit) GROUP BY GROUPING SETS ((source, u.label), (u.label))" for k, c in enumerate(_CONFIGS)]
+    return f"WITH {_summary_sql()} " + " UNION ALL ".join(one)
+
+
+@_query(_config_rates_sql(), "rate")
+def config_rates(spark, sf_dir):
+    return calibrate.config_rates(_channel(spark, sf_dir), _CONFIGS, "source")
+
+
+def _coarse_sql() -> str:
+    start, targets = LabelConfig(), TARGET_RANGES["default"]
+    fields = ", ".join(f"('{n}', {f})" for _, n, f, _ in SINGLE_RULES)
+    rules = ", ".join(f"('{n}', {getattr(start, n)}, {op == '>'}, {targets.get(k, (0.05, 0.30))[0]}, {targets.get(k, (0.05, 0.30))[1]})" for k, n, _, op in SINGLE_RULES)
+    return f"""WITH {_summary_sql()}, f AS (SELECT u.name, u.v FROM summary, LATERAL (VALUES {fields}) u(name, v)),
+rules(name, t, above, low, high) AS (VALUES {rules}),
+rates AS (SELECT name, any_value(t)::DOUBLE AS t, any_value(above) AS above, any_value(low)::DOUBLE AS low, any_value(high)::DOUBLE AS high, avg(coalesce(CASE WHEN above THEN v > t ELSE v < t END, false)::INTEGER::DOUBLE) AS rate, count(v) AS known, count(*) AS n FROM f JOIN rules USING (name) GROUP BY name),
+shares AS (SELECT *, least(1.0, (CASE WHEN rate < low THEN low ELSE high END) * n / known) AS share FROM rates),
+places AS (SELECT *, (CASE WHEN above THEN 1 - share ELSE share END) * (known - 1) AS pos FROM shares),
+ordered AS (SELECT name, v, row_number() OVER (PARTITION BY name ORDER BY v) - 1 AS k FROM f WHERE v IS NOT NULL),
+moved AS (SELECT p.name, CASE WHEN floor(pos) = ceil(pos) THEN a.v ELSE (ceil(pos) - pos) * a.v + (pos - floor(pos)) * b.v END AS v FROM places p JOIN ordered a ON a.name = p.name AND a.k = floor(pos) JOIN ordered b ON b.name = p.name AND b.k = ceil(pos))
+SELECT name AS threshold, round(CASE WHEN known = 0 OR rate BETWEEN low AND high THEN t ELSE v END, 4) AS value FROM places LEFT JOIN moved USING (name)"""
+
+
+@_query(_coarse_sql(), "value")
+def coarse_thresholds(spark, sf_dir):
+    tuned = calibrate.coarse(_channel(spark, sf_dir))
+    return spark.createDataFrame([(n, round(float(getattr(tuned, n)), 4)) for _, n, _, _ in SINGLE_RULES], "threshold string, value double")
+
+
+# ---- jobs, carts, channels --------------------------------------------------------------------------------------
+
+_JOB_KINDS = "CASE event_type WHEN 'signup' THEN CASE WHEN event_id % 3 = 0 THEN 'restarted' ELSE 'submitted' END WHEN 'view' THEN 'progress' WHEN 'click' THEN 'started' WHEN 'error' THEN CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'noise' END WHEN 'purchase' THEN CASE event_id % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'cancel' ELSE 'noise' END END"
+_NOW, _SILENT_HOURS = "2024-01-30 00:00:00", 36
+
+
+@_query(f"""WITH e AS (SELECT user_id::VARCHAR AS job_id, ts AS moment, event_id AS seq, {_JOB_KINDS} AS kind, value FROM events),
+known AS (SELECT *, {{'moment': moment, 'seq': seq}} AS t FROM e WHERE kind <> 'noise' AND job_id IS NOT NULL AND moment IS NOT NULL),
+begun AS (SELECT job_id, max(t) FILTER (kind IN ('submitted', 'restarted')) AS begun, count(*) FILTER (kind IN ('submitted', 'restarted')) AS n_attempts FROM known GROUP BY job_id),
+last AS (SELECT known.*, begun, n_attempts FROM known JOIN begun USING (job_id) WHERE begun IS NULL OR t >= begun),
+ended AS (SELECT job_id, arg_min(kind, t) AS ending, min(t) AS ended FROM last WHERE kind IN ('done', 'failed', 'cancelled') GROUP BY job_id),
+upto AS (SELECT last.*, ending, ended FROM last LEFT JOIN ended USING (job_id) WHERE ended IS NULL OR t <= ended),
+j AS (SELECT job_id, any_value(ending) AS ending, any_value(begun.moment) AS begun_at, any_value(ended.moment) AS ended_at, max(moment) AS seen_at, bool_or(kind IN ('started', 'progress')) AS runs, bool_or(kind = 'cancel') AS cancels,
+  arg_max(value, t) FILTER (kind = 'progress' AND value IS NOT NULL) AS progress, any_value(n_attempts) AS n_attempts FROM upto GROUP BY job_id)
+SELECT job_id, CASE WHEN ending IS NOT NULL THEN ending WHEN (runs OR cancels) AND epoch_ms(TIMESTAMP '{_NOW}') - epoch_ms(seen_at) > {_SILENT_HOURS * 3_600_000} THEN 'interrupted' WHEN cancels THEN 'cancelling' WHEN runs THEN 'running' ELSE 'queued' END AS status,
+  begun_at, seen_at, ended_at, progress, n_attempts FROM j""", "progress")
+def job_states(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.expr(_JOB_KINDS).alias("kind"), "value")
+    return jobs.job_states(e, F.lit(_NOW).cast("timestamp"), _SILENT_HOURS * 3_600_000)
+
+
+_CART_KINDS = "CASE event_type WHEN 'view' THEN 'add' WHEN 'click' THEN 'toggle' WHEN 'error' THEN 'remove' WHEN 'purchase' THEN 'reorder' WHEN 'signup' THEN CASE WHEN event_id % 9 = 0 THEN 'clear' ELSE 'top_n' END END"
+_CART_VALUE = "CASE WHEN event_type = 'signup' THEN 2.0 + event_id % 5 ELSE value END"
+
+
+@_query(f"""WITH e AS (SELECT user_id AS cart_id, event_id * 7 % 11 AS item, event_id AS seq, {_CART_KINDS} AS kind, {_CART_VALUE} AS value FROM events),
+cart AS (SELECT cart_id, max(seq) FILTER (kind = 'clear') AS cleared, arg_max(value, seq) FILTER (kind = 'top_n') AS top FROM e GROUP BY cart_id),
+runs AS (SELECT cart_id, item, list([CASE kind WHEN 'add' THEN 1 WHEN 'remove' THEN 2 WHEN 'toggle' THEN 3 ELSE 4 END, CASE WHEN kind = 'reorder' THEN value ELSE seq END]::DOUBLE[] ORDER BY seq) AS ops
+  FROM e JOIN cart USING (cart_id) WHERE kind IN ('add', 'remove', 'toggle', 'reorder') AND (cleared IS NULL OR seq > cleared) GROUP BY ALL),
+states AS (SELECT cart_id, item, list_reduce(list_concat([[0, 0]::DOUBLE[]], ops), lambda s, o: CASE
+    WHEN o[1] = 1 OR (o[1] = 3 AND s[1] = 0) THEN CASE WHEN s[1] = 1 THEN s ELSE [1.0, o[2]] END
+    WHEN o[1] = 4 THEN CASE WHEN s[1] = 1 THEN [1.0, o[2]] ELSE s END ELSE [0.0, 0.0] END) AS s FROM runs),
+held AS (SELECT cart_id, item, row_number() OVER (PARTITION BY cart_id ORDER BY s[2], item)::INTEGER AS position FROM states WHERE s[1] = 1)
+SELECT cart_id, item, position FROM held JOIN cart USING (cart_id) WHERE top IS NULL OR position <= top""")
+def cart_contents(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("cart_id"), F.expr("event_id * 7 % 11").alias("item"), F.col("event_id").alias("seq"), F.expr(_CART_KINDS).alias("kind"), F.expr(_CART_VALUE).alias("value"))
+    return cart.cart_state(e)
+
+
+#: What the four channels are built from, and the fields that are for debugging.
+REGISTRY = channels.Registry((
+    channels.Channel("histogram", lambda t: t["histogram"], "vec_id", labels.LABELS, ("histogram_outlier_score",)),
+    channels.Channel("quality_edge", lambda t: t["quality_edge"], "image_path", ("blurry", "sharp", "edge_heavy", "lineart_v2", "high_contrast_v2"), ("lineart_score_v2", "high_contrast_score_v2", "flat_color_score")),
+    channels.Channel("basic_metadata", lambda t: t["basic_metadata"], "image_path", (), ("transparent_ratio",)),
+    channels.Channel("duplicate_groups", lambda t: t["duplicate_groups"], "path"),
+    channels.Channel("model_plugins"),
+))
+
+
+def _capabilities_sql() -> str:
+    tables = {"histogram": f"WITH {_summary_sql()} SELECT * FROM summary", "quality_edge": f"{_QUALITY} SELECT * FROM channel", "basic_metadata": METADATA_SQL, "duplicate_groups": f"WITH {_EXACT} SELECT file_size, sha256, path, group_id, image_count FROM exact"}
+    of = lambda values: "[" + ", ".join(f"'{v}'" for v in sorted(values)) + "]::VARCHAR[]"
+    rows = []
+    for name, c in sorted(REGISTRY.channels.items()):
+        numeric = "column_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'HUGEINT', 'FLOAT', 'DOUBLE') OR column_type LIKE 'DECIMAL%'"
+        if name not in tables:
+            rows.append(f"SELECT '{name}' AS channel, false AS built, false AS buildable, 0 AS field_count, '' AS sort_fields, '' AS filter_fields, '' AS debug_only_fields")
+            continue
+        fields = f"list_sort(list(column_name) FILTER (({numeric}) AND NOT list_contains({of((c.key, *c.debug))}, column_name)))"
+        debug = f"list_sort(list(column_name) FILTER (list_contains({of(c.debug)}, column_name)))"
+        rows.append(f"SELECT '{name}', true, true, len({fields})::INTEGER, array_to_string({fields}, ','), CASE WHEN bool_or(column_name = 'labels') THEN array_to_string({of(c.labels)}, ',') ELSE '' END, coalesce(array_to_string({debug}, ','), '') FROM (DESCRIBE {tables[name]})")
+    return " UNION ALL ".join(sorted(rows, key=lambda r: "AS channel" not in r))
+
+
+@_query(_capabilities_sql())
+def channel_capabilities(spark, sf_dir):
+    built = {"histogram": _channel(spark, sf_dir), "quality_edge": _quality(spark, sf_dir), "basic_metadata": views.metadata(spark, sf_dir), "duplicate_groups": dedup.exact_groups(table(spark, sf_dir, "documents"), "doc_id", "text")}
+    built = {n: REGISTRY.build(n, built) for n in built}
+    return REGISTRY.describe(spark, built).select("channel", "built", "buildable", "field_count", *(F.array_join(c, ",").alias(c) for c in ("sort_fields", "filter_fields", "debug_only_fields")))
+
+
+# ---- stores -----------------------------------------------------------------------------------------------------
+
+@_query("""WITH r AS (SELECT s_suppkey AS image_id, s_nationkey AS c, 'd' || s_suppkey % 7 || '/' || s_suppkey % 5 || '.txt' AS f, (s_suppkey || '|' || s_name) AS body FROM supplier),
+k AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY image_id) AS rank, 'cluster_' || lpad(c::VARCHAR, 3, '0') || '_n' AS folder, image_id % 5 AS name FROM r)
+SELECT image_id::VARCHAR AS image_id, rank::INTEGER AS rank, folder || '/' || name || CASE WHEN row_number() OVER w = 1 THEN '' ELSE '_' || (row_number() OVER w - 1) END || '.txt' AS target, 'copied' AS status, octet_length(encode(body))::BIGINT AS bytes, sha256(body) AS sha256
+FROM k WINDOW w AS (PARTITION BY folder, name ORDER BY rank, image_id)""")
+def export_copies(spark, sf_dir):
+    """A file for each supplier, copied into a folder for each nation: the status rows of the record."""
+    root = storage.shared_root(spark) + f"/export-{uuid.uuid4().hex}"
+    k = F.col("s_suppkey")
+    files = table(spark, sf_dir, "supplier").select(k.alias("image_id"), F.col("s_nationkey").cast("int").alias("cluster_id"), F.lit("n").alias("cluster_name"), k.alias("position"), F.concat_ws("|", k, "s_name").alias("body"))
+    # the folder keeps equal names apart
+    files = files.withColumn("path", F.concat(F.lit(f"{root}/in/d"), F.col("image_id") % 7, F.lit("/"), F.col("image_id"), F.lit("/"), F.col("image_id") % 5, F.lit(".txt")))
+    copies.write_files(files.select("path", "body")).count()
+    plan = export.by_cluster(files.drop("body"))
+    copies.export(plan, f"{root}/out", [f"{root}/in"], f"{root}/records", "suppliers")
+    return copies.record_rows(spark, f"{root}/records", "suppliers").select("image_id", "rank", "target", "status", "bytes", "sha256")
+
+
+@_query(f"""WITH f AS ({FEATURES_SQL}), p AS (SELECT cluster_id AS old_cluster, CASE WHEN vec_id % 4 = 0 THEN -1 ELSE cluster_id END AS new_cluster FROM f)
+SELECT old_cluster::INTEGER AS old_cluster, new_cluster::INTEGER AS new_cluster, count(*) AS count FROM p GROUP BY ALL""")
+def preview_diff(spark, sf_dir):
+    """A preview is applied, a second one made against it: how many rows go from which label to which."""
+    job = Previews(spark, storage.shared_root(spark) + f"/previews-{uuid.uuid4().hex}")
+    points = views.features(spark, sf_dir).select(F.col("vec_id").cast("string").alias("image_id"), "cluster_id", F.col("vec_id").alias("_v"))
+    job.apply(job.create(points.drop("_v"), {"name": "first"}, {}))
+    second = points.withColumn("cluster_id", F.when(F.col("_v") % 4 == 0, -1).otherwise(F.col("cluster_id"))).drop("_v")
+    return job.get(job.create(second, {"name": "second"}, {}))["diff"]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q.run for name, q in QUERIES.items()}
 

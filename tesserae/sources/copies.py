@@ -69,6 +69,21 @@ def copy_file(source: str, root: str, target: str, attempt: str) -> tuple[str, i
         return FAILED, None, None, str(e)[:200]
 
 
+def write_files(files: DataFrame) -> DataFrame:
+    """path and bytes of files written from rows (path, body); an existing file is replaced."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, body in batch[["path", "body"]].itertuples(index=False):
+                store, at = storage.opened(path)
+                store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(at) as out:
+                    out.write(body.encode())
+            yield pd.DataFrame({"path": batch["path"], "bytes": [len(b.encode()) for b in batch["body"]]})
+
+    return files.select("path", "body").mapInPandas(run, "path string, bytes long")
+
+
 def copy(plan: DataFrame, root: str, roots: list[str]) -> DataFrame:
     """Status rows (see STATUS) of a plan (rank, image_id, path, target) whose targets lie under ``root``.
 

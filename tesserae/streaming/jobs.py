@@ -44,7 +44,7 @@ def job_states(events: DataFrame, now, silence: int = SILENCE) -> DataFrame:
         F.first("begun").alias("begun"), F.first("n_attempts").alias("n_attempts"), F.first("end").alias("end"), F.first("ended").alias("ended"), F.max("t").alias("seen"),
         is_(*RUNS).alias("runs"), is_("cancel").alias("cancels"), F.max_by("value", F.when((F.col("kind") == "progress") & F.col("value").isNotNull(), F.col("t"))).alias("progress"),
     )
-    silent = (F.unix_millis(now) - F.unix_millis(F.col("seen.at"))) > silence
+    silent = (F.unix_millis(now) - F.unix_millis(F.col("seen.at").cast("timestamp"))) > silence
     active = F.col("runs") | F.col("cancels")
     status = F.when(F.col("end").isNotNull(), F.col("end")).when(active & silent, "interrupted").when(F.col("cancels"), "cancelling").when(F.col("runs"), "running").otherwise("queued")
     return by.select("job_id", status.alias("status"), F.col("begun.at").alias("begun_at"), F.col("seen.at").alias("seen_at"), F.col("ended.at").alias("ended_at"), "progress", "n_attempts")

@@ -1,4 +1,4 @@
-"""Carts against a plain loop over their events."""
+"""Carts against a plain loop over their events; ranks within groups; the channel registry."""
 
 import functools
 import random
@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import cart, export, slices
+from tesserae.operators import cart, channels, export, slices
 
 SCHEMA = "cart_id long, item string, seq long, kind string, value double"
 
@@ -93,3 +93,42 @@ def test_by_cluster_has_no_task_with_a_whole_cluster(spark):
     assert plan.select("target").distinct().count() == 4000
     sizes = [r["n"] for r in slices.ranked(rows, "cluster_id", "position").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+
+
+# ---- channel registry -------------------------------------------------------------------------------------------
+
+
+@pytest.fixture
+def registry(spark):
+    table = spark.createDataFrame([(f"p{k}", k, k / 7, "warm;low_key" if k % 3 == 0 else "cool", k * 1.5) for k in range(30)], "image_path string, width int, ratio double, labels string, secret double")
+    reg = channels.Registry([channels.Channel("histogram", lambda t: t["in"], labels=("warm", "cool", "low_key"), debug=("secret",)), channels.Channel("plugins")])
+    return reg, {"in": table}
+
+
+def test_registry_builds_describes_and_extends(spark, registry):
+    reg, inputs = registry
+    reg.extend("histogram", "twice", F.col("width") * 2)
+    reg.extend("histogram", "hidden", F.col("ratio") + 1, debug=True)
+    table = reg.build("histogram", inputs)
+    rows = {r["channel"]: r for r in reg.describe(spark, {"histogram": table}).collect()}
+    h = rows["histogram"]
+    assert (h["built"], h["sort_fields"], h["filter_fields"], h["debug_only_fields"]) == (True, ["ratio", "twice", "width"], ["cool", "low_key", "warm"], ["hidden", "secret"])
+    assert rows["plugins"]["built"] is False and rows["plugins"]["buildable"] is False and rows["plugins"]["field_count"] == 0
+    for wrong in (lambda: reg.build("none", inputs), lambda: reg.build("plugins", inputs), lambda: reg.extend("histogram", "twice", F.lit(1))):
+        with pytest.raises(channels.Refused):
+            wrong()
+    reg.extend("histogram", "width", F.lit(1))
+    with pytest.raises(channels.Refused):
+        reg.build("histogram", inputs)
+
+
+def test_registry_answers_only_what_a_channel_can(spark, registry):
+    reg, inputs = registry
+    table = reg.build("histogram", inputs)
+    rows, total = reg.page("histogram", table, "ratio", label="warm", where="width > 3 AND labels LIKE '%low%'", limit=4)
+    assert total == 8 and [r["width"] for r in rows.collect()] == [27, 24, 21, 18]
+    assert reg.page("histogram", table, "secret", debug=True)[1] == 30
+    bad = (dict(sort_by="secret"), dict(sort_by="none"), dict(sort_by="ratio", label="blurry"), dict(sort_by="ratio", where="secret > 1"), dict(sort_by="ratio", where="1 = "), dict(sort_by="ratio", where="width > (SELECT 1)"), dict(sort_by="ratio", where="EXISTS (SELECT 1)"), dict(sort_by="ratio", where="none > 1"))
+    for request in bad:
+        with pytest.raises(channels.Refused):
+            reg.page("histogram", table, **request)
