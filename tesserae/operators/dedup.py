@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tesserae.functions.scalars import hamming
 from tesserae.operators.graph import components, cut
 from tesserae.operators.overlay import merge_fields
+from tesserae.sources.storage import written
 
 # The largest distance that counts as a hit, by hash, and the hits a pair needs.
 THRESHOLDS = {"phash": 6, "dhash": 8, "whash": 8, "colorhash": 4}
@@ -22,14 +23,16 @@ WIDTHS = {"phash": 64, "dhash": 64, "whash": 64, "colorhash": 42}
 def exact_groups(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """path, file_size, sha256, group_id (the representative: the first path) and image_count of files with equal content.
 
-    Only path, size and hashes are shuffled, not contents; copies combine in
-    counts, and the join back can split a large group.  Files without content
-    are in no group.
+    Only path, size and hashes are shuffled, not contents, which are read once;
+    copies combine in counts.  Groups are written before the join back: an aggregate
+    over the join's key would keep a large group in one task, a table lets the
+    join split it.  Files without content are in no group.
     """
     raw = F.col(content).cast("binary")
     hashed = files.where(raw.isNotNull()).select(F.col(path).alias("path"), F.octet_length(raw).alias("file_size"), F.sha2(raw, 256).alias("sha256"), F.xxhash64(raw).alias("_x"))
+    hashed = written(hashed, "hashes")
     key = ["file_size", "sha256", "_x"]
-    groups = hashed.groupBy(*key).agg(F.min("path").alias("group_id"), F.count("*").alias("image_count")).where("image_count > 1")
+    groups = written(hashed.groupBy(*key).agg(F.min("path").alias("group_id"), F.count("*").alias("image_count")).where("image_count > 1"), "groups")
     return hashed.join(groups, key).drop("_x")
 
 
@@ -127,8 +130,9 @@ def perceptual_groups(hashes: DataFrame, rule: PairRule = PairRule()) -> DataFra
     named = classes.join(roots, "id", "left").select(*(F.col(n).alias(f"_{n}") for n in names), F.coalesce("root", "id").alias("group_id"), "copies")
     enough = reduce(lambda a, b: a + b, (F.when(F.col(n).isNotNull(), 1).otherwise(0) for n in names)) >= rule.min_hits
     on = reduce(lambda a, b: a & b, (F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names))
-    member = hashes.where(enough).join(named, on).select("id", "group_id")
-    counts = member.groupBy("group_id").agg(F.count("*").alias("image_count")).where("image_count > 1")
+    # written, so that the joins below may split a large class or group
+    member = written(hashes.where(enough).join(written(named, "classes"), on).select("id", "group_id"), "members")
+    counts = written(member.groupBy("group_id").agg(F.count("*").alias("image_count")).where("image_count > 1"), "counts")
     return member.join(counts, "group_id").select("id", "group_id", "image_count")
 
 

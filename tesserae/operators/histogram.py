@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import labels
 from tesserae.functions.config import LabelConfig
 from tesserae.functions.scalars import array_sum, hist_entropy
+from tesserae.sources.storage import written
 
 BRIGHTNESS_BINS, SATURATION_BINS, HUE_BINS = 16, 16, 24
 EPS = 1e-6
@@ -27,9 +28,11 @@ def histogram(values: Column, low: float, high: float, bins: int) -> Column:
 def all_residuals(df: DataFrame, hists: dict[str, int]) -> DataFrame:
     """``df`` with {hist}_z (residual by the bin's population deviation) and {hist}_outlier (its length) of each histogram.
 
-    The means and deviations of all bins are one aggregate row, so one pass
-    over the rows for all histograms together; rows aren't shuffled.
+    The rows are written once: histograms are costly to work out, and every bin's
+    aggregates would do so anew.  The means and deviations of all bins are one
+    aggregate row, so one pass for all histograms together; rows aren't shuffled.
     """
+    df = written(df, "bank")
     row = df.agg(*(f(F.get(h, F.lit(b))).alias(f"{n}_{h}_{b}") for h, bins in hists.items() for b in range(bins) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     zs = {}
     for h, bins in hists.items():
