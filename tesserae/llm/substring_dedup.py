@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -164,7 +165,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """The documents that lose sentences: doc_id, n_sentences, n_removed, n_words_removed, removed, text and kept_in.
+    """The documents that lose sentences: doc_id, text_hash, n_sentences, n_removed, n_words_removed, removed, text and kept_in.
+
+    ``text_hash`` (64 bits, of the text as it was) tells texts of one id apart.
 
     ``removed`` are ranges of sentences (counted from 0, ends exclusive) that
     are covered by a repeated run which is not its first occurrence;
@@ -185,4 +188,27 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
     texts = on_key(_keyed(docs), "gone").select("doc_id", "k", "raw", "gone")
     out = texts.mapInArrow(_removed, RESULT).where("n_removed > 0")
-    return on_key(out, "kept_in").drop("k")
+    return on_key(out, "kept_in").withColumnRenamed("k", "text_hash")
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """All rows of ``docs``, their columns as they were, each text less the sentences that :func:`dedup_substrings` removes from it.
+
+    Rows are matched by id and text, so of two texts with one id, or without
+    any, each loses its own sentences only.  A text that loses all becomes empty.
+    """
+    gone = repeated_spans(docs)
+    size = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("runs")).first()
+    few = size["rows"] + size["runs"] <= MOST_RUNS
+    # names that no column of docs has
+    mark = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in docs.columns), default=0))
+    right = gone.select(F.col("doc_id").alias(f"{mark}id"), F.col("k").alias(f"{mark}k"), F.col("gone").alias(f"{mark}gone"))
+    same = F.xxhash64(F.col("text").cast("binary")).eqNullSafe(F.col(f"{mark}k")) & F.col("doc_id").cast("long").eqNullSafe(F.col(f"{mark}id"))
+    joined = docs.join(F.broadcast(right) if few else right, same, "left")
+
+    @F.pandas_udf("string")
+    def left_over(texts: pd.Series, gone_: pd.Series) -> pd.Series:
+        return pd.Series([remove(t.encode(), g)[3].decode("utf-8", "replace") for t, g in zip(texts, gone_, strict=True)], dtype=object)
+
+    text = F.when(F.col(f"{mark}gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(left_over(F.coalesce("text", F.lit("")), F.coalesce(F.col(f"{mark}gone"), F.array().cast("array<int>"))))
+    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))

@@ -1,10 +1,12 @@
 """WARC archives: write records with an index, read selected records by coalesced byte ranges.
 
 Files are opened with ``pyarrow.fs``, so the shared folder may be a mounted
-path or any store that Arrow has a driver for.  Records follow WARC 1.1:
-each file starts with a warcinfo record, and a revisit names its response by
-WARC-Refers-To, so other readers resolve it too; ``X-Page-Id`` and
-``X-Refers-To-Page`` carry the page numbers beside that.
+path or any store that Arrow has a driver for, by its Hadoop name too.  Records
+follow WARC 1.1: each file starts with a warcinfo record, every record has an id
+of its own, and a revisit names its response by WARC-Refers-To (by target and
+date alone where a page repeats its payload), so other readers resolve it too.
+``X-Page-Id``, ``X-Page-Url`` and ``X-Refers-To-Page`` carry pages and urls as they
+are beside that.
 """
 
 from __future__ import annotations
@@ -16,15 +18,15 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.shared import Workspace, small_batches
+from tesserae.sources.storage import opened
 
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -37,6 +39,8 @@ MOST_REVISITS = 1_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Stands for the target of a record without a url.
 NO_URL = "urn:x-page:"
+#: What a header may hold as it is; the per cent sign is the escape.
+PLAIN = "".join(map(chr, range(33, 127))).replace("%", "")
 
 
 def _digest(payload: bytes) -> str:
@@ -50,7 +54,7 @@ def _record_id(page_id: int, digest: str) -> str:
 def _target(url: str | None, page_id: int | None) -> str:
     if url is None:
         return f"{NO_URL}{'none' if page_id is None else page_id}"
-    return quote(url, safe="".join(map(chr, range(33, 127))).replace("%", "") + "%")
+    return quote(url, safe=PLAIN + "%")
 
 
 def _gzip(record: bytes, level: int) -> bytes:
@@ -68,25 +72,32 @@ def _info(name: str, date: str) -> bytes:
     return _packed(["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], block)
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None, date: str) -> bytes:
-    """One record, without compression.  A revisit has the HTTP head only, whose Content-Length is that of the payload it stands for."""
+def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None, again: bool, date: str) -> bytes:
+    """One record, without compression.  A revisit has the HTTP head only, whose Content-Length is that of the payload it stands for.
+
+    Only a response that others may refer to, and of which there is one
+    (``again`` says otherwise), has an id that follows from its page.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    own = f"<urn:uuid:{uuid.uuid4()}>" if page_id is None or refers_to is not None else _record_id(page_id, digest)
+    named = page_id is not None and refers_to is None and not again
     head = [
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {own}",
+        f"WARC-Record-ID: {_record_id(page_id, digest) if named else f'<urn:uuid:{uuid.uuid4()}>'}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {_target(url, page_id)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Page-Id: {'none' if page_id is None else page_id}",
         "Content-Type: application/http; msgtype=response",
     ]
+    if url is not None:
+        head.append(f"X-Page-Url: {quote(url, safe=PLAIN)}")
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"WARC-Refers-To-Target-URI: {_target(refers_url, refers_to)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Target-URI: {_target(refers_url, refers_to)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page: {refers_to}"]
+        head += [] if again else [f"WARC-Refers-To: {_record_id(refers_to, digest)}"]
     return _packed(head, http if refers_to is not None else http + payload)
 
 
-def _writer(root: str, level: int, date: str):
+def _writer(root: str, level: int, date: str, min_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, at = None, "", 0
         for batch in batches:
@@ -94,15 +105,15 @@ def _writer(root: str, level: int, date: str):
                 continue
             if out is None:  # named after the attempt: only files that the index names count
                 name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
-                store, path = fs.FileSystem.from_uri(root)
+                store, path = opened(root)
                 store.create_dir(path, recursive=True)
                 out = store.open_output_stream(f"{path}/{name}", compression=None)
                 out.write(first := _gzip(_info(name, date), level))
                 at = len(first)
             rows = []
-            for page_id, url, payload, refers, refers_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, payload, refers, refers_url, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 digest = _digest(payload)
-                data = _gzip(_record(page_id, url, payload, digest, refers, refers_url, date), level)
+                data = _gzip(_record(page_id, url, payload, digest, refers, refers_url, bool(again) or len(payload) < min_bytes, date), level)
                 out.write(data)
                 rows.append((name, at, len(data), page_id, url, digest, "response" if refers is None else "revisit"))
                 at += len(data)
@@ -119,19 +130,22 @@ def _payload() -> Column:
 
 
 def refer(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, _sha, refers_to and refers_url for pages that repeat the payload of a smaller page_id.
+    """page_id, _sha, refers_to, refers_url and again: pages that repeat the payload of a smaller page_id, and all of a payload that a page has twice.
 
-    Payloads are equal when their SHA-1, length and 64-bit hash are.  The
-    counts combine before the shuffle, and the join back can split a payload
-    that a third of all pages share.
+    ``refers_to`` is null for the smallest page_id, ``again`` true where any page
+    repeats the payload itself.  Payloads are equal when their SHA-1, length and
+    64-bit hash are.  The counts combine before the shuffle, and the join back can
+    split a payload that a third of all pages share.
     """
     raw = _payload()
-    keys = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.sha1(raw).alias("_sha"), F.octet_length(raw).alias("_n"), F.xxhash64(raw).alias("_x")).where(F.col("_n") >= min_bytes)
-    place = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
-    firsts = keys.groupBy("_sha", "_n", "_x").agg(F.min(place).alias("_first"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
+    keys = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.sha1(raw).alias("_sha"), F.octet_length(raw).alias("_n"), F.xxhash64(raw).alias("_x"))
+    keys = keys.where((F.col("_n") >= min_bytes) & F.col("page_id").isNotNull())
+    by_page = keys.groupBy("_sha", "_n", "_x", "page_id").agg(F.min(F.struct("page_id", "url")).alias("place"), F.count("*").alias("c"))
+    firsts = by_page.groupBy("_sha", "_n", "_x").agg(F.min("place").alias("_first"), F.sum("c").alias("_c"), (F.max("c") > 1).alias("again")).where("_c > 1").drop("_c")
     firsts = Workspace(pages.sparkSession, "revisits").save(firsts, "firsts")  # a join with an aggregate's rows could not be split
-    out = keys.drop("url").join(firsts, ["_sha", "_n", "_x"]).where("page_id > _first.page_id")
-    return out.select("page_id", "_sha", F.col("_first.page_id").alias("refers_to"), F.col("_first.url").alias("refers_url")).distinct()
+    out = keys.drop("url").join(firsts, ["_sha", "_n", "_x"]).where("again OR page_id > _first.page_id")
+    later = F.col("page_id") > F.col("_first.page_id")
+    return out.select("page_id", "_sha", F.when(later, F.col("_first.page_id")).alias("refers_to"), F.when(later, F.col("_first.url")).alias("refers_url"), "again").distinct()
 
 
 def write_archives(pages: DataFrame, root: str, min_bytes: int = 0, level: int = 2, revisits: DataFrame | None = None, date: str | None = None) -> DataFrame:
@@ -150,8 +164,8 @@ def write_archives(pages: DataFrame, root: str, min_bytes: int = 0, level: int =
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("_sha"))
     known = refer(pages, min_bytes) if revisits is None else revisits
     few = revisits is not None and revisits.count() <= MOST_REVISITS
-    rows = narrow.join(F.broadcast(known) if few else known, ["page_id", "_sha"], "left").select("page_id", "url", "payload", "refers_to", "refers_url")
-    return rows.mapInArrow(_writer(root, level, date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")), INDEX)
+    rows = narrow.join(F.broadcast(known) if few else known, ["page_id", "_sha"], "left").select("page_id", "url", "payload", "refers_to", "refers_url", "again")
+    return rows.mapInArrow(_writer(root, level, date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), min_bytes), INDEX)
 
 
 def _parse(data: bytes) -> tuple:
@@ -159,18 +173,18 @@ def _parse(data: bytes) -> tuple:
     field = dict(re.findall(r"^([\w-]+): (.*)$", head.decode().replace("\r\n", "\n"), re.M))
     http, _, payload = rest[: int(field["Content-Length"])].partition(b"\r\n\r\n")
     want = field["WARC-Payload-Digest"].removeprefix("sha1:")
-    kind, page, refers, url = field["WARC-Type"], field["X-Page-Id"], field.get("X-Refers-To-Page"), field["WARC-Target-URI"]
+    kind, page, refers, url = field["WARC-Type"], field["X-Page-Id"], field.get("X-Refers-To-Page"), field.get("X-Page-Url")
     size = int(re.search(rb"^Content-Length: (\d+)", http, re.M)[1])
     if kind == "response":
         size, got = len(payload), _digest(payload)
         if got != want:
             raise ValueError(f"page {page}: the payload's digest is {got}, its record says {want}")
-    return (None if page == "none" else int(page), None if url.startswith(NO_URL) else url, size, want, kind, None if refers is None else int(refers), payload if kind == "response" else None)
+    return (None if page == "none" else int(page), None if url is None else unquote(url), size, want, kind, None if refers is None else int(refers), payload if kind == "response" else None)
 
 
 def _reader(root: str, payloads: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = fs.FileSystem.from_uri(root)
+        store, path = opened(root)
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         names = [x.split()[0] for x in READ.split(", ")]
 

@@ -221,6 +221,25 @@ def test_substring_odd(odd, empty):
     assert substring_dedup.dedup_substrings(odd).count() == 0
 
 
+def test_substring_clean_keeps_rows_and_columns(spark, docs):
+    rng = random.Random(11)
+    passage = " ".join(corpus.sentence(rng, "en", 12) for _ in range(4))
+    rows = [(2, "First here. " + passage, "x"), (2, passage + " Second here.", "y"), (None, passage, "z"), (1, passage, "w"), (1, passage, "w"), (3, None, "n"), (4, "", "e"), (5, "Alone and short.", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone string").withColumns({"k": F.lit("clash"), "_id": F.lit(1)})
+    cleaned = substring_dedup.clean(df)
+    assert cleaned.columns == df.columns
+    got = {r["gone"]: r["text"] for r in cleaned.collect()}
+    found = {(r["doc_id"], r["text"]) for r in substring_dedup.dedup_substrings(df).collect()}
+    assert cleaned.count() == len(rows) and (got["w"], got["n"], got["e"], got["s"]) == (passage, None, "", "Alone and short.")
+    assert "First here." in got["x"] and "Second here." in got["y"] and passage not in got["x"] + got["y"] and got["z"] == ""
+    assert found == {(2, got["x"]), (2, got["y"]), (None, got["z"])}
+    hashes = {(r["doc_id"], r["text_hash"]) for r in substring_dedup.dedup_substrings(df).collect()}
+    assert len(hashes) == 3 and len({h for _, h in hashes}) == 3
+    whole = {r["doc_id"]: r["text"] for r in substring_dedup.clean(docs).collect()}
+    removed = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(docs).collect()}
+    assert whole == TEXT | removed
+
+
 # ---- 3 toxicity -------------------------------------------------------------------------------------------------
 
 
@@ -655,6 +674,32 @@ def test_warc_minimum_and_empty(spark, tmp_path):
     assert warc.write_archives(pages.where("false"), root).count() == 0
 
 
+def test_warc_ids_are_unique_and_urls_come_back(spark, tmp_path):
+    urls = ["http://é.example/a b", "urn:x-page:9", "100%", "%41", "", None, "a\r\nb: c", "http://plain/"]
+    html = [(k, u, f"<p>{k}</p>") for k, u in enumerate(urls)] + [(20, "u", "same")] * 3 + [(21, "v", "same"), (30, "w", "pair"), (31, "w", "pair"), (None, None, "pair"), (None, None, "pair")]
+    pages = spark.createDataFrame(html, "page_id long, url string, html string").repartition(3)
+    root = f"file://{tmp_path}/w"
+    index = Workspace(spark, "t").save(warc.write_archives(pages, root), "index")
+    back = warc.read_records(index, root).collect()
+    assert sorted((str(r["page_id"]), str(r["url"])) for r in back) == sorted((str(p), str(u)) for p, u, _ in html)
+    assert {r["page_id"]: r["refers_to"] for r in back if r["record_type"] == "revisit"} == {21: 20, 31: 30}
+    raw = b"".join(zlib.decompress(m, 31) for f in (tmp_path / "w").iterdir() for m in members(f.read_bytes()))
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", raw)
+    assert len(ids) == len(set(ids)) >= len(html) + 1
+    refers = re.findall(rb"WARC-Refers-To: (\S+)", raw)
+    assert len(refers) == 1 and refers[0] in ids  # 31's; of page 20's three equal responses none is named
+
+
+def members(data):
+    out = []
+    while data:
+        d = zlib.decompressobj(31)
+        d.decompress(data)
+        out.append(data[: len(data) - len(d.unused_data)])
+        data = d.unused_data
+    return out
+
+
 # ---- 8 mixing ---------------------------------------------------------------------------------------------------
 
 
