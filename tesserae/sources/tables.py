@@ -71,8 +71,3 @@ def build_channel(spark: SparkSession, path: str, build, force: bool = False) ->
 def manifest(spark: SparkSession, values: dict) -> DataFrame:
     """A one-row table of a job's settings."""
     return spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "manifest string")
-
-
-def log_tail(spark: SparkSession, path: str, offset: int, limit: int) -> DataFrame:
-    """Lines of a log from the ``offset``-th, by file order of one log."""
-    return spark.read.text(path).offset(offset).limit(limit)
