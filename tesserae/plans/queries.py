@@ -14,6 +14,7 @@ from tesserae.functions.config import FEATURE_GROUPS, FEATURES, SINGLE_RULES, TA
 from tesserae.operators import calibrate, cart, channels, cluster, dedup, experiments, export, histogram, metrics, naming, overlay, quality, sampling, slices, stats
 from tesserae.operators.graph import cut
 from tesserae.plans import views
+from tesserae.plans.pixel_queries import PIXEL_QUERIES
 from tesserae.plans.views import BANK_SQL, FEATURES_SQL, HASHES_CTE, METADATA_SQL, PART_HISTOGRAM_SQL, QUALITY_SQL, table
 from tesserae.sources import copies, storage
 from tesserae.sources.previews import Previews
@@ -957,6 +958,9 @@ def preview_diff(spark, sf_dir):
     return job.get(job.create(second, {"name": "second"}, {}))["diff"]
 
 
+QUERIES |= {name: Query(build, sql, doubles) for name, (build, sql, doubles) in PIXEL_QUERIES.items()}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q.run for name, q in QUERIES.items()}
 
