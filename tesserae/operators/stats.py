@@ -17,7 +17,7 @@ def melt(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataF
 
 def column_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """feature, mean, std, variance (population), q25, q75, iqr, low, high: a row for each column, in the plan."""
-    parts = (F.struct(F.avg(n).alias("mean"), F.stddev_pop(n).alias("std"), F.var_pop(n).alias("variance"), F.min(n).cast("double").alias("low"), F.max(n).cast("double").alias("high")).alias(n) for n in names)
+    parts = (F.struct(F.avg(n).cast("double").alias("mean"), F.stddev_pop(n).cast("double").alias("std"), F.var_pop(n).cast("double").alias("variance"), F.min(n).cast("double").alias("low"), F.max(n).cast("double").alias("high")).alias(n) for n in names)
     row, q = df.agg(*parts).first(), quantiles(df, dict.fromkeys(names, (0.25, 0.75)))
     rows = []
     for n in names:
@@ -28,7 +28,7 @@ def column_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def acceptance(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """field, count, min, p05, mean, median, p95, max and std (of a sample) of numeric columns; missing values don't count."""
-    parts = (F.struct(F.count(n).alias("count"), F.min(n).cast("double").alias("min"), F.avg(n).alias("mean"), F.max(n).cast("double").alias("max"), F.stddev_samp(n).alias("std")).alias(n) for n in fields)
+    parts = (F.struct(F.count(n).alias("count"), F.min(n).cast("double").alias("min"), F.avg(n).cast("double").alias("mean"), F.max(n).cast("double").alias("max"), F.stddev_samp(n).cast("double").alias("std")).alias(n) for n in fields)
     row, q = df.agg(*parts).first(), quantiles(df, dict.fromkeys(fields, (0.05, 0.5, 0.95)))
     rows = [(n, row[n]["count"], row[n]["min"], q[n][0], row[n]["mean"], q[n][1], q[n][2], row[n]["max"], row[n]["std"]) for n in fields if row[n]["count"]]
     return df.sparkSession.createDataFrame(rows, "field string, count long, min double, p05 double, mean double, median double, p95 double, max double, std double").coalesce(1)
