@@ -6,6 +6,7 @@ import pytest
 from tests.pngs import write_png
 from tesserae.functions import kernels
 from tesserae.operators import dedup, histogram, quality
+from tesserae.plans import pixel_queries
 from tesserae.sources import images
 
 
@@ -109,3 +110,30 @@ def test_legacy_warm_cool_is_red_less_blue():
     rgb = np.zeros((4, 4, 3))
     rgb[:2, :, 0], rgb[2:, :, 2] = 1.0, 0.5
     assert kernels.legacy_warm_cool(rgb) == 0.25
+
+
+def test_stacks_measure_as_single_images_do(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k, (w, h, c) in enumerate([(8, 8, 3), (1, 1, 3), (9, 5, 4), (8, 8, 3), (40, 30, 1), (8, 8, 3)] * 3):
+        data = np.zeros((h, w, c), np.uint8) if k < 4 else rng.integers(0, 256, (h, w, c), np.uint8)
+        rows.append((f"/p{k}", w, h, c, bytearray(data.tobytes())))
+    rows += [("/bad", -1, -1, -1, bytearray()), ("/none", None, None, None, None)]
+    df = spark.createDataFrame(rows, "path string, width int, height int, nChannels int, data binary").coalesce(1)
+    groups = {"brightness": tuple("abcde"), "lighting": tuple("fghi"), "color": tuple("jklmnop"), "spatial_lighting": tuple("qrstu"), "subject_bg": ("v",)}
+    for table in (lambda x: images.feature_table(x, groups), images.histogram_bank, images.quality_table, images.shapes_and_metadata, images.hash_table):
+        flat = lambda r: np.hstack([np.ravel(v) for v in r[1:] if isinstance(v, int | float | list)])
+        whole = {r["path"]: r for r in table(df).collect()}
+        assert len(whole) == len(rows) and {p for p, r in whole.items() if r["error"]} == {"/bad", "/none"}
+        for p in ("/p2", "/p4", "/p8", "/p10"):
+            one = table(df.where(f"path = '{p}'")).first()
+            assert np.allclose(flat(one), flat(whole[p]), atol=1e-12)
+    stacked = list(images.stacks(df.where("width = 8").toPandas()))
+    assert [rgb.shape for _, rgb, _ in stacked] == [(9, 8, 8, 3)]
+
+
+def test_pictures_are_dealt_by_their_number(spark, tmp_path):
+    spark.range(0, 20_001, 1, 1).selectExpr("id AS p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    assert pixel_queries.pictures(spark, str(tmp_path)).rdd.getNumPartitions() == 5
+    spark.range(0).selectExpr("id AS p_partkey").write.parquet(str(tmp_path / "none/part.parquet"))
+    assert pixel_queries.features(spark, str(tmp_path / "none")).count() == 0
