@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators.graph import cut
@@ -59,12 +59,13 @@ def _folded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out.astype({"from_absent": "float64", "stays": "bool", "moved": "float64"})
 
 
-def _composed(frame: pd.DataFrame) -> pd.DataFrame:
-    """All functions of one item, a row for each part of the events that has it, applied to an absent item."""
-    f = IDENTITY
-    for a, stays, moved in frame.sort_values("first_seq")[["from_absent", "stays", "moved"]].itertuples(index=False):
-        f = _then(f, (None if pd.isna(a) else a, stays, None if pd.isna(moved) else moved))
-    return pd.DataFrame({"cart_id": frame["cart_id"][:1], "item": frame["item"][:1], "place": [f[0]]}).astype({"place": "float64"})
+def _composed(functions: Column) -> Column:
+    """The place to which functions of one item (first_seq and FUNCTION), one for each part of the events that has it, bring an absent one; null: absent."""
+
+    def step(place: Column, f: Column) -> Column:
+        return F.when(place.isNull(), f["from_absent"]).when(f["stays"], F.coalesce(f["moved"], place))
+
+    return F.aggregate(F.array_sort(functions), F.lit(None).cast("double"), step)
 
 
 def cart_state(events: DataFrame, parts: int | None = None) -> DataFrame:
@@ -85,6 +86,8 @@ def cart_state(events: DataFrame, parts: int | None = None) -> DataFrame:
     types = dict(items.dtypes)
     keys = f"cart_id {types['cart_id']}, item {types['item']}"
     functions = cut(dealt.sortWithinPartitions("cart_id", "seq").mapInPandas(_folded, f"{keys}, first_seq {types['seq']}, {FUNCTION}"))
-    places = functions.groupBy("cart_id", "item").applyInPandas(_composed, f"{keys}, place double").where("place IS NOT NULL AND NOT isnan(place)")
+    # an item has a function for each part of the events at most
+    found = F.collect_list(F.struct("first_seq", "from_absent", "stays", "moved"))
+    places = functions.groupBy("cart_id", "item").agg(_composed(found).alias("place")).where("place IS NOT NULL AND NOT isnan(place)")
     rows = ranked_within(places, ["cart_id"], "place", "item", name="position")
     return rows.join(whole.select("cart_id", "_top"), "cart_id").where(F.col("_top").isNull() | (F.col("position") <= F.col("_top"))).select("cart_id", "item", "position")

@@ -132,3 +132,21 @@ def test_registry_answers_only_what_a_channel_can(spark, registry):
     for request in bad:
         with pytest.raises(channels.Refused):
             reg.page("histogram", table, **request)
+
+
+def test_parts_of_an_item_compose_in_one_aggregate(spark):
+    rng = random.Random(8)
+    one = lambda k: rng.choice([("add", k, None), ("remove", k, None), ("toggle", k, None), ("reorder", k, None), ("reorder", k, -2.5)])
+    rows, want = [], {}
+    for item in range(300):
+        f = cart.IDENTITY
+        for k in range(rng.randrange(1, 7)):
+            g = cart._event(*one(float(k)))
+            f = cart._then(f, g)
+            rows.append((item, k, *g))
+        want[item] = f[0]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, f"item int, first_seq long, {cart.FUNCTION}")
+    found = df.groupBy("item").agg(cart._composed(F.collect_list(F.struct("first_seq", "from_absent", "stays", "moved"))).alias("place"))
+    assert {r["item"]: r["place"] for r in found.collect()} == want
+    assert "InPandas" not in found._jdf.queryExecution().toString()
