@@ -51,11 +51,12 @@ def residuals(df: DataFrame, hist: str, bins: int) -> DataFrame:
     return all_residuals(df, {hist: bins})
 
 
-def summary(df: DataFrame, config: LabelConfig = LabelConfig(), digits: int = 4) -> DataFrame:
+def summary(df: DataFrame, config: LabelConfig = LabelConfig(), digits: int | None = 4) -> DataFrame:
     """The 21 measures and the labels of each row, from its three histograms, hue_valid and three outlier scores.
 
-    Labels are decided on unrounded measures.  Other columns of ``df`` stay
-    in front.
+    Labels are decided on unrounded measures; without ``digits`` the measures
+    stay so, for other thresholds to be tried on them.  Other columns of ``df``
+    stay in front.
     """
     b, s, h = F.col("brightness_hist"), F.col("saturation_hist"), F.col("hue_hist")
     part = lambda x, first, n: array_sum(F.slice(x, first + 1, n))
@@ -83,7 +84,7 @@ def summary(df: DataFrame, config: LabelConfig = LabelConfig(), digits: int = 4)
     kept = [c for c in df.columns if c not in raw]
     out = df.select(*kept, *(v.alias(k) for k, v in raw.items()))
     out = out.withColumn("labels", labels.joined(labels.masks(config)))
-    return out.withColumns({k: F.round(k, digits) for k in raw if k.endswith(("ratio", "entropy", "score"))})
+    return out if digits is None else out.withColumns({k: F.round(k, digits) for k in raw if k.endswith(("ratio", "entropy", "score"))})
 
 
 def channel(df: DataFrame, config: LabelConfig = LabelConfig()) -> DataFrame:

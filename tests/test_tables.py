@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tests.pngs import write_png
 from tesserae.functions import labels, scalars
 from tesserae.functions.config import LabelConfig
-from tesserae.operators import calibrate, dedup, export, overlay, slices, stats
+from tesserae.operators import calibrate, dedup, export, histogram, overlay, slices, stats
+from tesserae.plans import queries
 from tesserae.sources import tables
 from tesserae.streaming import ingest
 
@@ -268,3 +269,19 @@ def test_slices_with_equal_rows_are_taken_once(spark):
     some = [slices.Slice("x", "c", "v", limit=2), slices.Slice("y", "c", "v", limit=2), slices.Slice("z", "c", "v", False, "v < 3")]
     got = sorted(map(tuple, slices.take_all(rows, some).collect()))
     assert got == [("x", 1, "b"), ("x", 2, "d"), ("y", 1, "b"), ("y", 2, "d"), ("z", 1, "a")]
+
+
+def test_labels_are_compared_on_unrounded_measures(spark):
+    hue, flat = [0.0] * 11 + [0.1] * 6 + [0.4] + [0.0] * 6, [1 / 16] * 16
+    row = spark.createDataFrame([("a", flat, flat, hue, True, 0.0, 0.0, 0.0)], "id string, brightness_hist array<double>, saturation_hist array<double>, hue_hist array<double>, hue_valid boolean, brightness_hist_outlier double, saturation_hist_outlier double, hue_hist_outlier double")
+    ratio = histogram.summary(row, digits=None).first()["hue_cool_ratio"]
+    at, below = LabelConfig(cool_ratio=ratio), LabelConfig(cool_ratio=float(np.nextafter(ratio, 0)))
+    measured = histogram.summary(row, below, digits=None)
+    assert "cool" in measured.first()["labels"].split(";")
+    assert calibrate.compare(measured, below, at, "id").first()["removed_labels"] == "cool"
+    assert {r["label"]: r["added"] for r in calibrate.compare_counts(measured, at, below).collect()}["cool"] == 1
+
+
+def test_registered_comparisons_use_unrounded_measures(spark):
+    measured = queries._measured(spark, "/root/testdata/sf0.001")
+    assert measured.where("hue_cool_ratio != round(hue_cool_ratio, 6)").count()
