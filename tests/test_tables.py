@@ -1,5 +1,6 @@
 """Label rules, calibration, overlays, tables on disk, streams."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -11,7 +12,7 @@ from tests.pngs import write_png
 from tesserae.functions import labels, scalars
 from tesserae.functions.config import LabelConfig
 from tesserae.operators import calibrate, dedup, export, histogram, overlay, slices, stats
-from tesserae.plans import queries
+from tesserae.plans import queries, views
 from tesserae.sources import tables
 from tesserae.streaming import ingest
 
@@ -285,3 +286,19 @@ def test_labels_are_compared_on_unrounded_measures(spark):
 def test_registered_comparisons_use_unrounded_measures(spark):
     measured = queries._measured(spark, "/root/testdata/sf0.001")
     assert measured.where("hue_cool_ratio != round(hue_cool_ratio, 6)").count()
+
+
+def test_hashes_shuffle_no_words(spark, tmp_path):
+    rows = [(1, "a b c"), (1, "a d"), (1, " "), (2, "x"), (3, "  "), (4, None), (5, "P q r q\tr p q")]
+    at = str(tmp_path / "tables")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+
+    def majority(grams, k):
+        bits = [int(hashlib.md5(g.encode()).hexdigest()[k : k + 15], 16) for g in grams]
+        return sum(1 << b for b in range(60) if 2 * sum(v >> b & 1 for v in bits) > len(bits)) if bits else None
+
+    words = {1: (["a", "b", "c", "a", "d"], ["a b", "b c", "a d"]), 2: (["x"], []), 5: (["p", "q", "r"], ["p q", "q r", "r q", "r p"])}
+    want = {i: tuple(majority(g, k) for g in (w, p) for k in (0, 16)) for i, (w, p) in words.items()}
+    assert {r[0]: tuple(r[1:]) for r in views.hashes(spark, at).collect()} == want
+    spark.createDataFrame(rows[2:], "doc_id long, text string").write.parquet(f"{at}2/documents.parquet")
+    assert "Exchange" not in views.hashes(spark, f"{at}2")._jdf.queryExecution().toString()
