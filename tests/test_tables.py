@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tests.pngs import write_png
 from tesserae.functions import labels, scalars
 from tesserae.functions.config import LabelConfig
-from tesserae.operators import calibrate, dedup, export, histogram, overlay, slices, stats
+from tesserae.operators import calibrate, dedup, export, graph, histogram, overlay, slices, stats
 from tesserae.plans import queries, views
 from tesserae.sources import tables
 from tesserae.streaming import ingest
@@ -302,3 +302,22 @@ def test_hashes_shuffle_no_words(spark, tmp_path):
     assert {r[0]: tuple(r[1:]) for r in views.hashes(spark, at).collect()} == want
     spark.createDataFrame(rows[2:], "doc_id long, text string").write.parquet(f"{at}2/documents.parquet")
     assert "Exchange" not in views.hashes(spark, f"{at}2")._jdf.queryExecution().toString()
+
+
+def test_groups_of_near_duplicates_are_not_sent_by_the_driver(spark, monkeypatch):
+    plans, at = [], graph.cut
+
+    def noted(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return at(df)
+
+    monkeypatch.setattr(graph, "cut", noted)
+    monkeypatch.setattr(dedup, "cut", noted)
+    monkeypatch.setattr(dedup, "written", lambda df, _: noted(df))
+    rows = [(1, 0, 0, 0, 0), (2, 1, 0, 0, 0), (3, 7, 1, 0, 0), (4, -1, -1, -1, 0), (5, -1, -1, -1, 0)]
+    hashes = spark.createDataFrame(rows, "id long, phash long, dhash long, whash long, colorhash long")
+    assert sorted(map(tuple, noted(dedup.perceptual_groups(hashes)).collect())) == [(1, 1, 3), (2, 1, 3), (3, 1, 3), (4, 4, 2), (5, 4, 2)]
+    pairs = noted(dedup.near_pairs(dedup.hash_classes(hashes, dedup.PairRule())))
+    assert noted(dedup.evidence(pairs, dedup.components(pairs))).first()["hit_evidence"] == ["colorhash", "dhash", "phash", "whash"]
+    assert sum("SortMergeJoin" in p for p in plans) >= 5 and not [p for p in plans if "Broadcast" in p]
