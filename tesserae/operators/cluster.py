@@ -25,28 +25,49 @@ from tesserae.operators.graph import cut
 MAX_POINTS = 20_000
 #: Beyond MAX_POINTS: spans of rows whose pairs are a task each, and distances that a task holds at once.
 SPANS, CELLS = 12, 4_000_000
+#: Distances that a kernel over one task's rows holds at once, so that its memory doesn't grow with them.
+BLOCK_CELLS = 1_000_000
 
 
 # ---- NumPy kernels ----------------------------------------------------------------------------------------------
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0.0))
+    d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
+    d -= 2 * x @ y.T
+    np.maximum(d, 0.0, out=d)
+    return np.sqrt(d, out=d)
+
+
+def blocks(x: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Some rows at a time, and their distances to all rows: -1 to the row itself."""
+    step = max(1, min(1024, BLOCK_CELLS // max(len(x), 1)))
+    for a in range(0, len(x), step):
+        d = distances(x[a : a + step], x)
+        d[np.arange(len(d)), np.arange(a, a + len(d))] = -1.0
+        yield slice(a, a + len(d)), d
 
 
 def neighbors(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices and distances of the k nearest rows (the row itself first), in blocks."""
     k = min(k, len(x))
     ids, far = np.empty((len(x), k), np.int64), np.empty((len(x), k))
-    for a in range(0, len(x), 1024):
-        d = distances(x[a : a + 1024], x)
-        d[np.arange(len(d)), np.arange(a, a + len(d))] = -1.0
+    for rows, d in blocks(x):
         near = np.argpartition(d, k - 1, axis=1)[:, :k]
         near = np.take_along_axis(near, np.lexsort((near, np.take_along_axis(d, near, 1)), axis=1), 1)
-        ids[a : a + len(d)], far[a : a + len(d)] = near, np.maximum(np.take_along_axis(d, near, 1), 0.0)
+        ids[rows], far[rows] = near, np.maximum(np.take_along_axis(d, near, 1), 0.0)
     return ids, far
 
 
+def core_distances(x: np.ndarray, k: int) -> np.ndarray:
+    """The distance of each row to its k-th nearest (the row itself first)."""
+    core = np.empty(len(x))
+    for rows, d in blocks(x):
+        d.partition(k - 1, axis=1)
+        core[rows] = np.maximum(d[:, k - 1], 0.0)
+    return core
+
+
 def pca(x: np.ndarray, k: int) -> np.ndarray:
     """Scores on the first k principal axes; each axis's largest loading is positive."""
     c = x - x.mean(axis=0)
@@ -115,7 +136,7 @@ def umap(x: np.ndarray, k: int, n_neighbors: int = 15, min_dist: float = 0.05, e
 def _tree(x: np.ndarray, min_samples: int) -> np.ndarray:
     """Edges (from, to, distance) of the minimum spanning tree by mutual reachability, shortest first."""
     n = len(x)
-    core = neighbors(x, min(min_samples + 1, n))[1][:, -1]
+    core = core_distances(x, min(min_samples + 1, n))
     best, of = np.full(n, np.inf), np.zeros(n, np.int64)
     inside = np.zeros(n, bool)
     at, edges = 0, []
@@ -231,7 +252,7 @@ def spread(x: np.ndarray, labels: np.ndarray) -> float:
 def distance_totals(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Each row's total distance to the rows of each cluster (0, 1, ..)."""
     one = np.eye(at.max() + 1)[at]
-    return np.concatenate([distances(x[a : a + 1024], x) @ one for a in range(0, len(x), 1024)])
+    return np.concatenate([np.maximum(d, 0.0, out=d) @ one for _, d in blocks(x)])
 
 
 def silhouette_of(x: np.ndarray, labels: np.ndarray, totals: Callable = distance_totals) -> float:

@@ -1,5 +1,7 @@
 """Reductions, density clusters, refinement, information, and what they are measured by."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -131,3 +133,18 @@ def test_information_counts_all_rows(spark):
     plain = df.dropDuplicates(NAMES)
     whole, wide = ({r["feature"]: r["mi"] for r in cluster.information(plain, NAMES, most=most).collect()} for most in (10_000, 100))
     assert all(abs(whole[f] - wide[f]) < 1e-6 for f in NAMES)
+
+
+def test_memory_of_a_task_follows_no_square(monkeypatch):
+    x = np.random.default_rng(5).normal(size=(3000, 3))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    monkeypatch.setattr(cluster, "BLOCK_CELLS", 100_000)
+    tracemalloc.start()
+    ids, far = cluster.neighbors(x, 8)
+    core, totals = cluster.core_distances(x, 8), cluster.distance_totals(x, np.arange(3000) % 2)
+    tree = cluster._tree(x, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6
+    assert (ids[:, 0] == np.arange(3000)).all() and np.allclose(far, np.sort(d, 1)[:, :8], atol=1e-6) and (core == far[:, -1]).all()
+    assert np.allclose(totals, np.stack([d[:, ::2].sum(1), d[:, 1::2].sum(1)], 1)) and len(tree) == 2999
