@@ -3,7 +3,7 @@
 HDBSCAN and what it needs see all rows of their table (a dataset's images, or
 one cluster of them).  Up to MAX_POINTS rows that is one task; beyond, the same
 values come from many tasks (``Wide``), each with a span of the rows against
-all of them, and only the tree's n - 1 merges are made on the driver.
+those that can matter to them, and only the tree's n - 1 merges are made on the driver.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from tesserae.operators.graph import cut
 MAX_POINTS = 20_000
 #: Beyond MAX_POINTS: spans of rows whose pairs are a task each, and distances that a task holds at once.
 SPANS, CELLS = 12, 4_000_000
+#: Beyond MAX_POINTS: rows of a box of neighbours, and basins of the tree that are joined by their lightest edges.
+LEAF, MOST_BASINS = 256, 2_000
 #: Distances that a kernel over one task's rows holds at once, so that its memory doesn't grow with them.
 BLOCK_CELLS = 1_000_000
 
@@ -288,11 +290,126 @@ def _prim(x: np.ndarray, core: np.ndarray, cut: int = 0) -> tuple[np.ndarray, np
     return of[to], to, far
 
 
+class Boxes:
+    """Points in the order of boxes of at most LEAF neighbouring ones, by halves across the widest side."""
+
+    def __init__(self, x: np.ndarray):
+        parts, stack = [], [np.arange(len(x))]
+        while stack:
+            rows = stack.pop()
+            if len(rows) <= LEAF:
+                parts.append(rows)
+                continue
+            side = x[rows, int(np.ptp(x[rows], axis=0).argmax())]
+            halves = np.argpartition(side, len(rows) // 2)
+            stack += [rows[halves[len(rows) // 2 :]], rows[halves[: len(rows) // 2]]]
+        self.order = np.concatenate(parts)
+        self.points = x[self.order]
+        self.norms = (self.points**2).sum(1)
+        self.starts = np.concatenate([[0], np.cumsum([len(r) for r in parts])])
+        self.low = np.minimum.reduceat(self.points, self.starts[:-1])
+        self.high = np.maximum.reduceat(self.points, self.starts[:-1])
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def rows(self, box: int) -> np.ndarray:
+        return np.arange(self.starts[box], self.starts[box + 1])
+
+    def columns(self, boxes: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.rows(b) for b in boxes]) if len(boxes) else np.zeros(0, np.int64)
+
+    def gaps(self, box: int) -> np.ndarray:
+        """What each box's points are away from those of ``box`` at least, a rounding error less."""
+        gap = np.sqrt((np.maximum(np.maximum(self.low - self.high[box], self.low[box] - self.high), 0.0) ** 2).sum(1))
+        return gap * (1 - 1e-9) - 1e-6 * (1 + np.sqrt(self.norms.max())) * (gap > 0)
+
+    def distances(self, rows: np.ndarray, columns: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Some of the rows at a time, and their distances to the columns."""
+        to, norms = self.points[columns].T, self.norms[columns]
+        step = max(1, BLOCK_CELLS // max(len(columns), 1))
+        for a in range(0, len(rows), step):
+            some = rows[a : a + step]
+            d = (-2 * self.points[some]) @ to
+            d += norms
+            d += self.norms[some, None]
+            np.maximum(d, 0.0, out=d)
+            yield some, np.sqrt(d, out=d)
+
+
+def _cores(boxes: Boxes, box: int, k: int) -> np.ndarray:
+    """The distance to the k-th nearest point (itself first) of a box's points: a bound from the nearest boxes, then what lies within."""
+    rows, gap = boxes.rows(box), boxes.gaps(box)
+    near = np.argsort(gap, kind="stable")
+    some = near[: 1 + np.searchsorted(np.cumsum(np.diff(boxes.starts)[near]), min(4 * k, len(boxes.points)))]
+    bound = np.concatenate([np.partition(d, k - 1, axis=1)[:, k - 1] for _, d in boxes.distances(rows, boxes.columns(some))])
+    within = np.flatnonzero(gap <= bound.max())
+    rest = within[~np.isin(within, some)]
+    if not len(rest):
+        return bound
+    limit, out = bound * (1 + 1e-9) + 1e-9, []
+    for part, d in boxes.distances(rows, boxes.columns(np.concatenate([some, rest]))):
+        for at, far in zip(part - rows[0], d, strict=True):
+            out.append(np.partition(far[far <= limit[at]], k - 1)[k - 1])
+    return np.array(out)
+
+
+def _lower(boxes: Boxes, box: int, core: np.ndarray, rank: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For a box's points one of lower rank within their core distance: in the box, else the lowest of all; or the point itself."""
+    rows, gap = boxes.rows(box), boxes.gaps(box)
+    out = rows.copy()
+
+    def look(of: np.ndarray, columns: np.ndarray) -> None:
+        for part, d in boxes.distances(of, columns):
+            best = np.where(d <= core[part, None], rank[columns], len(rank)).argmin(axis=1)
+            found = (d[np.arange(len(part)), best] <= core[part]) & (rank[columns[best]] < rank[part])
+            out[part[found] - rows[0]] = columns[best[found]]
+
+    look(rows, rows)
+    for row in rows[out == rows]:
+        there = np.flatnonzero((gap <= core[row]) & (least < rank[row]))
+        if len(there):
+            look(np.array([row]), boxes.columns(there))
+    return out
+
+
+def _lightest(boxes: Boxes, rows: np.ndarray, columns: np.ndarray, core: np.ndarray, basin: np.ndarray) -> dict[str, np.ndarray]:
+    """The smallest mutual reachability w between rows and columns of two basins a < b."""
+    columns, rows = (v[np.argsort(basin[v], kind="stable")] for v in (columns, rows))
+    of, first = np.unique(basin[columns], return_index=True)
+    mine = np.unique(basin[rows])
+    best = np.full((len(mine), len(of)), np.inf)
+    for part, d in boxes.distances(rows, columns):
+        np.maximum(d, core[columns], out=d)
+        each = np.maximum(np.minimum.reduceat(d, first, axis=1), core[part, None])
+        some, start = np.unique(basin[part], return_index=True)
+        at = np.searchsorted(mine, some)
+        best[at] = np.minimum(best[at], np.minimum.reduceat(each, start, axis=0))
+    i, j = np.nonzero(mine[:, None] != of)
+    return {"a": np.minimum(mine[i], of[j]), "b": np.maximum(mine[i], of[j]), "w": best[i, j]}
+
+
+def _joined(pairs: pd.DataFrame, n: int) -> tuple[list[tuple[int, int, float]], np.ndarray]:
+    """A minimum spanning forest of the pairs (a, b, w) of n basins, and the height at which it joins each two of them."""
+    edges, height = [], np.full((n, n), np.inf)
+    np.fill_diagonal(height, 0.0)
+    group, members = np.arange(n), {i: np.array([i]) for i in range(n)}
+    for a, b, w in pairs.sort_values(["w", "a", "b"])[["a", "b", "w"]].itertuples(index=False):
+        i, j = group[a], group[b]
+        if i != j:
+            edges.append((int(a), int(b), float(w)))
+            height[np.ix_(members[i], members[j])] = w
+            height[np.ix_(members[j], members[i])] = w
+            members[i] = np.concatenate([members[i], members.pop(j)])
+            group[members[i]] = i
+    return edges, height
+
+
 class Wide:
     """The quadratic kernels for more than MAX_POINTS rows: all points are broadcast, spans of rows are dealt over tasks.
 
-    Work grows with the square of the rows; a task holds the points and CELLS
-    distances, the driver some SPANS edges a row.
+    Work grows with the square of the rows at most; a task holds the points and
+    CELLS distances, the driver the points and a tree's edges.
     """
 
     def __init__(self, spark: SparkSession):
@@ -350,16 +467,91 @@ class Wide:
         return out
 
     def tree(self, x: np.ndarray, min_samples: int) -> np.ndarray:
-        """Edges, shortest first, that hold the minimum spanning tree by mutual reachability of the one ``x`` of this object.
+        """Edges, shortest first, of a minimum spanning tree by mutual reachability of the one ``x`` of this object.
 
-        An edge of the tree is the lightest across some cut, so it is in the
-        tree of any part of the graph that has it: the trees within each span
-        and between each two of them hold all edges of the whole tree.
+        No edge of a row is lighter than its core distance, so an edge to a row
+        of lower core distance within it is in some smallest tree.  These edges
+        make basins around the rows without one, few as a core distance reaches
+        many rows; the rest of the tree are lightest edges between basins.
         """
         if min_samples in self.trees:
             return self.trees[min_samples]
         n, k = len(x), min(min_samples + 1, len(x))
-        core = self.over_rows(x, lambda d, rows: {"row": rows, "core": np.maximum(np.partition(d, k - 1, axis=1)[:, k - 1], 0.0)}, "row long, core double")["core"].to_numpy()
+        boxes = Boxes(x)
+        shared = self.spark.sparkContext.broadcast(boxes)
+
+        def each_box(of: Callable[[Boxes, int], object], schema: str) -> pd.DataFrame:
+            tasks, m = min(8 * SPANS, len(boxes)), len(boxes)
+            return self.over(tasks, lambda t: pd.concat([pd.DataFrame(of(shared.value, q)) for q in range(t, m, tasks)]), schema)
+
+        core = each_box(lambda at, q: {"row": at.rows(q), "core": _cores(at, q, k)}, "row long, core double").sort_values("row")["core"].to_numpy()
+        rank = np.empty(n, np.int64)
+        rank[np.lexsort((boxes.order, core))] = np.arange(n)
+        known = self.spark.sparkContext.broadcast((core, rank, np.minimum.reduceat(rank, boxes.starts[:-1])))
+        to = each_box(lambda at, q: {"row": at.rows(q), "to": _lower(at, q, *known.value)}, "row long, to long").sort_values("row")["to"].to_numpy()
+        known.unpersist()
+        root = to
+        while (root[root] != root).any():
+            root = root[root]
+        roots, basin = np.unique(root, return_inverse=True)
+        if len(roots) > MOST_BASINS:
+            shared.unpersist()
+            out = np.empty(n)
+            out[boxes.order] = core
+            return self._tree_by_spans(x, out, min_samples)
+        found = self._between(boxes, each_box, core, basin, len(roots)) if len(roots) > 1 else []
+        shared.unpersist()
+        low = np.flatnonzero(to != np.arange(n))
+        edges = np.concatenate([np.stack([boxes.order[low], boxes.order[to[low]], core[low]], 1), np.array([(boxes.order[roots[a]], boxes.order[roots[b]], w) for a, b, w in found]).reshape(-1, 3)])
+        # edges within a basin first, so that no row is left out where two basins join at its height
+        late = np.arange(n - 1) >= len(low)
+        self.trees[min_samples] = edges[np.lexsort((edges[:, 0], late, edges[:, 2]))]
+        return self.trees[min_samples]
+
+    def _between(self, boxes: Boxes, each_box: Callable, core: np.ndarray, basin: np.ndarray, n: int) -> list[tuple[int, int, float]]:
+        """The lightest edges that join basins: of near boxes first, whose heights then bound which boxes and rows can be nearer."""
+        box_of = np.repeat(np.arange(len(boxes)), np.diff(boxes.starts))
+        entry = pd.DataFrame({"box": box_of, "basin": basin, "core": core}).groupby(["box", "basin"], as_index=False)["core"].min()
+        at_box, at_basin, least = (entry[c].to_numpy() for c in ("box", "basin", "core"))
+        known = self.spark.sparkContext.broadcast((core, basin, at_box, at_basin, least))
+
+        none = {"a": np.zeros(0, int), "b": np.zeros(0, int), "w": np.zeros(0)}
+
+        def near(at: Boxes, q: int) -> dict:
+            core, basin, *_ = known.value
+            rows, columns = at.rows(q), at.columns(np.argsort(at.gaps(q), kind="stable")[:12])
+            return _lightest(at, rows, columns, core, basin) if (basin[columns] != basin[rows[0]]).any() else none
+
+        some = each_box(near, "a int, b int, w double").groupby(["a", "b"], as_index=False)["w"].min()
+        bounds = self.spark.sparkContext.broadcast(_joined(some, n)[1])
+
+        def far(at: Boxes, q: int) -> dict:
+            (core, basin, at_box, at_basin, least), height = known.value, bounds.value
+            rows, gap = at.rows(q), at.gaps(q)
+            rows = rows[core[rows] < height[basin[rows]].max(axis=1)]
+            if not len(rows):
+                return none
+            reach, floor = height[np.unique(basin[rows])].max(axis=0), core[rows].min()
+            open_ = np.maximum(np.maximum(gap[at_box], floor), least) < reach[at_basin]
+            columns = at.columns(np.unique(at_box[open_ & (at_box >= q)]))
+            columns = columns[np.maximum(core[columns], floor) < reach[basin[columns]]]
+            found = _lightest(at, rows, columns, core, basin) if len(columns) else none
+            less = found["w"] < height[found["a"], found["b"]]
+            return {c: v[less] for c, v in found.items()}
+
+        rest = each_box(far, "a int, b int, w double").groupby(["a", "b"], as_index=False)["w"].min()
+        for b in (known, bounds):
+            b.unpersist()
+        return _joined(pd.concat([some, rest]), n)[0]
+
+    def _tree_by_spans(self, x: np.ndarray, core: np.ndarray, min_samples: int) -> np.ndarray:
+        """Edges, shortest first, that hold the tree: for core distances that reach few rows, so that there are many basins.
+
+        An edge of the tree is the lightest across some cut, so it is in the
+        tree of any part of the graph that has it: the trees within each span
+        and between each two of them hold all edges of the whole tree.
+        """
+        n = len(x)
         pairs = [(i, j) for i in range(SPANS) for j in range(i, SPANS)]
         cuts = [i * n // SPANS for i in range(SPANS + 1)]
         shared = self.spark.sparkContext.broadcast((x, core))

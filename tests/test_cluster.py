@@ -148,3 +148,50 @@ def test_memory_of_a_task_follows_no_square(monkeypatch):
     assert peak < 10e6
     assert (ids[:, 0] == np.arange(3000)).all() and np.allclose(far, np.sort(d, 1)[:, :8], atol=1e-6) and (core == far[:, -1]).all()
     assert np.allclose(totals, np.stack([d[:, ::2].sum(1), d[:, 1::2].sum(1)], 1)) and len(tree) == 2999
+
+
+def _points():
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(6, 3)) * 12
+    yield "noise", rng.normal(size=(1500, 3)), 20
+    yield "blobs", np.concatenate([c + rng.normal(0, s, (300, 3)) for c, s in zip(centers, (0.3, 0.6, 0.9, 1, 1, 1.5), strict=True)]), 10
+    yield "copies", np.concatenate([np.repeat(centers, 200, 0), np.tile(rng.normal(size=(100, 3)), (3, 1))]), 10
+    yield "grid", np.stack(np.meshgrid(*[np.arange(11.0)] * 3), -1).reshape(-1, 3), 8
+
+
+@pytest.mark.parametrize("name, x, k", list(_points()), ids=lambda v: v if isinstance(v, str) else "")
+@pytest.mark.parametrize("basins", [2000, 1])
+def test_tree_of_basins_is_a_minimum_spanning_tree(monkeypatch, spark, name, x, k, basins):
+    cells, at = [], cluster.Boxes.distances
+
+    def counted(self, rows, columns):
+        cells.append(len(rows) * len(columns))
+        return at(self, rows, columns)
+
+    monkeypatch.setattr(cluster, "LEAF", 32)
+    monkeypatch.setattr(cluster, "MOST_BASINS", basins)
+    monkeypatch.setattr(cluster.Boxes, "distances", counted)
+    monkeypatch.setattr(cluster.Wide, "over", lambda self, tasks, each, schema: pd.concat([each(i) for i in range(tasks)]))
+    plain, edges = cluster._tree(x, k), cluster.Wide(spark).tree(x, k)
+    n = len(x)
+    if basins > 1:
+        assert len(edges) == n - 1 and np.allclose(edges[:, 2], plain[:, 2], atol=1e-6)
+        assert sum(cells) < (0.7 if name == "blobs" else 1.2) * n * n
+    parent = list(range(n))
+    weights = []
+    for u, v, d in edges:
+        u, v = int(u), int(v)
+        while parent[u] != u:
+            u = parent[u]
+        while parent[v] != v:
+            v = parent[v]
+        if u != v:
+            parent[u] = v
+            weights.append(d)
+    assert np.allclose(weights, plain[:, 2], atol=1e-6)
+
+
+def test_wide_tree_in_tasks(spark):
+    x, _ = blobs(400, 9)
+    edges = cluster.Wide(spark).tree(x, 15)
+    assert len(edges) == len(x) - 1 and np.allclose(edges[:, 2], cluster._tree(x, 15)[:, 2], atol=1e-9)
