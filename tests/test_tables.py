@@ -304,6 +304,20 @@ def test_hashes_shuffle_no_words(spark, tmp_path):
     assert "Exchange" not in views.hashes(spark, f"{at}2")._jdf.queryExecution().toString()
 
 
+def test_a_text_of_one_word_leaves_the_hashes_of_others(spark, tmp_path):
+    """A hash of 60 bits beside a missing one stays whole, in either order and where all or none are missing."""
+    rows = [(1, "a b c"), (2, "x"), (3, "d e f g")]
+    found = []
+    for k, some in enumerate([rows, rows[::-1], rows[:1], rows[1:2], rows[2:], []]):
+        at = str(tmp_path / f"t{k}")
+        spark.createDataFrame(some, "doc_id long, text string").coalesce(1).write.parquet(f"{at}/documents.parquet")
+        found.append({r[0]: tuple(r[1:]) for r in views.hashes(spark, at).collect()})
+    assert found[0] == found[1] == found[2] | found[3] | found[4] and found[5] == {}
+    assert found[0][2][2:] == (None, None)
+    bits = [int(hashlib.md5(g).hexdigest()[:15], 16) for g in (b"a b", b"b c")]
+    assert found[0][1][2] == bits[0] & bits[1]
+
+
 def test_groups_of_near_duplicates_are_not_sent_by_the_driver(spark, monkeypatch):
     plans, at = [], graph.cut
 
