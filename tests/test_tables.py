@@ -265,6 +265,42 @@ def test_near_pairs_are_all_pairs_within_the_distances(spark, rule):
     assert want and got == want
 
 
+def test_units_of_many_rows_are_dealt_as_chunks(spark, monkeypatch):
+    """Near copies, so that all rows of a unit are near; three chunks or more of each must give each pair once."""
+    rng = random.Random(3)
+    rows = [(f"r{i:03d}", *(sum(1 << b for b in rng.sample(range(60), 2)) for _ in dedup.THRESHOLDS)) for i in range(90)]
+    hashes = spark.createDataFrame(rows, "id string, " + ", ".join(f"{n} long" for n in dedup.THRESHOLDS))
+    monkeypatch.setattr(dedup, "SIDE", 30)
+    got = [(r.a, r.b) for r in dedup.near_pairs(hashes, queries.RULE).collect()]
+    assert sorted(got) == [(x[0], y[0]) for x in rows for y in rows if x[0] < y[0]]
+
+
+@pytest.mark.parametrize(("at_once", "small"), [(7, 0), (7, 50), (1 << 16, 1 << 12)])
+def test_blocks_of_any_size_meet_the_same_rows(monkeypatch, at_once, small):
+    monkeypatch.setattr(dedup, "AT_ONCE", at_once)
+    monkeypatch.setattr(dedup, "SMALL", small)
+    rng = np.random.default_rng(5)
+    value, key = rng.integers(0, 16, 80, dtype=np.uint64), rng.integers(0, 9, 80, dtype=np.uint64)
+    near = lambda x, y: key[x] == key[y] and int(value[x] ^ value[y]).bit_count() <= 1
+    pairs = lambda left, right: [(int(x), int(y)) for xs, ys in dedup._met(value, key, left, right, 1) for x, y in zip(xs, ys, strict=True)]
+    assert sorted(map(tuple, map(sorted, pairs(np.arange(80), None)))) == [(x, y) for x in range(80) for y in range(x + 1, 80) if near(x, y)]
+    assert sorted(pairs(np.arange(30), np.arange(30, 80))) == [(x, y) for x in range(30) for y in range(30, 80) if near(x, y)]
+    assert not pairs(np.arange(0), np.arange(80)) and not pairs(np.arange(0), None)
+
+
+def test_groups_read_their_hashes_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    schema = "id long, " + ", ".join(f"{n} long" for n in dedup.THRESHOLDS)
+    hashes = spark.createDataFrame([(i, *[i % 3] * 4) for i in range(12)], schema).mapInPandas(counted, schema)
+    assert dedup.perceptual_groups(hashes).count() == 12 and read.value == 12
+
+
 def test_slices_with_equal_rows_are_taken_once(spark):
     rows = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", None), ("d", 3.0)], "image_path string, v double")
     some = [slices.Slice("x", "c", "v", limit=2), slices.Slice("y", "c", "v", limit=2), slices.Slice("z", "c", "v", False, "v < 3")]
