@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.pngs import write_png
-from tesserae.functions import labels, scalars
+from tesserae.functions import grams, labels, scalars
 from tesserae.functions.config import LabelConfig
 from tesserae.operators import calibrate, dedup, export, graph, histogram, overlay, slices, stats
 from tesserae.plans import queries, views
@@ -354,6 +354,24 @@ def test_a_text_of_one_word_leaves_the_hashes_of_others(spark, tmp_path):
     assert found[0][1][2] == bits[0] & bits[1]
 
 
+@pytest.mark.parametrize(("piece", "at_once", "unpacked"), [(40, 3, 2), (1 << 20, 1 << 13, 300)])
+def test_digests_of_many_texts_are_those_of_each(monkeypatch, piece, at_once, unpacked):
+    """Texts of one row or several, blank ones, grams about the length of one block and beyond, more than 255 grams, in pieces of any size."""
+    for n, v in (("PIECE", piece), ("AT_ONCE", at_once), ("UNPACKED", unpacked)):
+        monkeypatch.setattr(grams, n, v)
+    texts = ["", " \n ", "a", "a a", "É b\tb\r\nc  É b", "x" * 55, "x" * 56 + " " + "y" * 64, "p" * 27 + " " + "q" * 27, "p" * 27 + " " + "q" * 28, " ".join(str(i * i % 997) for i in range(1500))]
+    row = np.array([0, 1, 2, 2, 3, 4, 5, 6, 7, 8])
+    words, pairs = grams.Majorities(10), grams.Majorities(10)
+    grams.count([t.encode() for t in texts], row, words, pairs)
+    got = {of: (of.n, *of.hashes(60)) for of in (words, pairs)}
+    for r in range(10):
+        split = [t.split() for t, at in zip(texts, row, strict=True) if at == r]
+        for of, of_text in ((words, lambda w: set(w)), (pairs, lambda w: {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})):
+            found = [hashlib.md5(g.encode()).hexdigest() for w in split for g in of_text(w)]
+            most = [sum(1 << b for b in range(60) if 2 * sum(int(d[k : k + 15], 16) >> b & 1 for d in found) > len(found)) for k in (0, 16)]
+            assert [v[r] for v in got[of]] == [len(found), *most]
+
+
 def test_groups_of_near_duplicates_are_not_sent_by_the_driver(spark, monkeypatch):
     plans, at = [], graph.cut
 
