@@ -275,6 +275,24 @@ def test_units_of_many_rows_are_dealt_as_chunks(spark, monkeypatch):
     assert sorted(got) == [(x[0], y[0]) for x in rows for y in rows if x[0] < y[0]]
 
 
+@pytest.mark.parametrize("side", [30, 50_000])
+def test_links_connect_what_pairs_connect(spark, monkeypatch, side):
+    """Families of near copies: the same groups and evidence as by all pairs, by far fewer links."""
+    rng = random.Random(11)
+    rows = []
+    for family in range(4):
+        base = [rng.getrandbits(60) for _ in dedup.THRESHOLDS]
+        for _ in range(40):
+            rows.append((len(rows), *(b ^ (rng.getrandbits(60) if k == family else sum(1 << v for v in rng.sample(range(60), 2))) for k, b in enumerate(base))))
+    hashes = spark.createDataFrame(rows, "id long, " + ", ".join(f"{n} long" for n in dedup.THRESHOLDS))
+    monkeypatch.setattr(dedup, "SIDE", side)
+    pairs, links = dedup.near_pairs(hashes, queries.RULE).cache(), dedup.near_links(hashes, queries.RULE).cache()
+    groups = [sorted(map(tuple, dedup.components(x).collect())) for x in (pairs, links)]
+    found = [{r.group_id: tuple(r.hit_evidence) for r in dedup.evidence(x, dedup.components(x), queries.RULE).collect()} for x in (pairs, links)]
+    assert groups[0] == groups[1] and len(groups[0]) == 160 and found[0] == found[1] and set(map(len, found[0].values())) == {3}
+    assert pairs.count() > 2_000 and links.select("a", "b").distinct().count() < pairs.count() / 2
+
+
 @pytest.mark.parametrize(("at_once", "small"), [(7, 0), (7, 50), (1 << 16, 1 << 12)])
 def test_blocks_of_any_size_meet_the_same_rows(monkeypatch, at_once, small):
     monkeypatch.setattr(dedup, "AT_ONCE", at_once)
